@@ -72,7 +72,7 @@ def id_type(docs: DataFrame, id_col: str) -> str:
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *, piece_bytes: int = 4 << 20, size_col: str | None = None) -> DataFrame:
-    """``mapInArrow`` over slices of about ``piece_bytes`` of the column ``size_col``.
+    """``mapInArrow`` over slices of about ``piece_bytes`` bytes (or list members) of ``size_col``.
 
     ``work`` gets a slice of a batch and returns output columns by name.  Slicing bounds the
     memory of a task by the piece and the longest single row, not by the batch.
@@ -84,7 +84,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
             yield batch
             return
         column = batch.column(size_col)
-        sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
+        sizes = length(column).fill_null(0).to_pylist()
         first = total = 0
         for k, size in enumerate(sizes):
             if total and total + size > piece_bytes:

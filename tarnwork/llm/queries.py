@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import compression_quality, ogg, pii, sentencepieces, token_cache
+from tarnwork.llm import compression_quality, license_scan, mixing, ogg, pii, quality_rules, sentencepieces, token_cache
 from tarnwork.llm.common import shared_dir, table, texts
 
 PIECES = "piece_bpe_32k.model"
@@ -22,6 +22,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 3).alias("distance2")
+    )
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(table(spark, sf_dir, "documents")).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     n = F.octet_length("raw").cast("bigint")
@@ -71,10 +86,41 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules, "op2_license_scans": op2_license_scans, "op3_mixing": op3_mixing,
         "op4_media_columns": op4_media_columns, "op5_quality_classifier": op5_quality_classifier, "op6_sentencepiece": op6_sentencepiece,
         "op7_token_counts": op7_token_counts, "op9_pii": op9_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL}
+
+
+WORD_COUNT_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+OP3_SQL = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST({WORD_COUNT_SQL} AS BIGINT) AS size FROM documents),
+goal AS (
+  SELECT source, source_size, rk, CAST([5, 2, 1][(rk - 1) % 3 + 1] AS BIGINT) AS weight, 3 * source_size AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rk FROM rows GROUP BY source)),
+levels AS (SELECT *, CAST(cap AS DOUBLE) / weight AS level FROM goal),
+filled AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY level, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (ORDER BY level, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total
+  FROM levels),
+marked AS (SELECT *, level * CAST(rest AS DOUBLE) + CAST(below AS DOUBLE) <= CAST(total AS DOUBLE) AS capped FROM filled),
+aims AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
+    weight * (CAST(total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0) AS DOUBLE) / CAST(sum(CASE WHEN NOT capped THEN weight END) OVER () AS DOUBLE)) END AS target
+  FROM marked),
+queued AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ASC NULLS LAST, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reached
+  FROM (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM rows)),
+readings AS (
+  SELECT q.r, q.doc_id, q.source, q.size, e.epoch, CAST(reached + (e.epoch - 1) * a.source_size AS DOUBLE) / a.target AS finish
+  FROM queued q JOIN aims a ON q.source IS NOT DISTINCT FROM a.source JOIN (SELECT unnest([1, 2, 3]) AS epoch) e ON a.target > 0 AND e.epoch <= ceil(a.target / a.source_size)),
+merged AS (SELECT *, sum(size) OVER (ORDER BY finish, source ASC NULLS LAST, doc_id ASC NULLS LAST, epoch, size, r ROWS UNBOUNDED PRECEDING) AS used FROM readings),
+taken AS (SELECT r, count(*) AS times FROM merged WHERE used <= (SELECT sum(size) FROM rows) GROUP BY r)
+SELECT rows.doc_id, rows.size, aims.source_size, aims.target, rows.size * coalesce(times, 0) AS taken
+FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source LEFT JOIN taken ON rows.r = taken.r
+"""

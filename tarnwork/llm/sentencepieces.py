@@ -155,7 +155,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         ids, ends = encoder(model_path).encode(batch.column(1).to_pylist(), True)
         return {id_col: batch.column(0), "ids": _lists(ids, pa.int32()), "span_ends": _lists(ends, pa.int32())}
 
-    return map_batches(texts(docs, id_col, text_col), work, f"{id_col} {id_type(docs, id_col)}, ids array<int>, span_ends array<int>", size_col=text_col, piece_bytes=2 << 20)
+    return map_batches(texts(docs, id_col, text_col), work, f"{id_col} {id_type(docs, id_col)}, ids array<int>, span_ends array<int>", size_col=text_col, piece_bytes=1 << 20)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -166,4 +166,4 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
         decoded = [library.decode(x) if x else "" for x in batch.column(1).to_pylist()]
         return {id_col: batch.column(0), ids_col: batch.column(1), "span_ends": batch.column(2), "decoded": pa.array(decoded, pa.string())}
 
-    return map_batches(rows.select(id_col, ids_col, "span_ends"), work, f"{id_col} {id_type(rows, id_col)}, {ids_col} array<int>, span_ends array<int>, decoded string")
+    return map_batches(rows.select(id_col, ids_col, "span_ends"), work, f"{id_col} {id_type(rows, id_col)}, {ids_col} array<int>, span_ends array<int>, decoded string", size_col=ids_col, piece_bytes=400_000)

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import map_batches, released_shuffles, texts
+from tarnwork.llm.common import map_batches, released_shuffles, stored, texts
 
 STORE_SCHEMA = "content string, n_tokens bigint, tokenizer string"
 
@@ -82,4 +82,5 @@ def cached_counts(docs: DataFrame, path: str, store: str, id_col: str = "doc_id"
     with released_shuffles(docs.sparkSession):
         count_tokens(missing, path, text_col).withColumn("tokenizer", F.lit(kind)).write.mode("append").parquet(store)
     counts = read_store(docs, store).where(F.col("tokenizer") == kind).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "token-counts")  # as a table of its own, so that Spark may split a hot digest's side of the join
     return rows.select(id_col, "content", F.octet_length(text_col).cast("bigint").alias("n_bytes")).join(counts, "content", "left").select(id_col, "content", "n_bytes", "n_tokens")

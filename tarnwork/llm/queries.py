@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import compression_quality, license_scan, mixing, ogg, pii, quality_rules, sentencepieces, token_cache
+from tarnwork.llm import compression_quality, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, token_cache
 from tarnwork.llm.common import shared_dir, table, texts
 
 PIECES = "piece_bpe_32k.model"
@@ -84,11 +84,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_license_scans": op2_license_scans, "op3_mixing": op3_mixing,
         "op4_media_columns": op4_media_columns, "op5_quality_classifier": op5_quality_classifier, "op6_sentencepiece": op6_sentencepiece,
-        "op7_token_counts": op7_token_counts, "op9_pii": op9_pii,
+        "op7_token_counts": op7_token_counts, "op9_pii": op9_pii, "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 

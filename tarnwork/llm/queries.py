@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import compression_quality, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, token_cache
+from tarnwork.llm import compression_quality, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, suffix_dedup, token_cache
 from tarnwork.llm.common import shared_dir, table, texts
 
 PIECES = "piece_bpe_32k.model"
@@ -73,6 +73,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def span_text(column: str):
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -92,7 +96,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_license_scans": op2_license_scans, "op3_mixing": op3_mixing,
         "op4_media_columns": op4_media_columns, "op5_quality_classifier": op5_quality_classifier, "op6_sentencepiece": op6_sentencepiece,
-        "op7_token_counts": op7_token_counts, "op9_pii": op9_pii, "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op7_token_counts": op7_token_counts, "op8_suffix_dedup": op8_suffix_dedup, "op9_pii": op9_pii, "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 

@@ -1,13 +1,63 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixing, encoding."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as
+the next one's documents.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwork.llm import compression_quality, mixing, ngram_join, pii, queries
+from tarnwork.llm.common import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier predicts good."""
+    return compression_quality.keep_good(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    groups = ngram_join.jaccard_components(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    first = stored(first, "pipeline-first")
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked in their texts."""
+    return pii.mask(docs, pii.trained())
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights; a document comes as often as it is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the encoded documents."""
+    return queries.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: Compression, the tagger and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"pipeline-{k + 1}")
     return docs

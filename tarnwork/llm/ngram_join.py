@@ -46,6 +46,7 @@ PIVOT_ROUNDS = 3
 HISTOGRAM = 256
 SALT_ROWS = 500
 CLASS = ["d1", "d2", "n"]
+MEMBER = ["cid", "n", "own", "cap"]
 
 
 def shared_least(n):
@@ -115,23 +116,30 @@ def least_shared(n: str = "n") -> Column:
 
 
 def shared_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets (cid, n, shingles) that share enough with others, and the frequent shingles."""
+    """The sets (cid, n, own, cap, shingles) that share enough with others, and the frequent shingles.
+
+    ``own`` counts the shingles that no other set has, ``cap`` is the largest size of a partner.
+    """
     tokens = sets.select("cid", F.explode("shingles").alias("token"))
     owners = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("cid").alias("cid"))
     told = owners.where((F.col("df") == 1) | (F.col("df") > FREQUENT)).select((F.col("df") == 1).alias("alone"), F.when(F.col("df") == 1, F.col("cid")).otherwise(F.col("token")).alias("key"))
     told = stored(told.groupBy("alone", "key").agg(F.count("*").alias("rows")), "join-told")
     alone = told.where("alone").select(F.col("key").alias("cid"), F.col("rows").alias("own"))
-    rest = stored(sets.join(alone, "cid", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least_shared()).select("cid", "n", "shingles"), "join-sets")
+    own = F.coalesce("own", F.lit(0))
+    # an overlap of at most n - own allows partners up to this size
+    cap = (F.floor((100 + PERCENT) * (F.col("n") - own) / PERCENT) - F.col("n")).cast("int")
+    rest = sets.join(alone, "cid", "left").where(F.col("n") - own >= least_shared()).select("cid", "n", own.cast("int").alias("own"), cap.alias("cap"), "shingles")
+    rest = stored(rest, "join-sets")
     return rest, told.where("not alone").select(F.col("key").alias("token"))
 
 
 def prefixes(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(cid, n, token, place): the prefixes, one token longer than lists need, frequent tokens last."""
+    """(cid, n, own, cap, token, place): the prefixes, one token longer than lists need, frequent tokens last."""
     late = sets.select("cid", F.explode("shingles").alias("token")).join(frequent, "token").groupBy("cid").agg(F.collect_list("token").alias("late"))
 
     def work(batch: pa.RecordBatch) -> dict:
-        cid, n, token, place = [], [], [], []
-        for c, k, own, last in zip(*(batch.column(i) for i in range(4)), strict=True):
+        cid, n, token, place, alone, most = [], [], [], [], [], []
+        for c, k, own, last, one, cap in zip(*(batch.column(i) for i in range(6)), strict=True):
             own = own.values.to_numpy().view(np.uint64)
             if last.is_valid:
                 behind = np.isin(own, last.values.to_numpy().view(np.uint64))
@@ -140,12 +148,14 @@ def prefixes(sets: DataFrame, frequent: DataFrame) -> DataFrame:
             own = own[: size - shared_least(size) + 2]
             cid.append(np.full(len(own), c.as_py()))
             n.append(np.full(len(own), size, np.int32))
+            alone.append(np.full(len(own), one.as_py(), np.int32))
+            most.append(np.full(len(own), cap.as_py(), np.int32))
             token.append(own.view(np.int64))
             place.append(np.arange(len(own), dtype=np.int32))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return {"cid": join(cid, np.int64), "n": join(n, np.int32), "token": join(token, np.int64), "place": join(place, np.int32)}
+        return {"cid": join(cid, np.int64), "n": join(n, np.int32), "own": join(alone, np.int32), "cap": join(most, np.int32), "token": join(token, np.int64), "place": join(place, np.int32)}
 
-    return map_batches(sets.join(late, "cid", "left").select("cid", "n", "shingles", "late"), work, "cid bigint, n int, token bigint, place int", size_col="shingles", piece_bytes=1 << 19)
+    return map_batches(sets.join(late, "cid", "left").select("cid", "n", "shingles", "late", "own", "cap"), work, "cid bigint, n int, own int, cap int, token bigint, place int", size_col="shingles", piece_bytes=1 << 19)
 
 
 def boundary(lists: DataFrame, sets: DataFrame) -> int:
@@ -163,7 +173,7 @@ def boundary(lists: DataFrame, sets: DataFrame) -> int:
 
 
 def search_keys(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(key, cid, n): sets that share a key may link; all links share one."""
+    """(key, cid, n, own, cap): sets that share a key may link; all links share one."""
     rows = stored(prefixes(sets, frequent), "join-prefixes")
     lists = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = stored(rows.join(lists, "token"), "join-lists")
@@ -171,16 +181,16 @@ def search_keys(sets: DataFrame, frequent: DataFrame) -> DataFrame:
     # lists: tokens that a larger set has, within the shorter prefix
     listed = rows.where(F.col("place") < F.col("n") - least_shared() + 1)
     scanned = listed.groupBy("token").agg(F.max("n").alias("largest")).where(F.col("largest") > limit).select("token")
-    by_list = listed.join(scanned, "token").select(F.col("token").alias("key"), "cid", "n")
-    small = rows.where(F.col("n") <= limit).groupBy("cid", "n").agg(F.sort_array(F.collect_list("token")).alias("t"))  # a few tokens each
+    by_list = listed.join(scanned, "token").select(F.col("token").alias("key"), *MEMBER)
+    small = rows.where(F.col("n") <= limit).groupBy(*MEMBER).agg(F.sort_array(F.collect_list("token")).alias("t"))  # a few tokens each
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.xxhash64(a, b))))
-    by_pair = small.select(F.explode(pairs).alias("key"), "cid", "n")
+    by_pair = small.select(F.explode(pairs).alias("key"), *MEMBER)
     return stored(by_list.unionByName(by_pair), "join-keys")
 
 
-def fits(a: str, b: str) -> Column:
-    """Whether the sizes allow a link."""
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def fits(other: str) -> Column:
+    """Whether the sizes of a member and of another one, with columns named after it, allow a link."""
+    return (F.col("n") <= F.col(f"{other}cap")) & (F.col(f"{other}n") <= F.col("cap"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,30 +208,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return keys.withColumn("label", F.col("cid"))
-    return keys.join(labels, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("label"))
+    return keys.join(labels, F.col("cid") == F.col("node"), "left").select("key", *MEMBER, F.coalesce("component", "cid").alias("label"))
 
 
 def _open(keys: DataFrame) -> DataFrame:
-    """Keys whose members are not all of one component."""
-    parted = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return stored(keys.join(parted, "key"), "join-open")
+    """Keys whose members are not all of one component, without members whose partners must be smaller than all there."""
+    parted = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
+    return stored(keys.join(parted, "key").where(F.col("cap") >= F.col("least")).drop("least"), "join-open")
 
 
 def link_components(sets: DataFrame, keys: DataFrame) -> DataFrame | None:
     """(node, component) over all links, or None if there is no link."""
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        keys = _open(_labelled(keys.select("key", "cid", "n"), labels))
-        if keys.isEmpty():
-            break
+        keys = _open(_labelled(keys.select("key", *MEMBER), labels))
         if turn < PIVOT_ROUNDS:
-            pivot = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias("v"))
-            meets = keys.join(pivot, "key").where((F.col("label") != F.col("v.pl")) & fits("n", "v.pn"))
-            shared = meets.groupBy(F.col("cid").alias("a"), F.col("v.p").alias("b")).agg(F.count("*").alias("shared"))
+            # first the most central member, with the fewest shingles of its own; then others by hash
+            order = [F.col("own")] if turn == 0 else []
+            pivot = keys.groupBy("key").agg(F.min(F.struct(*order, F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "cap", "label")).alias("v"))
+            pivot = pivot.select("key", F.col("v.cid").alias("b"), F.col("v.n").alias("b_n"), F.col("v.cap").alias("b_cap"), F.col("v.label").alias("b_label"))
+            meets = keys.join(pivot, "key").where((F.col("label") != F.col("b_label")) & fits("b_"))
+            shared = meets.groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("shared"))
             pairs = shared.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         else:
-            other = keys.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = keys.join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb")).select(F.col("cid").alias("a"), "b").distinct()
+            other = keys.select("key", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("cap").alias("b_cap"), F.col("label").alias("b_label"))
+            pairs = keys.join(other, "key").where((F.col("label") < F.col("b_label")) & fits("b_")).select(F.col("cid").alias("a"), "b").distinct()
         new = stored(verified(pairs, sets), "join-links")
         links = new if links is None else stored(links.unionByName(new), "join-links")
         labels = components(links)

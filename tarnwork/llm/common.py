@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Word characters are all but these six ASCII space characters.
 SPACES = " \t\n\x0b\x0c\r"
+#: Arrow batches to Python: setting, Spark's default, and what texts of any length need instead.
+BATCH_LIMITS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),)
 #: The same as a regular expression.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -59,7 +61,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarnwork/{name}-{uuid.uuid4().hex}"
     with released_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no result needs any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +89,11 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
     ``work`` gets a slice of a batch and returns output columns by name.  Slicing bounds the
     memory of a task by the piece and the longest single row, not by the batch.
     """
-    names = [x.name for x in df.sparkSession.createDataFrame([], schema).schema]
+    spark = df.sparkSession
+    names = [x.name for x in spark.createDataFrame([], schema).schema]
+    for key, usual, most in BATCH_LIMITS:
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, most)
 
     def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if size_col is None:

@@ -12,7 +12,8 @@ positions that must be compared keep meeting, and none is lost.
    repeat are done: all their strings repeat.
 3. Where stretches differ although their first 100 bytes agree, every position p of one
    stretch of each kind gets the rank pair (100 bytes from p, 100 bytes from p + 100), which is
-   the rank at the threshold; Spark groups the pairs, and pairs seen twice are repeats.
+   the rank at the threshold.  Spark deals and sorts them by first rank, or, where a rank has
+   many kinds of stretches, by the pair itself; pairs seen twice are repeats.
 
 Edge cases: null texts are empty; texts under 200 bytes lose nothing; repeated rows are
 copies of each other and of anything else that equals them.
@@ -20,15 +21,13 @@ copies of each other and of anything else that equals them.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm import fingerprints as fp
-from tarnwork.llm.common import map_batches, stored, texts
+from tarnwork.llm.common import discard, map_batches, stored, texts
 
 LENGTH = 200
 HALF = 100
@@ -90,6 +89,10 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 KEY = ["tid", "size"]
+#: Ranks with more kinds of stretches than this are compared by a shuffle of all rank pairs.
+GROUP_KINDS = 256
+#: Stretches that a task compares at a time.
+GROUP_ROWS = 8192
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,27 +113,93 @@ def selected(rows: DataFrame) -> DataFrame:
     return made.groupBy(*made.columns).agg(F.count("*").alias("copies"))
 
 
-def rank_pairs(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(near, far, tid, size, start, unsure): the rank pair of every position of the source stretches."""
-    wanted = sources.groupBy(*KEY).agg(F.collect_list(F.struct("start", "more", "unsure")).alias("parts"))  # bounded by the text
+def contexts(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(rank, tid, size, start, unsure, wide, bytes): the bytes of each source stretch."""
+    wanted = sources.groupBy(*KEY).agg(F.collect_list(F.struct("rank", "start", "more", "unsure", "wide")).alias("parts"))  # bounded by the text
     one = rows.groupBy(*KEY).agg(F.first("text").alias("text"))  # copies are reduced before the shuffle
 
     def work(batch: pa.RecordBatch) -> dict:
-        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        out: dict[str, list] = {c: [] for c in ("rank", "tid", "size", "start", "unsure", "wide", "bytes")}
         for tid, size, text, parts in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            sums = fp.prefix_sums(data, 0)
-            flat = parts.values
-            start, more, unsure = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = np.repeat(start - np.concatenate(([0], np.cumsum(more + 1)[:-1])), more + 1) + np.arange((more + 1).sum())
-            rank = lambda p: fp.mix(fp.spans(sums, p, p + HALF, 0)).view(np.int64)  # noqa: B023, E731
-            for k, x in enumerate((rank(at), rank(at + HALF), np.full(len(at), tid.as_py()), np.full(len(at), size.as_py(), np.int32), at.astype(np.int32), np.repeat(unsure, more + 1))):
-                found[k].append(x)
-        names = ("near", "far", "tid", "size", "start", "unsure")
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
-        return {c: np.concatenate(x) if x else np.zeros(0, t) for c, x, t in zip(names, found, kinds, strict=True)}
+            data = text.as_buffer().to_pybytes()
+            for p in parts.as_py():
+                made = (p["rank"], tid.as_py(), size.as_py(), p["start"], p["unsure"], p["wide"], data[p["start"] : p["start"] + p["more"] + LENGTH])
+                for column, x in zip(out.values(), made, strict=True):
+                    column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+        return {c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)}
+
+    return map_batches(one.join(wanted, KEY).select(*KEY, "text", "parts"), work, "rank bigint, tid bigint, size int, start int, unsure boolean, wide boolean, bytes binary", size_col="text", piece_bytes=1 << 18)
+
+
+def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, near, far): the rank pair of every position of the stretches in a column of bytes."""
+    data, offsets = fp.buffer_of(column)
+    count = np.diff(offsets) - LENGTH + 1
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[:-1][row] + place
+    sums = fp.prefix_sums(data, 0)
+    rank = lambda p: fp.mix(fp.spans(sums, p, p + HALF, 0)).view(np.int64)
+    return row, place, rank(at), rank(at + HALF)
+
+
+def _twice(batch: pa.Table) -> pa.RecordBatch:
+    """The unsure positions whose rank pair occurs twice in a table of whole rank groups."""
+    row, place, near, far = _pairs(batch.column("bytes").combine_chunks())
+    order = np.lexsort((far, near))
+    n, f = near[order], far[order]
+    same = (n[1:] == n[:-1]) & (f[1:] == f[:-1])
+    again = np.zeros(len(order), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    hit = order[again]
+    hit = hit[batch.column("unsure").to_numpy()[row[hit]]]
+    pick = lambda c: batch.column(c).to_numpy()[row[hit]]
+    start = (pick("start") + place[hit]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(pick("tid"), pa.int64()), pa.array(pick("size"), pa.int32()), pa.array(start), pa.array(start + LENGTH, pa.int32())], ["tid", "size", "start", "end"])
+
+
+def grouped_repeats(told: DataFrame) -> DataFrame:
+    """(tid, size, start, end) of repeated 200-byte strings, for ranks with few stretches.
+
+    Equal strings have equal first ranks, so rows are dealt and sorted by rank, and pairs are
+    compared in a task, some thousands of stretches at a time, never splitting a rank.
+    """
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < GROUP_ROWS:
+                continue
+            whole = pa.Table.from_batches(held)
+            rank = whole.column("rank").to_numpy()
+            end = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on
+            if end:
+                yield _twice(whole.slice(0, end))
+            held, rows = whole.slice(end).to_batches(), whole.num_rows - end
+        if rows:
+            yield _twice(pa.Table.from_batches(held))
+
+    return told.repartition("rank").sortWithinPartitions("rank").select("rank", *KEY, "start", "unsure", "bytes").mapInArrow(run, "tid bigint, size int, start int, end int")
+
+
+def spread_repeats(told: DataFrame) -> DataFrame:
+    """The same for ranks with many stretches: Spark groups the rank pairs themselves."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        row, place, near, far = _pairs(batch.column(4))
+        pick = lambda k: batch.column(k).to_numpy(zero_copy_only=False)[row]
+        return {"near": near, "far": far, "tid": pick(0), "size": pick(1), "start": (pick(2) + place).astype(np.int32), "unsure": pick(3)}
 
-    return map_batches(one.join(wanted, KEY).select(*KEY, "text", "parts"), work, "near bigint, far bigint, tid bigint, size int, start int, unsure boolean", size_col="text", piece_bytes=1 << 20)
+    pairs = map_batches(told.select(*KEY, "start", "unsure", "bytes"), work, "near bigint, far bigint, tid bigint, size int, start int, unsure boolean", size_col="bytes", piece_bytes=1 << 20)
+    twice = pairs.groupBy("near", "far").agg(F.count("*").alias("seen")).where("seen > 1").select("near", "far")
+    return pairs.where("unsure").join(twice, ["near", "far"]).select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeats(rows: DataFrame) -> DataFrame:
@@ -138,14 +207,18 @@ def repeats(rows: DataFrame) -> DataFrame:
     first = stored(selected(rows), "suffix-selected")
     again = first.groupBy("rank").agg(F.sum("copies").alias("seen")).where("seen > 1").select("rank")
     rest = stored(first.join(again, "rank"), "suffix-again")
+    discard(first)
     kinds = stored(rest.groupBy("rank", "stretch").agg(F.sum("copies").alias("seen"), F.min(F.struct(*KEY, "start", "more")).alias("one")), "suffix-kinds")
-    sure = rest.join(kinds.where("seen > 1").select("rank", "stretch"), ["rank", "stretch"]).select(*KEY, "start", (F.col("start") + F.col("more") + LENGTH).alias("end"))
-    mixed = kinds.where("seen = 1").select("rank").distinct()
-    sources = stored(kinds.join(mixed, "rank").select("one.*", (F.col("seen") == 1).alias("unsure")), "suffix-sources")
-    pairs = stored(rank_pairs(rows, sources), "suffix-pairs")
-    twice = pairs.groupBy("near", "far").agg(F.count("*").alias("seen")).where("seen > 1").select("near", "far")
-    found = pairs.where("unsure").join(twice, ["near", "far"]).select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
-    return stored(sure.unionByName(found), "suffix-repeats")
+    sure = stored(rest.join(kinds.where("seen > 1").select("rank", "stretch"), ["rank", "stretch"]).select(*KEY, "start", (F.col("start") + F.col("more") + LENGTH).alias("end")), "suffix-sure")
+    discard(rest)
+    mixed = kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("seen").alias("least")).where("least = 1").select("rank", (F.col("kinds") > GROUP_KINDS).alias("wide"))
+    sources = stored(kinds.join(mixed, "rank").select("rank", "one.*", (F.col("seen") == 1).alias("unsure"), "wide"), "suffix-sources")
+    discard(kinds)
+    told = stored(contexts(rows, sources), "suffix-contexts")
+    found = grouped_repeats(told.where("not wide")).unionByName(spread_repeats(told.where("wide")))
+    out = stored(sure.unionByName(found), "suffix-repeats")
+    discard(sure, sources, told)
+    return out
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tarnwork.plans import graph_queries, log_queries, memory_queries, retrieval_queries, stream_queries  # noqa: F401
+from tarnwork.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

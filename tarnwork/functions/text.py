@@ -118,12 +118,11 @@ def snippet(text: Column, at: Column, limit: int) -> Column:
 
     Marks count towards the limit; without a match the text's start is taken.
     """
-    n = F.length(text)
-    place = F.greatest(at, F.lit(1))
-    start = F.greatest(F.lit(1), F.least(place - (limit // 2), n - limit + 1))
-    left, right = start > 1, start + limit - 1 < n
-    body = F.substring(text, start + F.when(left, 1).otherwise(0), F.lit(limit) - F.when(left, 1).otherwise(0) - F.when(right, 1).otherwise(0))
-    made = F.concat(F.when(left, F.lit("…")).otherwise(F.lit("")), body, F.when(right, F.lit("…")).otherwise(F.lit("")))
+    n, body = F.length(text), limit - 2
+    start = F.greatest(at, F.lit(1)) - body // 2
+    mark = F.lit("…")
+    middle = F.concat(mark, F.substring(text, start, F.lit(body)), mark)
+    made = F.when(start <= 1, F.concat(F.left(text, F.lit(limit - 1)), mark)).when(start + body > n, F.concat(mark, F.right(text, F.lit(limit - 1)))).otherwise(middle)
     return F.when(n <= limit, text).otherwise(made)
 
 

@@ -135,7 +135,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
 
 
-@query("rnk30_snippets", "SELECT doc_id, CASE WHEN n <= 40 THEN text ELSE (CASE WHEN s > 1 THEN '…' ELSE '' END) || substr(text, s + CASE WHEN s > 1 THEN 1 ELSE 0 END, 40 - CASE WHEN s > 1 THEN 1 ELSE 0 END - CASE WHEN s + 39 < n THEN 1 ELSE 0 END) || (CASE WHEN s + 39 < n THEN '…' ELSE '' END) END AS snippet FROM (SELECT doc_id, text, length(text) AS n, greatest(1, least(greatest(strpos(text, 'tion'), 1) - 20, length(text) - 40 + 1)) AS s FROM documents)")
+@query("rnk30_snippets", "SELECT doc_id, CASE WHEN n <= 40 THEN text WHEN s <= 1 THEN left(text, 39) || '…' WHEN s + 38 > n THEN '…' || right(text, 39) ELSE '…' || substr(text, s, 38) || '…' END AS snippet FROM (SELECT doc_id, text, length(text) AS n, greatest(strpos(text, 'tion'), 1) - 19 AS s FROM documents)")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.snippet(F.col("text"), F.instr("text", "tion"), 40).alias("snippet"))
 

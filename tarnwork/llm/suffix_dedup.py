@@ -12,8 +12,8 @@ positions that must be compared keep meeting, and none is lost.
    repeat are done: all their strings repeat.
 3. Where stretches differ although their first 100 bytes agree, every position p of one
    stretch of each kind gets the rank pair (100 bytes from p, 100 bytes from p + 100), which is
-   the rank at the threshold.  Spark deals and sorts them by first rank, or, where a rank has
-   many kinds of stretches, by the pair itself; pairs seen twice are repeats.
+   the rank at the threshold.  Spark deals and sorts them by first rank, and where a rank has
+   many kinds of stretches also by the pair; pairs seen twice are repeats.
 
 Edge cases: null texts are empty; texts under 200 bytes lose nothing; repeated rows are
 copies of each other and of anything else that equals them.
@@ -89,8 +89,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 KEY = ["tid", "size"]
-#: Ranks with more kinds of stretches than this are compared by a shuffle of all rank pairs.
-GROUP_KINDS = 256
+#: Kinds of stretches of a rank for each of its slots, in which pairs are compared.
+GROUP_KINDS = 1024
 #: Stretches that a task compares at a time.
 GROUP_ROWS = 8192
 
@@ -113,40 +113,57 @@ def selected(rows: DataFrame) -> DataFrame:
     return made.groupBy(*made.columns).agg(F.count("*").alias("copies"))
 
 
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, near, far): the rank pair of every 200-byte string of packed stretches."""
+    count = np.diff(offsets) - LENGTH + 1
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[:-1][row] + place
+    sums = fp.prefix_sums(data, 0)
+    rank = lambda p: fp.mix(fp.spans(sums, p, p + HALF, 0))
+    return row, place, rank(at), rank(at + HALF)
+
+
+def _slot(near: np.ndarray, far: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """In which of a rank's slots a pair is compared."""
+    return (fp.mix(near ^ (far * np.uint64(0x9E3779B97F4A7C15))) % slots.astype(np.uint64)).astype(np.int32)
+
+
 def contexts(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(rank, tid, size, start, unsure, wide, bytes): the bytes of each source stretch."""
-    wanted = sources.groupBy(*KEY).agg(F.collect_list(F.struct("rank", "start", "more", "unsure", "wide")).alias("parts"))  # bounded by the text
+    """(rank, slot, slots, tid, size, start, unsure, bytes): the bytes of each source stretch.
+
+    A rank with many kinds of stretches has several slots, and a stretch goes to each slot in
+    which one of its rank pairs is compared.
+    """
+    wanted = sources.groupBy(*KEY).agg(F.collect_list(F.struct("rank", "start", "more", "unsure", "slots")).alias("parts"))  # bounded by the text
     one = rows.groupBy(*KEY).agg(F.first("text").alias("text"))  # copies are reduced before the shuffle
+    kinds = {"rank": pa.int64(), "slot": pa.int32(), "slots": pa.int32(), "tid": pa.int64(), "size": pa.int32(), "start": pa.int32(), "unsure": pa.bool_(), "bytes": pa.binary()}
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("rank", "tid", "size", "start", "unsure", "wide", "bytes")}
+        out: dict[str, list] = {c: [] for c in kinds}
         for tid, size, text, parts in zip(*(batch.column(i) for i in range(4)), strict=True):
             data = text.as_buffer().to_pybytes()
             for p in parts.as_py():
-                made = (p["rank"], tid.as_py(), size.as_py(), p["start"], p["unsure"], p["wide"], data[p["start"] : p["start"] + p["more"] + LENGTH])
-                for column, x in zip(out.values(), made, strict=True):
-                    column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-        return {c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)}
-
-    return map_batches(one.join(wanted, KEY).select(*KEY, "text", "parts"), work, "rank bigint, tid bigint, size int, start int, unsure boolean, wide boolean, bytes binary", size_col="text", piece_bytes=1 << 18)
+                told, slots = data[p["start"] : p["start"] + p["more"] + LENGTH], [0]
+                if p["slots"] > 1:
+                    _, _, near, far = _pairs(np.frombuffer(told, np.uint8), np.array([0, len(told)]))
+                    slots = np.unique(_slot(near, far, np.array([p["slots"]]))).tolist()
+                for slot in slots:
+                    made = (p["rank"], slot, p["slots"], tid.as_py(), size.as_py(), p["start"], p["unsure"], told)
+                    for column, x in zip(out.values(), made, strict=True):
+                        column.append(x)
+        return {c: pa.array(x, kinds[c]) for c, x in out.items()}
 
-
-def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, near, far): the rank pair of every position of the stretches in a column of bytes."""
-    data, offsets = fp.buffer_of(column)
-    count = np.diff(offsets) - LENGTH + 1
-    row = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = offsets[:-1][row] + place
-    sums = fp.prefix_sums(data, 0)
-    rank = lambda p: fp.mix(fp.spans(sums, p, p + HALF, 0)).view(np.int64)
-    return row, place, rank(at), rank(at + HALF)
+    schema = "rank bigint, slot int, slots int, tid bigint, size int, start int, unsure boolean, bytes binary"
+    return map_batches(one.join(wanted, KEY).select(*KEY, "text", "parts"), work, schema, size_col="text", piece_bytes=1 << 18)
 
 
 def _twice(batch: pa.Table) -> pa.RecordBatch:
     """The unsure positions whose rank pair occurs twice in a table of whole rank groups."""
-    row, place, near, far = _pairs(batch.column("bytes").combine_chunks())
+    row, place, near, far = _pairs(*fp.buffer_of(batch.column("bytes").combine_chunks()))
+    column = lambda c: batch.column(c).to_numpy()
+    here = _slot(near, far, column("slots")[row]) == column("slot")[row]
+    row, place, near, far = row[here], place[here], near[here], far[here]
     order = np.lexsort((far, near))
     n, f = near[order], far[order]
     same = (n[1:] == n[:-1]) & (f[1:] == f[:-1])
@@ -154,17 +171,16 @@ def _twice(batch: pa.Table) -> pa.RecordBatch:
     again[1:] |= same
     again[:-1] |= same
     hit = order[again]
-    hit = hit[batch.column("unsure").to_numpy()[row[hit]]]
-    pick = lambda c: batch.column(c).to_numpy()[row[hit]]
-    start = (pick("start") + place[hit]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(pick("tid"), pa.int64()), pa.array(pick("size"), pa.int32()), pa.array(start), pa.array(start + LENGTH, pa.int32())], ["tid", "size", "start", "end"])
+    hit = hit[column("unsure")[row[hit]]]
+    start = (column("start")[row[hit]] + place[hit]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(column("tid")[row[hit]], pa.int64()), pa.array(column("size")[row[hit]], pa.int32()), pa.array(start), pa.array(start + LENGTH, pa.int32())], ["tid", "size", "start", "end"])
 
 
 def grouped_repeats(told: DataFrame) -> DataFrame:
-    """(tid, size, start, end) of repeated 200-byte strings, for ranks with few stretches.
+    """(tid, size, start, end) of the repeated 200-byte strings of unsure stretches.
 
-    Equal strings have equal first ranks, so rows are dealt and sorted by rank, and pairs are
-    compared in a task, some thousands of stretches at a time, never splitting a rank.
+    Equal strings have equal first ranks and slots, so rows are dealt and sorted by these, and
+    pairs are compared in a task, some thousands of stretches at a time, never splitting a slot.
     """
 
     def run(batches):
@@ -178,45 +194,32 @@ def grouped_repeats(told: DataFrame) -> DataFrame:
             if rows < GROUP_ROWS:
                 continue
             whole = pa.Table.from_batches(held)
-            rank = whole.column("rank").to_numpy()
-            end = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on
+            rank, slot = whole.column("rank").to_numpy(), whole.column("slot").to_numpy()
+            end = len(rank) - int(((rank == rank[-1]) & (slot == slot[-1])).sum())  # the last slot may go on
             if end:
                 yield _twice(whole.slice(0, end))
             held, rows = whole.slice(end).to_batches(), whole.num_rows - end
         if rows:
             yield _twice(pa.Table.from_batches(held))
 
-    return told.repartition("rank").sortWithinPartitions("rank").select("rank", *KEY, "start", "unsure", "bytes").mapInArrow(run, "tid bigint, size int, start int, end int")
-
-
-def spread_repeats(told: DataFrame) -> DataFrame:
-    """The same for ranks with many stretches: Spark groups the rank pairs themselves."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        row, place, near, far = _pairs(batch.column(4))
-        pick = lambda k: batch.column(k).to_numpy(zero_copy_only=False)[row]
-        return {"near": near, "far": far, "tid": pick(0), "size": pick(1), "start": (pick(2) + place).astype(np.int32), "unsure": pick(3)}
-
-    pairs = map_batches(told.select(*KEY, "start", "unsure", "bytes"), work, "near bigint, far bigint, tid bigint, size int, start int, unsure boolean", size_col="bytes", piece_bytes=1 << 20)
-    twice = pairs.groupBy("near", "far").agg(F.count("*").alias("seen")).where("seen > 1").select("near", "far")
-    return pairs.where("unsure").join(twice, ["near", "far"]).select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
+    return told.repartition("rank", "slot").sortWithinPartitions("rank", "slot").mapInArrow(run, "tid bigint, size int, start int, end int")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(tid, size, start, end): stretches of bytes to remove from each text; they may overlap."""
     first = stored(selected(rows), "suffix-selected")
-    again = first.groupBy("rank").agg(F.sum("copies").alias("seen")).where("seen > 1").select("rank")
+    # stored by itself, so that Spark may split the rows of a very frequent rank
+    again = stored(first.groupBy("rank").agg(F.sum("copies").alias("seen")).where("seen > 1").select("rank"), "suffix-repeated")
     rest = stored(first.join(again, "rank"), "suffix-again")
-    discard(first)
+    discard(first, again)
     kinds = stored(rest.groupBy("rank", "stretch").agg(F.sum("copies").alias("seen"), F.min(F.struct(*KEY, "start", "more")).alias("one")), "suffix-kinds")
     sure = stored(rest.join(kinds.where("seen > 1").select("rank", "stretch"), ["rank", "stretch"]).select(*KEY, "start", (F.col("start") + F.col("more") + LENGTH).alias("end")), "suffix-sure")
     discard(rest)
-    mixed = kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("seen").alias("least")).where("least = 1").select("rank", (F.col("kinds") > GROUP_KINDS).alias("wide"))
-    sources = stored(kinds.join(mixed, "rank").select("rank", "one.*", (F.col("seen") == 1).alias("unsure"), "wide"), "suffix-sources")
+    mixed = kinds.groupBy("rank").agg(F.ceil(F.count("*") / GROUP_KINDS).cast("int").alias("slots"), F.min("seen").alias("least")).where("least = 1").select("rank", "slots")
+    sources = stored(kinds.join(mixed, "rank").select("rank", "one.*", (F.col("seen") == 1).alias("unsure"), "slots"), "suffix-sources")
     discard(kinds)
     told = stored(contexts(rows, sources), "suffix-contexts")
-    found = grouped_repeats(told.where("not wide")).unionByName(spread_repeats(told.where("wide")))
-    out = stored(sure.unionByName(found), "suffix-repeats")
+    out = stored(sure.unionByName(grouped_repeats(told)), "suffix-repeats")
     discard(sure, sources, told)
     return out
 

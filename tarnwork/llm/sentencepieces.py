@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarnwork.llm import fingerprints as fp
 from tarnwork.llm.common import id_type, map_batches, texts
 
 #: The mark that stands for a space in pieces.
@@ -129,11 +130,37 @@ class Encoder:
             raise ValueError(f"pieces cover {ends[-1]} of {len(normalised)} normalised bytes")
         return source[ends] if len(ends) else ends
 
-    def encode(self, rows: list[str], with_spans: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids with an end id, and span ends for all but that one."""
-        ids = [np.array([*x, self.end], np.int32) for x in self.library.encode(rows, num_threads=1)]
-        ends = [self.span_ends(t.encode(), i[:-1]) for t, i in zip(rows, ids, strict=True)] if with_spans else []
-        return ids, ends
+    def encode(self, column: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids with an end id, and span ends for all but that one, of a column of texts."""
+        found = self.library.encode(column.to_pylist(), num_threads=1)
+        for ids in found:
+            ids.append(self.end)
+        ids = pa.array(found, pa.list_(pa.int32()))
+        counts = np.diff(ids.offsets.to_numpy())
+        flat = ids.values.to_numpy()
+        plain = not self.map.units and not self.rules.remove_extra_whitespaces and not self.suffix and self.fixed_lengths
+        ends = self._plain_ends(column, flat, counts) if plain else [self.span_ends(t.encode(), np.array(x[:-1], np.int64)) for t, x in zip(column.to_pylist(), found, strict=True)]
+        return ids, _lists(ends, counts - 1)
+
+    def _plain_ends(self, column: pa.Array, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """``span_ends`` of all rows at once, where normalising only marks spaces."""
+        data, offsets = fp.buffer_of(column)
+        widths = np.where(data == 0x20, len(self.mark), 1)
+        marked = np.concatenate((np.zeros(1, np.int64), np.cumsum(widths)))  # bytes before each byte, spaces marked
+        source = np.append(np.repeat(np.arange(len(data)), widths), len(data))
+        prefix = np.where(np.diff(offsets) > 0, len(self.mark) * self.rules.add_dummy_prefix, 0)
+        total = prefix + np.diff(marked[offsets])
+        row_ends, last = np.cumsum(total), np.cumsum(counts) - 1
+        lengths = self.lengths[flat]
+        lengths[last] = 0
+        ends = np.cumsum(lengths)
+        if not np.array_equal(ends[last], row_ends):
+            raise ValueError("pieces do not cover the normalised text")
+        inner = np.ones(len(flat), bool)
+        inner[last] = False
+        row = np.repeat(np.arange(len(counts)), counts)[inner]
+        local = np.maximum(ends[inner] - (row_ends - total + prefix)[row], 0)
+        return source[marked[offsets[:-1]][row] + local] - offsets[:-1][row]
 
 
 @lru_cache(maxsize=4)
@@ -142,18 +169,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+def _lists(rows, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(counts))).astype(np.int32)
+    flat = np.concatenate([*rows, np.zeros(0, np.int64)]) if isinstance(rows, list) else rows
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32), pa.int32()))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, span_ends): piece k covers the original bytes [span_ends[k-1], span_ends[k])."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        ids, ends = encoder(model_path).encode(batch.column(1).to_pylist(), True)
-        return {id_col: batch.column(0), "ids": _lists(ids, pa.int32()), "span_ends": _lists(ends, pa.int32())}
+        ids, ends = encoder(model_path).encode(batch.column(1))
+        return {id_col: batch.column(0), "ids": ids, "span_ends": ends}
 
     return map_batches(texts(docs, id_col, text_col), work, f"{id_col} {id_type(docs, id_col)}, ids array<int>, span_ends array<int>", size_col=text_col, piece_bytes=1 << 20)
 

@@ -199,7 +199,7 @@ def test_character_map():
             size, new = mapping.longest(data, at) or (n := sentencepieces._utf8_length(data[at]), data[at : at + n])
             out.append(new)
             at += size
-        assert b"".join(out).decode().split() == library.normalize(text).split()
+        assert b"".join(out).decode().split() == library.normalize(text).replace("▁", " ").split()
 
 
 def test_token_counts(docs, empty, fixture_rows, tmp_path):

@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     which doubles the reach.  Every round is written to the shared folder.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).select(F.col("a").alias("node"), "component"), "component-labels")
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).select(F.col("a").alias("node"), "component")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("low"))
-        lower = stored(lower, "component-lower")
-        jump = lower.select(F.col("node").alias("via"), F.col("low").alias("beyond"))
-        after = stored(lower.join(jump, F.col("low") == F.col("via"), "left").select("node", F.least("low", F.coalesce("beyond", "low")).alias("component"), "old"), "component-labels")
+        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
+        after = labels.join(near, F.col("node") == F.col("a"), "left").join(jump, F.col("component") == F.col("via"), "left")
+        low = F.least("component", F.coalesce("near", "component"), F.coalesce("beyond", "component"))
+        after = stored(after.select("node", low.alias("component"), F.col("component").alias("old")), "component-labels")
         labels = after.select("node", "component")
         if after.where(F.col("component") != F.col("old")).isEmpty():
             return labels

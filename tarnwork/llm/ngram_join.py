@@ -41,12 +41,12 @@ PERCENT = 75
 #: How far prefixes in the first pass go beyond the least that must be looked at.
 MARGIN = 0.06
 FREQUENT = 32
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Sizes above this count as one in the histogram; such sets scan lists in any case.
 HISTOGRAM = 256
 SALT_ROWS = 500
 CLASS = ["d1", "d2", "n"]
-MEMBER = ["cid", "n", "own", "cap"]
+MEMBER = ["cid", "n", "rank", "cap"]
 
 
 def shared_least(n):
@@ -173,7 +173,11 @@ def boundary(lists: DataFrame, sets: DataFrame) -> int:
 
 
 def search_keys(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(key, cid, n, own, cap): sets that share a key may link; all links share one."""
+    """(key, cid, n, rank, cap): sets that share a key may link; all links share one.
+
+    In a list the cap is positional: if the token is the first that two sets share, they share
+    at most what each has from its place on.  A link passes this at its first shared token.
+    """
     rows = stored(prefixes(sets, frequent), "join-prefixes")
     lists = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = stored(rows.join(lists, "token"), "join-lists")
@@ -181,8 +185,9 @@ def search_keys(sets: DataFrame, frequent: DataFrame) -> DataFrame:
     # lists: tokens that a larger set has, within the shorter prefix
     listed = rows.where(F.col("place") < F.col("n") - least_shared() + 1)
     scanned = listed.groupBy("token").agg(F.max("n").alias("largest")).where(F.col("largest") > limit).select("token")
-    by_list = listed.join(scanned, "token").select(F.col("token").alias("key"), *MEMBER)
-    small = rows.where(F.col("n") <= limit).groupBy(*MEMBER).agg(F.sort_array(F.collect_list("token")).alias("t"))  # a few tokens each
+    placed = F.floor((100 + PERCENT) * (F.col("n") - F.col("place")) / PERCENT) - F.col("n")
+    by_list = listed.join(scanned, "token").select(F.col("token").alias("key"), "cid", "n", F.col("place").alias("rank"), F.least("cap", placed.cast("int")).alias("cap"))
+    small = rows.where(F.col("n") <= limit).withColumnRenamed("own", "rank").groupBy(*MEMBER).agg(F.sort_array(F.collect_list("token")).alias("t"))  # a few tokens each
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.xxhash64(a, b))))
     by_pair = small.select(F.explode(pairs).alias("key"), *MEMBER)
     return stored(by_list.unionByName(by_pair), "join-keys")
@@ -223,8 +228,8 @@ def link_components(sets: DataFrame, keys: DataFrame) -> DataFrame | None:
     for turn in range(PIVOT_ROUNDS + 1):
         keys = _open(_labelled(keys.select("key", *MEMBER), labels))
         if turn < PIVOT_ROUNDS:
-            # first the most central member, with the fewest shingles of its own; then others by hash
-            order = [F.col("own")] if turn == 0 else []
+            # first the most central member, with the fewest rarer shingles; then others by hash
+            order = [F.col("rank")] if turn == 0 else []
             pivot = keys.groupBy("key").agg(F.min(F.struct(*order, F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "cap", "label")).alias("v"))
             pivot = pivot.select("key", F.col("v.cid").alias("b"), F.col("v.n").alias("b_n"), F.col("v.cap").alias("b_cap"), F.col("v.label").alias("b_label"))
             meets = keys.join(pivot, "key").where((F.col("label") != F.col("b_label")) & fits("b_"))

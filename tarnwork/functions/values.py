@@ -50,6 +50,9 @@ def vector_fingerprint(vector: Column | str) -> Column:
 
 def byte_prefix(text: Column | str, limit: int) -> Column:
     """The longest prefix of whole code points within ``limit`` bytes."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8")
-    kept = F.length(F.regexp_replace(cut, "�+$", ""))
-    return F.when(F.octet_length(text) <= limit, F.col(text) if isinstance(text, str) else text).otherwise(F.substring(text, F.lit(1), kept))
+    c = F.col(text) if isinstance(text, str) else text
+    sizes = F.transform(F.split(F.left(c, F.lit(limit)), ""), lambda x: F.octet_length(x))
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n"))
+    # once a code point does not fit, the count of bytes is past the limit for good
+    fit = F.aggregate(sizes, start, lambda s, x: F.struct((s["bytes"] + x).alias("bytes"), (s["n"] + (s["bytes"] + x <= limit).cast("int")).alias("n")), lambda s: s["n"])
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.substring(c, F.lit(1), fit))

@@ -130,3 +130,10 @@ def test_stream_fold_equals_batch_fold(spark, data):
     a = {x["user_id"]: (x["n"], round(x["total"], 6), x["errors"]) for x in batch.collect()}
     b = {x["user_id"]: (x["n"], round(x["total"], 6), x["errors"]) for x in stream.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "errors"), "batch").alias("s")).select("user_id", "s.*").collect()}
     assert a == b
+
+
+def test_byte_prefix(spark):
+    from tarnwork.functions.values import byte_prefix
+
+    for text, limit, want in (("aé😀b", 3, "aé"), ("aé😀b", 6, "aé"), ("aé😀b", 7, "aé😀"), ("abc", 9, "abc"), ("😀", 2, "")):
+        assert spark.range(1).select(byte_prefix(F.lit(text), limit).alias("p")).first()["p"] == want

@@ -14,9 +14,8 @@ spelled out.
    one longer, larger sets scan the inverted lists; the boundary is the one with the least
    total cost, found from a histogram by size.
 5. Each class is verified against the pivot that shares most keys with it, and links merge
-   classes into components.  A few further rounds take other pivots.  Then only keys that
-   still join different components are left, and all their cross pairs are verified, so no
-   link is lost.
+   classes into components.  Then only keys that still join different components are left,
+   and all their cross pairs are verified, so no link is lost.
 
 Edge cases: null and empty texts have 0 shingles and link with nothing, not even each other;
 texts with fewer than five words have their whole sequence as one shingle; rows that repeat
@@ -41,7 +40,7 @@ PERCENT = 75
 #: How far prefixes in the first pass go beyond the least that must be looked at.
 MARGIN = 0.06
 FREQUENT = 32
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Sizes above this count as one in the histogram; such sets scan lists in any case.
 HISTOGRAM = 256
 SALT_ROWS = 500
@@ -135,7 +134,7 @@ def shared_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def prefixes(sets: DataFrame, frequent: DataFrame) -> DataFrame:
     """(cid, n, own, cap, token, place): the prefixes, one token longer than lists need, frequent tokens last."""
-    late = sets.select("cid", F.explode("shingles").alias("token")).join(frequent, "token").groupBy("cid").agg(F.collect_list("token").alias("late"))
+    late = sets.select("cid", F.explode("shingles").alias("token")).join(frequent.hint("merge"), "token").groupBy("cid").agg(F.collect_list("token").alias("late"))
 
     def work(batch: pa.RecordBatch) -> dict:
         cid, n, token, place, alone, most = [], [], [], [], [], []
@@ -248,7 +247,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id) of every row: the smallest id that links reach."""
     sketch = stored(sketches(docs, id_col, text_col), "join-sketches")
     chosen = stored(may_link(sketch), "join-chosen")
-    rows = texts(docs, id_col, text_col).join(chosen.select(F.col("first").alias("_first")).distinct(), F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
+    wanted = chosen.select(F.col("first").alias("_first")).distinct().hint("merge")  # both joins grow with the input: one plan at every size
+    rows = texts(docs, id_col, text_col).join(wanted, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
     found = whole_sets(rows, text_col).join(chosen.select(*CLASS), CLASS, "left_semi").dropDuplicates(CLASS)
     sets = stored(found.withColumn("cid", F.monotonically_increasing_id()), "join-survivors")  # numbers are fixed once written
     shared, frequent = shared_sets(sets.select("cid", "n", "shingles"))

@@ -34,7 +34,7 @@ CUTOFF = 0.9999999
 #: The transformed statistics, and the least standard deviation that is taken for real: a
 #: group in which a statistic hardly varies must not reject on traces of it.
 FEATURES = ("log_words", "word_length", "symbols", "repeated_lines", "repeated_words")
-LEAST_DEVIATION = (0.3, 0.05, 0.06, 0.06, 0.06)
+LEAST_DEVIATION = (0.3, 0.05, 0.06, 0.12, 0.12)
 P = len(FEATURES)
 #: Distances fall into bins of a factor of 2 ** (1 / BINS).
 BINS = 32

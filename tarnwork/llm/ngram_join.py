@@ -1,8 +1,8 @@
 """N-gram Jaccard join: exact links between documents by their word-shingle sets.
 
 Two sets link when their Jaccard similarity is at least ``PERCENT``; the result is each
-document's connected component.  No pairs within a group of equal or near copies are ever
-spelled out.
+document's connected component.  Copies are one class and never paired.  Near copies are paired only in
+the last step, where a large group that one pivot does not join makes many pairs.
 
 1. Equal sets form one class.  Under the order of shingle hashes, linked sets must share at
    least s of their first n - ceil(0.75 n) + s shingles.  One aggregate finds the shingles

@@ -30,7 +30,7 @@ MOST_REPEATED = 20  # per cent of the words
 LEAST_ROWS = 60
 SUPPORT = 0.75
 STEPS = 4
-CUTOFF = 0.9999999
+CUTOFF = 0.999
 #: The transformed statistics, and the least standard deviation that is taken for real: a
 #: group in which a statistic hardly varies must not reject on traces of it.
 FEATURES = ("log_words", "word_length", "symbols", "repeated_lines", "repeated_words")

@@ -75,6 +75,22 @@ def test_robust_outliers(spark):
     assert all(got[i]["kept"] == (i % 20 != 0) for i in got)
 
 
+def outlier_docs(n, lang, first=0):
+    """n ordinary documents, then one with a few symbols."""
+    r = np.random.default_rng(n)
+    rows = [[f"w{r.integers(10**5, 10**6)}" for _ in range(int(np.exp(r.normal(5, 0.2))))] for _ in range(n)]
+    w = [f"w{k}" for k in range(10**5, 10**5 + 150)]
+    rows.append(["#" + x if k % 6 else x for k, x in enumerate(w)])
+    return [(first + i, " ".join(x), lang, "s") for i, x in enumerate(rows)]
+
+
+def test_moderate_outliers_are_rejected(spark):
+    docs = spark.createDataFrame(outlier_docs(200, "en"), "doc_id bigint, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.quality(docs).collect()}
+    assert not got[200]["base_failed"]
+    assert [i for i in got if not got[i]["kept"]] == [200]
+
+
 def test_quality_edge_cases(docs, empty, fixture_rows):
     assert quality_rules.quality(docs).count() == len(fixture_rows)
     assert quality_rules.quality(empty).count() == 0

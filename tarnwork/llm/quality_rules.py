@@ -8,9 +8,10 @@ one.  A document whose squared Mahalanobis distance exceeds the chi-square quant
 nearest share is found on a histogram of distances, so no group is ever held by one task.
 
 Edge cases: a null text counts as an empty one (all counts 0, base rule failed); null
-languages and sources are groups of their own; groups with fewer than ``LEAST_ROWS``
-documents, or none that pass the base rules, only get the base verdict; rows that repeat
-each get theirs.
+languages and sources are groups of their own; groups in which fewer than ``LEAST_ROWS``
+documents pass the base rules are judged against all documents of their language, or of the
+table where those are too few as well; where even the table has fewer, against its medians and
+median deviations; rows that repeat each get their verdict.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ GRAM = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of the words
 LEAST_ROWS = 60
+EVERY = "every row"
 SUPPORT = 0.75
 STEPS = 4
 CUTOFF = 0.999
@@ -130,7 +132,7 @@ def nearest(measured: DataFrame, share: float) -> DataFrame:
     counted = binned.groupBy("group", "bin").agg(F.count("*").alias("rows"))  # bins are bounded
     w = Window.partitionBy("group").orderBy("bin")
     running = counted.withColumns({"upto": F.sum("rows").over(w), "all": F.sum("rows").over(Window.partitionBy("group"))})
-    edge = running.where(F.col("upto") >= F.col("all") * share).groupBy("group").agg(F.min("bin").alias("edge"))
+    edge = stored(running.where(F.col("upto") >= F.col("all") * share).groupBy("group").agg(F.min("bin").alias("edge")), "quality-edge")
     return binned.join(edge, "group").where(F.col("bin") <= F.col("edge"))
 
 
@@ -163,17 +165,34 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     return current
 
 
+def judged_by(rows: DataFrame) -> DataFrame:
+    """(own, pool, group): for each (language, source) the smallest group around it with enough rows to judge it by."""
+    sizes = stored(rows.groupBy("own", "pool").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")), "quality-sizes")
+    pools = sizes.groupBy("pool").agg(F.sum("n").alias("pool_n"))
+    group = F.when(F.col("n") >= LEAST_ROWS, F.col("own")).when(F.col("pool_n") >= LEAST_ROWS, F.col("pool")).otherwise(F.lit(EVERY))
+    return stored(sizes.join(pools, "pool").select("own", "pool", group.alias("group")), "quality-groups")
+
+
 def judge(counted: DataFrame) -> DataFrame:
     """Adds base_failed, distance2 and kept to a stored table with the counts, lang and source."""
-    group = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")))
-    rows = counted.withColumns({"base_failed": base_failed(), "group": group}).select("*", *vectors())
-    fitted = minimum_covariance(rows.where(~F.col("base_failed")).select("group", *FEATURES))
+    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    named = {"own": F.concat_ws("\x01", F.lit("own"), tag("lang"), tag("source")), "pool": F.concat_ws("\x01", F.lit("pool"), tag("lang"))}
+    rows = counted.withColumns({"base_failed": base_failed(), **named}).select("*", *vectors())
+    chosen = judged_by(rows)
+    # each group that judges is estimated from all rows that belong to it
+    belongs = rows.where(~F.col("base_failed")).select(F.explode(F.array("own", "pool", F.lit(EVERY))).alias("group"), *FEATURES)
+    fit = stored(belongs.join(F.broadcast(chosen.select("group").distinct()), "group"), "quality-members")
     # the nearest share of a normal sample looks too narrow by a known factor
     factor = SUPPORT / chi_square_share(chi_square_quantile(SUPPORT, P), P + 2)
     limit = chi_square_quantile(CUTOFF, P) * factor
-    sure = fitted.where(F.col("n") >= LEAST_ROWS * SUPPORT).select("group", "centre", "inverse")
-    out = rows.join(sure, "group", "left").withColumn("distance2", distance())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= limit)).drop("group", "centre", "inverse", *FEATURES)
+    if fit.limit(LEAST_ROWS).count() < LEAST_ROWS:  # then the only group is the table
+        wide = F.transform("inverse", lambda row: F.transform(row, lambda v: v * factor))
+        fitted = first_estimate(fit).withColumn("inverse", wide)
+    else:
+        fitted = minimum_covariance(fit)
+    judged = rows.join(chosen, ["own", "pool"]).join(fitted.select("group", "centre", "inverse"), "group", "left")
+    out = judged.withColumn("distance2", F.when(F.col("centre").isNotNull(), distance()))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= limit)).drop("own", "pool", "group", "centre", "inverse", *FEATURES)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

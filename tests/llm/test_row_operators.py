@@ -91,6 +91,23 @@ def test_moderate_outliers_are_rejected(spark):
     assert [i for i in got if not got[i]["kept"]] == [200]
 
 
+def test_small_groups_are_judged_by_a_pool(spark):
+    rows = [(*x[:3], f"s{k % 20}") for k, x in enumerate(outlier_docs(300, "en"))] + [(*x[:2], None, "t") for x in outlier_docs(9, "", 1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.quality(docs).collect()}
+    assert [i for i in sorted(got) if not got[i]["kept"]] == [300, 1009]
+    counts = {x["doc_id"]: x for x in quality_rules.base_counts(docs, ["doc_id"]).select("doc_id", *quality_rules.vectors()).collect()}
+    features = lambda ids: np.array([[counts[i][f] for f in quality_rules.FEATURES] for i in ids])
+    english, every = range(301), sorted(got)
+    assert np.allclose([got[i]["distance2"] for i in english], mcd(features(english), quality_rules.STEPS), rtol=1e-4, atol=1e-6)
+    assert np.allclose([got[i]["distance2"] for i in every[301:]], mcd(features(every), quality_rules.STEPS)[301:], rtol=1e-4, atol=1e-6)
+
+
+def test_table_of_a_few_rows_is_judged(spark):
+    docs = spark.createDataFrame(outlier_docs(20, "en"), "doc_id bigint, text string, lang string, source string")
+    assert [x["doc_id"] for x in quality_rules.quality(docs).where("not kept").collect()] == [20]
+
+
 def test_quality_edge_cases(docs, empty, fixture_rows):
     assert quality_rules.quality(docs).count() == len(fixture_rows)
     assert quality_rules.quality(empty).count() == 0

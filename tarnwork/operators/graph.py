@@ -71,14 +71,27 @@ def mutual(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["caller", "callee"]).where("caller < callee").select(F.col("caller").alias("low"), F.col("callee").alias("high"))
 
 
+def trimmed(edges: DataFrame, store) -> DataFrame:
+    """The edges without nodes that nothing enters or leaves, over and over: no cycle has them."""
+    n = edges.count()
+    while n:
+        starts, ends = edges.select(F.col("caller").alias("callee")).distinct(), edges.select(F.col("callee").alias("caller")).distinct()
+        edges = store(edges.join(ends, "caller", "left_semi").join(starts, "callee", "left_semi").select("caller", "callee"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame, store) -> DataFrame:
     """(node, component) of every node on a cycle: forward and backward reachability by colours.
 
-    Each round every node takes the largest node that reaches it as its colour; nodes that
+    Nodes that cannot lie on a cycle leave first.  Each round every node takes the largest node that reaches it as its colour; nodes that
     reach their colour's root within the colour are its component and leave.  ``store`` writes
     a table and reads it again.
     """
     left = store(edges.select("caller", "callee").where("caller <> callee").distinct())
+    left = trimmed(left, store)
     done = None
     while not left.isEmpty():
         nodes = left.select(F.explode(F.array("caller", "callee")).alias("node")).distinct()
@@ -100,7 +113,7 @@ def strong_components(edges: DataFrame, store) -> DataFrame:
             found = store(found.unionByName(more))
         done = found if done is None else store(done.unionByName(found))
         gone = found.select("node")
-        left = store(left.join(gone.withColumnRenamed("node", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("node", "callee"), "callee", "left_anti"))
+        left = trimmed(store(left.join(gone.withColumnRenamed("node", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("node", "callee"), "callee", "left_anti")), store)
     if done is None:
         return edges.select(F.col("caller").alias("node"), F.col("caller").alias("component")).limit(0)
     sized = done.groupBy("colour").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")

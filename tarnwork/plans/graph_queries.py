@@ -84,8 +84,7 @@ def _(spark, d):
 
 @query("grf16_strong_components")
 def _(spark, d):
-    edges = calls(spark, d).where("pmod(hash(caller, callee), 40) = 0")
-    return graph.strong_components(edges, lambda t: stored(t, "scc"))
+    return graph.strong_components(calls(spark, d), lambda t: stored(t, "scc"))
 
 
 @query("grf17_mutual_cycles", CALLS + "SELECT a.caller AS low, a.callee AS high FROM calls a JOIN calls b ON a.caller = b.callee AND a.callee = b.caller WHERE a.caller < a.callee")

@@ -1,5 +1,7 @@
 """Golden values and properties of single operators."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +96,53 @@ def test_strong_components(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
 
 
+def tarjan(edges):
+    """(node, least node of its component) of every node on a cycle."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    number, low, stack, on, found = {}, {}, [], set(), []
+
+    def visit(v):
+        number[v] = low[v] = len(number)
+        stack.append(v)
+        on.add(v)
+        for w in out[v]:
+            if w not in number:
+                visit(w)
+            if w in on:
+                low[v] = min(low[v], low[w])
+        if low[v] == number[v]:
+            part = stack[stack.index(v) :]
+            del stack[-len(part) :]
+            on.difference_update(part)
+            if len(part) > 1:
+                found.extend((w, min(part)) for w in part)
+
+    for v in out:
+        if v not in number:
+            visit(v)
+    return sorted(found)
+
+
+def test_strong_components_of_random_graph(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(75)]
+    want = tarjan(edges)
+    assert len({c for _, c in want}) > 1 or len(want) < 60
+    got = graph.strong_components(spark.createDataFrame(edges, "caller long, callee long"), lambda t: stored(t, "t"))
+    assert sorted(tuple(x) for x in got.collect()) == want != []
+
+
+def test_strong_components_query_takes_all_edges(spark, data):
+    from tarnwork.plans import catalog
+    from tarnwork.sources.tables import calls
+
+    got = catalog.queries()["grf16_strong_components"](spark, data)
+    assert sorted(tuple(x) for x in got.collect()) == tarjan([tuple(x) for x in calls(spark, data).collect()])
+
+
 def test_cursor():
     c = r.cursor([5, 1], {"a": [1, 2]}, 3)
     assert r.read_cursor(c, {"a": [2, 1]}, 3) == [5, 1]

@@ -19,11 +19,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    groups = ngram_join.jaccard_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    first = stored(first, "pipeline-first")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    """One row of each group of near duplicates: the smallest id, nulls last, and of its rows the first.
+
+    Groups are of rows, as ids may repeat or be null.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")  # numbers are fixed once written
+    groups = ngram_join.jaccard_components(rows, id_col="_row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    first = stored(first.select("_row"), "pipeline-first")
+    return rows.join(first, "_row", "left_semi").drop("_row")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

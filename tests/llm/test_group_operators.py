@@ -134,3 +134,14 @@ def test_near_duplicate_stage_keeps_one(spark, docs):
     kept = corpus_pipeline.ngram_jaccard(spark, docs.where("doc_id is not null"), "")
     groups = ngram_join.jaccard_components(docs.where("doc_id is not null"))
     assert {x[0] for x in kept.select("doc_id").collect()} == {x[0] for x in groups.select("component_id").collect()}
+
+
+def test_near_duplicate_stage_keeps_one_row(spark, docs, fixture_rows):
+    nameless = (None, "only rows without any id have this text", *fixture_rows[0][2:])
+    rows = [*fixture_rows, nameless, nameless]
+    kept = corpus_pipeline.ngram_jaccard(spark, docs.unionByName(spark.createDataFrame([nameless] * 2, docs.schema)), "")
+    assert kept.schema.names == docs.schema.names
+    first = {}
+    for (k, _, group) in jaccard([(k, r[1]) for k, r in enumerate(rows)]):
+        first[group] = min(first.get(group, k), k, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    assert sorted_rows((x["doc_id"], x["text"]) for x in kept.collect()) == sorted_rows(rows[k][:2] for k in first.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset (local tests) a
-    temporary folder is made once and set as the checkpoint folder of the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset and the session runs
+    on this machine alone (local tests) a temporary folder is made once and set as the
+    checkpoint folder of the session; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarnwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,40 +87,60 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *, piece_bytes: int = 4 << 20, size_col: str | None = None) -> DataFrame:
-    """``mapInArrow`` over slices of about ``piece_bytes`` bytes (or list members) of ``size_col``.
+def slices(batch: pa.RecordBatch, size_col: str | None, piece_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``piece_bytes`` bytes (or list members) of ``size_col``."""
+    import pyarrow.compute  # noqa: F401
+
+    if size_col is None:
+        yield batch
+        return
+    column = batch.column(size_col)
+    length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
+    sizes = length(column).fill_null(0).to_pylist()
+    first = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > piece_bytes:
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as texts may be long.
 
-    ``work`` gets a slice of a batch and returns output columns by name.  Slicing bounds the
-    memory of a task by the piece and the longest single row, not by the batch.
+    The setting holds for the session from here on, because plans read it only when they run;
+    a value that the user has chosen stays.
     """
-    spark = df.sparkSession
-    names = [x.name for x in spark.createDataFrame([], schema).schema]
     for key, usual, most in BATCH_LIMITS:
-        if spark.conf.get(key, None) == usual:
+        if spark.conf.get(key, None) in (None, usual):
             spark.conf.set(key, most)
 
-    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if size_col is None:
-            yield batch
-            return
-        column = batch.column(size_col)
-        length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
-        sizes = length(column).fill_null(0).to_pylist()
-        first = total = 0
-        for k, size in enumerate(sizes):
-            if total and total + size > piece_bytes:
-                yield batch.slice(first, k - first)
-                first, total = k, 0
-            total += size
-        if first < len(sizes):
-            yield batch.slice(first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size_col: str | None = None, piece_bytes: int = 4 << 20) -> DataFrame:
+    """``mapInArrow`` of ``work`` over slices of batches.
+
+    Slicing bounds the memory of a task by the piece and the longest single row, not by the batch.
+    """
+    small_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                out = work(part)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names], names)
+            for part in slices(batch, size_col, piece_bytes):
+                yield work(part)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *, piece_bytes: int = 4 << 20, size_col: str | None = None) -> DataFrame:
+    """The same for a ``work`` that returns output columns by name."""
+    names = [x.name for x in df.sparkSession.createDataFrame([], schema).schema]
+
+    def made(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = work(part)
+        return pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names], names)
+
+    return map_slices(df, made, schema, size_col, piece_bytes)

@@ -12,6 +12,7 @@ each get their count; an empty table appends nothing.
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import lru_cache
 from importlib.metadata import version
 
@@ -35,6 +36,7 @@ def tokenizer_digest(path: str) -> str:
 @lru_cache(maxsize=4)
 def _counter(path: str):
     if path.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each more thread keeps memory of its own
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -53,7 +55,7 @@ def count_tokens(contents: DataFrame, path: str, text_col: str = "text") -> Data
     def work(batch: pa.RecordBatch) -> dict:
         return {"content": batch.column(0), "n_tokens": pa.array(_counter(path)(batch.column(1).to_pylist()), pa.int64())}
 
-    return map_batches(contents.select("content", text_col), work, "content string, n_tokens bigint", size_col=text_col, piece_bytes=1 << 20)
+    return map_batches(contents.select("content", text_col), work, "content string, n_tokens bigint", size_col=text_col, piece_bytes=1 << 17)
 
 
 def read_store(docs: DataFrame, store: str) -> DataFrame:

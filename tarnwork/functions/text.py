@@ -39,6 +39,18 @@ def expand_query(text: str) -> list[str]:
     return list(dict.fromkeys([t.lower() for t in found] + [p for t in found for p in split_identifier(t) if p != t.lower()]))[:MAX_QUERY_TOKENS]
 
 
+def expanded(text: Column | str) -> Column:
+    """The same for a column of queries."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    parts = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), F.lower), lambda p: p != F.lower(t))
+    return F.slice(F.array_distinct(F.concat(F.transform(found, F.lower), F.flatten(F.transform(found, parts)))), 1, MAX_QUERY_TOKENS)
+
+
+def unicode_tokens(text: Column | str) -> Column:
+    """Lower-case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def collapse(text: Column | str) -> Column:
     """White-space runs as one space, ends trimmed."""
     return F.btrim(F.regexp_replace(text, r"\s+", " "))
@@ -128,15 +140,24 @@ def snippet(text: Column, at: Column, limit: int) -> Column:
 
 #: Literal kinds in order of priority, with their patterns.
 LITERAL_KINDS = (
-    ("url", r"^[a-z][a-z0-9+.-]*://\S+$"), ("route", r"^/[A-Za-z0-9_/:{}*.-]*$"), ("path", r"^\.{0,2}/?[\w.-]+(/[\w.-]+)+$"), ("version", r"^v?\d+\.\d+(\.\d+)?([.-][\w.]+)?$"),
-    ("number", r"^[+-]?\d+(\.\d+)?$"), ("env", r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"), ("identifier", r"^[A-Za-z_]\w*$"), ("sentence", r"\s"),
-)
+    ("route", r"^/"),
+    ("url", r"https?://[^\s'\"]+"),
+    ("topic", r"(?i)[-.](topic|events)\z"),
+    ("queue", r"(?i)([-.]queue|[-.]fifo|^queue[-.]|^fifo[-.])"),
+    ("env_key", r"^[A-Z][A-Z0-9_]{2,}\z"),
+    ("config_key", r"^[a-z][a-z0-9]*(\.[a-z][a-z0-9]*)+\z"),
+    ("sql", r"(?i)\b(from|join|update|into|table)\s+[A-Za-z_]\w*"),
+    ("error_string", r"(?i)\b(error|failed|failure|invalid|unauthorized|forbidden|timeout|not found)\b"),
+    ("log_key", r"(?i)(trace|logger|log|event)"),
+)
+#: Fixed value: shorter literals, in bytes, have no kind.
+LEAST_LITERAL = 3
 
 
 def literal_kind(text: Column | str) -> Column:
-    """The first kind whose pattern fits, or other."""
+    """The first kind whose pattern is found, or null."""
     c = F.col(text) if isinstance(text, str) else text
-    out = None
+    out = F.when(F.octet_length(c) < LEAST_LITERAL, F.lit(None).cast("string"))
     for kind, pattern in LITERAL_KINDS:
-        out = F.when(c.rlike(pattern), kind) if out is None else out.when(c.rlike(pattern), kind)
-    return out.otherwise("other")
+        out = out.when(c.rlike(pattern), kind)
+    return out

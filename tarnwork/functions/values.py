@@ -56,3 +56,8 @@ def byte_prefix(text: Column | str, limit: int) -> Column:
     # once a code point does not fit, the count of bytes is past the limit for good
     fit = F.aggregate(sizes, start, lambda s, x: F.struct((s["bytes"] + x).alias("bytes"), (s["n"] + (s["bytes"] + x <= limit).cast("int")).alias("n")), lambda s: s["n"])
     return F.when(F.octet_length(c) <= limit, c).otherwise(F.substring(c, F.lit(1), fit))
+
+
+def whole_json(text: Column | str) -> Column:
+    """Whether a text, such as a cut prefix, is whole JSON by itself."""
+    return F.try_parse_json(text).isNotNull()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.prefix import running
+
 STEP = ["session_id", "turn", "step"]
 
 
@@ -107,17 +109,18 @@ def list_metadata(log: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """SHA-256 of each key's sorted multiset."""
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(member)), "\n"), 256).alias("fingerprint"))
+    """SHA-256 of each key's sorted multiset, of its distinct members and how often each occurs."""
+    counted = rows.groupBy(key, member).agg(F.count("*").alias("n"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct(member, "n"))), lambda x: F.concat_ws(":", x[member], x["n"].cast("string")))
+    return counted.groupBy(key).agg(F.sha2(F.array_join(each, "\n"), 256).alias("fingerprint"))
 
 
 def allocate(rows: DataFrame, weight: str, total: int) -> DataFrame:
     """Whole shares of ``total`` in proportion to a weight, what is left dealt round robin by id."""
-    every = Window.partitionBy()
-    share = F.floor(F.lit(total) * F.col(weight) / F.sum(weight).over(every))
-    given = rows.withColumn("share", share)
-    rest = F.lit(total) - F.sum("share").over(every)
-    return given.withColumn("_rest", rest).withColumn("_r", F.row_number().over(Window.orderBy("id"))).select("id", (F.col("share") + (F.col("_r") <= F.col("_rest")).cast("int")).cast("bigint").alias("share"))
+    whole = rows.agg(F.sum(weight).alias("whole"))
+    given = rows.join(F.broadcast(whole)).withColumn("share", F.floor(F.lit(total) * F.col(weight) / F.col("whole")))  # one row
+    rest = given.agg((F.lit(total) - F.sum("share")).alias("rest"))
+    return running(given, [], ["id"], name="place").join(F.broadcast(rest)).select("id", (F.col("share") + (F.col("place") <= F.col("rest")).cast("int")).cast("bigint").alias("share"))
 
 
 def surface(log: DataFrame) -> DataFrame:

@@ -8,11 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Confidence of a resolution by the step that made it, in order of preference.
-CONFIDENCE = {
-    "exact": 1.0, "qualified": 0.95, "scope": 0.9, "import": 0.85, "global-unique": 0.75,
-    "suffix": 0.65, "fuzzy-signal": 0.55, "heuristic": 0.5, "fuzzy-single": 0.40, "fuzzy-multi": 0.30,
-}
+#: Candidates that do not lower a confidence, and the largest pool of equal names that is evidence.
 FREE_CANDIDATES = 3
 LEAF_POOL = 256
 
@@ -34,24 +30,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.select("e.*").groupBy("node").agg(F.sum("i").alias("inward"), F.sum("o").alias("outward"))
 
 
-def resolve(names: DataFrame, steps: dict[str, DataFrame]) -> DataFrame:
-    """(ref_id, target, step, confidence): the first step with a candidate wins.
-
-    A step is a table (ref_id, target); several candidates of the winning step lower its
-    confidence, and the smallest target is taken.
-    """
-    ladder = None
-    for place, (name, found) in enumerate(steps.items()):
-        part = found.groupBy("ref_id").agg(F.count("*").alias("candidates"), F.min("target").alias("target"))
-        part = part.select("ref_id", F.lit(place).alias("place"), F.lit(name).alias("step"), "target", F.round(penalised(F.lit(CONFIDENCE[name]), F.col("candidates")), 6).alias("confidence"))
-        ladder = part if ladder is None else ladder.unionByName(part)
-    won = ladder.groupBy("ref_id").agg(F.min_by(F.struct("target", "step", "confidence"), "place").alias("w"))
-    return names.select("ref_id").join(won, "ref_id", "left").select("ref_id", "w.target", "w.step", "w.confidence")
-
-
-def dead(nodes: DataFrame, edges: DataFrame, keep: str) -> DataFrame:
-    """Nodes that nothing calls and whose name is not excluded."""
-    return nodes.where(~F.col("name").rlike(keep)).join(edges.select(F.col("callee").alias("node")), "node", "left_anti")
+def dead(nodes: DataFrame, edges: DataFrame, keep: str, outside: DataFrame | None = None) -> DataFrame:
+    """Nodes that nothing calls, that nothing outside refers to, and whose name is not excluded."""
+    found = nodes.where(~F.col("name").rlike(keep)).join(edges.select(F.col("callee").alias("node")), "node", "left_anti")
+    return found if outside is None else found.join(outside.select("node"), "node", "left_anti")
 
 
 def within(edges: DataFrame, seeds: DataFrame, hops: int, towards: str = "callee") -> DataFrame:

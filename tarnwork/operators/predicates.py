@@ -91,16 +91,38 @@ def parse_query(text: str) -> tuple[str, dict[str, list[str]]]:
 
 
 #: Shapes of secrets.
-SECRETS = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)\b(api[_-]?key|secret|token|password)\b\s*[:=]\s*[\"']?[A-Za-z0-9_/+=-]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b")
+SECRETS = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"\b(sk|ghp|github_pat)_[A-Za-z0-9_-]{16,}\b",
+    r"(?i)\b(api[_ -]?key|access[_ -]?token|password|secret)\s*[:=]\s*\S{8,}",
+)
 
 
 def secret_shaped(column: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(column).rlike(p) for p in SECRETS))
 
 
-def test_file(path: str) -> Column:
-    """Whether a path looks like a test's, by the customs of several languages."""
-    return F.col(path).rlike(r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*\.py$|_test\.(py|go)$|\.(test|spec)\.[jt]sx?$|Tests?\.java$")
+def _any(column: Column, *, inside: tuple[str, ...] = (), ends: tuple[str, ...] = ()) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(column, F.lit(x)) for x in inside] + [F.endswith(column, F.lit(x)) for x in ends])
+
+
+def test_file(path: str, language: str) -> Column:
+    """Whether a path looks like a test's by the custom of its language; other languages have none."""
+    p, lower = F.col(path), F.lower(path)
+    name = F.substring_index(path, "/", -1)
+    #: What paths of tests contain or end with, by language.
+    rules = {
+        ("rust",): _any(p, inside=("/tests/",), ends=("_test.rs",)),
+        ("python",): _any(p, inside=("/tests/", "test_", "_test.py"), ends=("tests.py",)),
+        ("javascript", "typescript", "tsx", "jsx"): _any(p, inside=(".test.", ".spec.", "__tests__")),
+        ("go",): _any(p, ends=("_test.go",)),
+        ("java",): F.startswith(name, F.lit("Test")) | F.endswith(name, F.lit("Test.java")),
+        ("c", "cpp"): _any(lower, inside=("/test_", "/tests/", "_tests.c", "_tests.cpp"), ends=("_test.c", "_test.cpp", "_test.cc", "_test.cxx")),
+    }
+    out = F.lit(False)
+    for languages, rule in rules.items():
+        out = F.when(F.col(language).isin(*languages), rule).otherwise(out)
+    return out
 
 
 def authorized(rows: DataFrame, grants: DataFrame, on: str) -> DataFrame:

@@ -14,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import overlap, query_tokens, tokens
+from tarnwork.functions.text import query_tokens, tokens
+from tarnwork.operators.prefix import running
+from tarnwork.storage import stored
 
 #: Fusion constant and lane weights.
 FUSION_K = 50
@@ -26,28 +28,27 @@ OVERLAP_WEIGHT = 0.35
 DIGITS = 9
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, length, token, tf): the inverted index of (doc_id, text)."""
-    each = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode("t").alias("token"))
-    return each.groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, token) of (query_id, text)."""
     return queries.select("query_id", F.explode(query_tokens("text")).alias("token"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 over the documents; only postings of query tokens are shuffled."""
+    """(query_id, doc_id, score, matched): BM25 over the documents, and how many query tokens each has.
+
+    Tokens that no query has leave before anything is shuffled or counted, and the postings of
+    the others are stored once, for document frequencies and for scores.
+    """
     terms = query_terms(queries)
-    wanted = terms.select("token").distinct()
-    lengths = docs.select(F.size(tokens("text")).alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    found = postings(docs).join(wanted, "token")
+    wanted = stored(terms.select("token").distinct(), "wanted-tokens")
+    totals = docs.select(F.size(tokens("text")).alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    each = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode("t").alias("token"))
+    found = stored(each.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf")), "wanted-postings")
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
-    scored = found.join(df, "token").join(F.broadcast(lengths)).select("doc_id", "token", (idf * norm).alias("part"))  # one row of totals
-    return terms.join(scored, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    scored = found.join(df, "token").join(F.broadcast(totals)).select("doc_id", "token", (idf * norm).alias("part"))  # one row of totals
+    return terms.join(scored, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("matched"))
 
 
 def grep(docs: DataFrame, needle: str, most: int) -> DataFrame:
@@ -74,18 +75,60 @@ def top(rows: DataFrame, score: str, n: int, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def overlap_lane(some: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): the share of the query's tokens that each candidate of ``lexical`` has."""
+    asked = query_terms(queries).groupBy("query_id").agg(F.count("*").alias("asked"))
+    return some.join(asked, "query_id").select("query_id", "doc_id", F.round(F.col("matched") / F.col("asked"), DIGITS).alias("score"))
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """Tokenise, lexical and token-overlap lanes, fusion, overlap rerank, best n of each query."""
-    lex = lexical(docs, queries)
-    some = ranked(lex, 200)
-    terms = queries.select("query_id", query_tokens("text").alias("q"))
-    hits = some.join(terms, "query_id").join(docs.select("doc_id", tokens("text").alias("d")), "doc_id").select("query_id", "doc_id", F.round(overlap(F.col("q"), F.col("d")), DIGITS).alias("overlap"))
-    lane = ranked(hits.select("query_id", "doc_id", F.col("overlap").alias("score")))
-    best = top(fuse({"lexical": some, "grep": lane}), "fused", RERANK_WINDOW).drop("place")
-    final = best.join(hits, ["query_id", "doc_id"]).withColumn("score", F.round(F.col("fused") + OVERLAP_WEIGHT * F.col("overlap"), DIGITS))
+    """Lexical and token-overlap lanes, fusion, overlap rerank, best n of each query."""
+    some = stored(ranked(lexical(docs, queries), 200), "lexical-lane")
+    hits = overlap_lane(some, queries)
+    best = top(fuse({"lexical": some, "grep": ranked(hits)}), "fused", RERANK_WINDOW).drop("place")
+    final = best.join(hits, ["query_id", "doc_id"]).withColumn("score", F.round(F.col("fused") + OVERLAP_WEIGHT * F.col("score"), DIGITS))
     return top(final, "score", n).select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
 
 
+#: What each sign adds when candidates are ranked anew, in this order.
+RERANK_TERMS = {
+    "symbol-exact": 0.18,
+    "path-prefix": 0.05,
+    "doc-file": 0.08,
+    "working-set-boost": 0.22,
+    "recent-file": 0.12,
+    "pinned-context": 0.2,
+    "overlay-neighbor": 0.1,
+}
+STAGE_WEIGHT, STAGE_CAP = 0.04, 0.25
+#: Names of project documents at the top of a tree.
+PROJECT_DOCS = ("README", "DESIGN", "ARCHITECTURE", "CHANGELOG", "CONTRIBUTING", "LICENSE", "ADR", "DECISIONS")
+
+
+def project_doc(path: str) -> Column:
+    """Whether a path is project documentation in Markdown."""
+    lower, depth = F.lower(path), F.size(F.split(path, "/"))
+    name = F.regexp_replace(F.upper(F.substring_index(path, "/", -1)), r"\.MD$", "")
+    folder = F.startswith(lower, F.lit("docs/")) | F.startswith(lower, F.lit("doc/")) | F.contains(lower, F.lit("/adr/")) | F.contains(lower, F.lit("/adrs/"))
+    return F.endswith(lower, F.lit(".md")) & (((depth <= 2) & name.isin(*PROJECT_DOCS)) | folder)
+
+
+def rerank(candidates: DataFrame, signs: dict[str, Column], lane: str = "lexical") -> DataFrame:
+    """(query_id, doc_id, score, trace, reasons): additive rerank of (query_id, doc_id, rank, fused, overlap, stage).
+
+    The trace lists every part of the score in order; the score is its sum.  ``signs`` tells for
+    each of ``RERANK_TERMS`` whether a candidate has it.
+    """
+    part = lambda name, value: F.struct(F.lit(name).alias("part"), value.cast("double").alias("value"))
+    staged = F.col("stage") > 0
+    parts = [part(f"rrf:{lane}", F.col("fused")), part("overlap", F.col("overlap") * OVERLAP_WEIGHT)]
+    parts += [F.when(signs[k], part(f"boost:{k}", F.lit(v))) for k, v in RERANK_TERMS.items() if k in signs]
+    parts.append(F.when(staged, part("boost:stage-a", F.least(F.col("stage") * STAGE_WEIGHT, F.lit(STAGE_CAP)))))
+    reasons = [F.concat(F.lit(f"{lane}@"), F.col("rank").cast("string"))] + [F.when(signs[k], k) for k in RERANK_TERMS if k in signs and k != "path-prefix"]
+    told = candidates.withColumns({"trace": F.filter(F.array(*parts), lambda x: x.isNotNull()), "reasons": F.array_distinct(F.array_compact(F.array(*reasons)))})
+    return told.select("query_id", "doc_id", F.round(F.aggregate("trace", F.lit(0.0), lambda s, x: s + x["value"]), DIGITS).alias("score"), "trace", "reasons")
+
+
 def rank_decay(rank: Column, scale: float, floor: float) -> Column:
     return F.greatest(F.lit(floor), scale / (rank + 1))
 
@@ -104,14 +147,14 @@ def graph_score(inward: Column, outward: Column, refs: Column) -> Column:
 
 
 def stage_boost(score: Column) -> Column:
-    return F.least(score * 0.04, F.lit(0.25))
+    return F.least(score * STAGE_WEIGHT, F.lit(STAGE_CAP))
 
 
 def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """The prefix of each group whose sizes stay within a budget, its first row in any case."""
-    w = Window.partitionBy(group).orderBy(order)
-    told = rows.withColumns({"used": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.row_number().over(w)})
-    return told.where((F.col("used") <= budget) | (F.col("_r") == 1)).drop("_r")
+    first = rows.groupBy(group).agg(F.min(order).alias("first")).withColumnRenamed(group, "owner")
+    told = running(rows, [group], [order], F.col(size), "used").join(first, F.col(group).eqNullSafe(F.col("owner")))
+    return told.where((F.col("used") <= budget) | (F.col(order) == F.col("first"))).drop("owner", "first")
 
 
 def recall_and_rank(hits: DataFrame, relevant: DataFrame, at: int = 5) -> DataFrame:
@@ -122,13 +165,24 @@ def recall_and_rank(hits: DataFrame, relevant: DataFrame, at: int = 5) -> DataFr
     return cases.agg(F.round(F.avg(F.coalesce(F.col("found") / F.col("all"), F.lit(0.0))), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def fuzzy_path_score(path: Column, name: Column, query: str, directory: Column) -> Column:
-    """Exact, prefix, name, path and subsequence matches in this order; directories a little higher."""
-    q = query.lower()
-    p, n = F.lower(path), F.lower(name)
-    spread = F.length(F.regexp_extract(p, "(?s)" + ".*?".join(f"\\Q{c}\\E" for c in q), 0))
-    score = F.when(p == q, 1000).when(p.startswith(q), 900).when(F.contains(n, F.lit(q)), 700).when(F.contains(p, F.lit(q)), 500).when(spread > 0, 300 + F.greatest(F.lit(0), 100 - spread))
-    return (score + F.when(directory, 25).otherwise(0)).cast("bigint")
+#: Scores of exact, prefix and inner matches of the name, of the path, and of subsequences.
+EXACT, PREFIX, NAME, PATH, SUBSEQUENCE, DIRECTORY, LEAST_GAP = 1000, 900, 700, 500, 300, 25, 100
+
+
+def fuzzy_path_score(path: Column, query: str, directory: Column) -> Column:
+    """Matches of the name before matches of the path before subsequences of it; null for none.
+
+    A subsequence is worth less the more characters of the path it skips, those before it included.
+    """
+    q, p = query.lower(), F.lower(path)
+    if not q:
+        return F.lit(0).cast("bigint")
+    n = F.substring_index(p, "/", -1)
+    # each character's first place after the one before: no backtracking
+    steps = F.length(F.regexp_extract(p, "^" + "".join(f"[^\\x{{{ord(c):x}}}]*+\\x{{{ord(c):x}}}" for c in q), 0))
+    gap = F.greatest(F.lit(0), LEAST_GAP - (steps - len(q)))
+    score = F.when(n == q, EXACT).when(F.startswith(n, F.lit(q)), PREFIX).when(F.contains(n, F.lit(q)), NAME).when(F.contains(p, F.lit(q)), PATH).when(steps > 0, SUBSEQUENCE + gap)
+    return (score + F.when(directory, DIRECTORY).otherwise(0)).cast("bigint")
 
 
 #: Default numbers of hits by repository size.
@@ -170,3 +224,30 @@ def page(rows: DataFrame, score: str, key: str, n: int, after: list | None = Non
         s, k = after
         rows = rows.where((F.col(score) < s) | ((F.col(score) == s) & (F.col(key) > k)))
     return rows.orderBy(F.desc(score), key).limit(n + 1)
+
+
+def revision(rows: DataFrame, key: str, size: str) -> str:
+    """A corpus revision: how many rows, of what size in all, up to which key."""
+    return rows.agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(size).cast("string"), F.max(key).cast("string"))).first()[0]
+
+
+def guarded_page(rows: DataFrame, expected: str, make, key: str, size: str) -> DataFrame:
+    """A page with the revision that it was made from; another revision than expected is an error."""
+    now = revision(rows, key, size)
+    if now != expected:
+        raise ValueError(f"CORPUS_CHANGED: {expected} is now {now}")
+    return make(rows).withColumn("revision", F.lit(now))
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, *keys, spans): how often each phrase, taken as plain words, occurs in each text.
+
+    ``texts`` has an array x of words, ``phrases`` (query_id, phrase) arrays of words.  Words of
+    phrases leave all others behind before the shuffle; a place where each word of a phrase
+    stands in turn is a hit.
+    """
+    words = phrases.select("query_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("k", "word"))
+    wanted = stored(words.select("word").distinct(), "phrase-words")
+    found = texts.select(*keys, F.posexplode("x").alias("pos", "word")).join(wanted, "word", "left_semi").join(words, "word")
+    starts = found.groupBy("query_id", *keys, "length", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = length")
+    return starts.groupBy("query_id", *keys).agg(F.count("*").alias("spans"))

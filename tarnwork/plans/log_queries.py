@@ -99,10 +99,10 @@ def _(spark, d):
     return log.apply_changes(n, old.unionByName(new).unionByName(gone), "k")
 
 
-@query("snk07_redacted_export", "SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[email]', 'g'), '[0-9]{13,19}', '[card]', 'g') AS text FROM documents WHERE text LIKE '%@%'")
+@query("snk07_redacted_export", "SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[email]', 'g'), '[0-9]{13,19}', '[card]', 'g') AS text FROM documents")
 def _(spark, d):
     t = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[email]"), "[0-9]{13,19}", "[card]")
-    return table(spark, d, "documents").where("text like '%@%'").select("doc_id", t.alias("text"))
+    return table(spark, d, "documents").select("doc_id", t.alias("text"))
 
 
 # --- filters ----------------------------------------------------------------------------------
@@ -129,9 +129,15 @@ def _(spark, d):
     return sessions(spark, d).where(p.one_of("cwd", [None, "/o"])).select("id")
 
 
-@query("flt05_empty_list", SESS + "SELECT id FROM sessions WHERE false")
+@query("flt05_created_range", SESS + "SELECT id, created_at FROM sessions WHERE created_at BETWEEN 757382400000 AND 820454400000")
 def _(spark, d):
-    return sessions(spark, d).where(p.one_of("id", [])).select("id")
+    return sessions(spark, d).where(p.closed_range("created_at", 757382400000, 820454400000)).select("id", "created_at")
+
+
+@query("flt05_open_ranges", SESS + "SELECT count(CASE WHEN created_at >= 820454400000 THEN 1 END) AS after, count(CASE WHEN created_at <= 820454400000 THEN 1 END) AS before, 0 AS none FROM sessions")
+def _(spark, d):
+    s, at = sessions(spark, d), 820454400000
+    return s.agg(F.count_if(p.closed_range("created_at", low=at)).alias("after"), F.count_if(p.closed_range("created_at", high=at)).alias("before"), F.count_if(p.one_of("id", [])).alias("none"))
 
 
 @query("flt06_roots", SESS + "SELECT id, owner FROM sessions WHERE parent_session IS NULL")
@@ -177,15 +183,27 @@ def _(spark, d):
     return table(spark, d, "part").where(p.wildcard("p_type", "STANDARD*") | p.wildcard("p_brand", "Brand#1?")).select("p_partkey")
 
 
-@query("flt18_test_files", r"SELECT page_id, regexp_matches(url || '/test_' || page_id || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '.txt' END, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*\.py$|_test\.(py|go)$|\.(test|spec)\.[jt]sx?$|Tests?\.java$') AS is_test FROM pages")
+TEST_PATHS = "CASE page_id // 9 % 5 WHEN 0 THEN url WHEN 1 THEN url || '/tests/x.py' WHEN 2 THEN url || '/test_x.c' WHEN 3 THEN url || '/TestX_test.go' ELSE url || '/x.spec.ts' END"
+LANGUAGES = ("rust", "python", "typescript", "go", "java", "cpp", "ruby", "jsx", "c")
+
+
+@query("flt18_test_files", f"""WITH f AS (SELECT page_id, {TEST_PATHS} AS p, [{', '.join(f"'{x}'" for x in LANGUAGES)}][page_id % 9 + 1] AS lang FROM pages)
+SELECT page_id, CASE WHEN lang = 'rust' THEN p LIKE '%/tests/%' OR p LIKE '%\\_test.rs' ESCAPE '\\' WHEN lang = 'python' THEN p LIKE '%/tests/%' OR p LIKE '%test\\_%' ESCAPE '\\' OR p LIKE '%\\_test.py%' ESCAPE '\\' OR p LIKE '%tests.py'
+WHEN lang IN ('typescript', 'jsx') THEN p LIKE '%.test.%' OR p LIKE '%.spec.%' OR p LIKE '%\\_\\_tests\\_\\_%' ESCAPE '\\' WHEN lang = 'go' THEN p LIKE '%\\_test.go' ESCAPE '\\' WHEN lang = 'java' THEN split_part(p, '/', -1) LIKE 'Test%' OR p LIKE '%Test.java'
+WHEN lang IN ('c', 'cpp') THEN regexp_matches(lower(p), '_test\\.(c|cpp|cc|cxx)$|/test_|/tests/|_tests\\.c') ELSE false END AS is_test FROM f""")
 def _(spark, d):
-    path = F.concat("url", F.lit("/test_"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".py").otherwise(".txt"))
-    return table(spark, d, "pages").withColumn("path", path).select("page_id", p.test_file("path").alias("is_test"))
+    k = F.floor(F.col("page_id") / 9) % 5
+    tail = F.when(k == 0, "").when(k == 1, "/tests/x.py").when(k == 2, "/test_x.c").when(k == 3, "/TestX_test.go").otherwise("/x.spec.ts")
+    language = F.get(F.array(*map(F.lit, LANGUAGES)), (F.col("page_id") % 9).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.concat("url", tail).alias("path"), language.alias("language")).select("page_id", p.test_file("path", "language").alias("is_test"))
 
 
-@query("flt19_secret_shaped", r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '(?i)\b(api[_-]?key|secret|token|password)\b\s*[:=]\s*["'']?[A-Za-z0-9_/+=-]{16,}') OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{20,}\b')""")
+@query("flt19_secret_shaped", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text ELSE text || ['', ' password: hunter22', ' sk_' || repeat('a', 16), ' api key=short', ' ghp_' || repeat('b', 15)][doc_id % 5] END AS text FROM documents)
+SELECT doc_id FROM t WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\b(sk|ghp|github_pat)_[A-Za-z0-9_-]{16,}\b') OR regexp_matches(text, '(?i)\b(api[_ -]?key|access[_ -]?token|password|secret)\s*[:=]\s*\S{8,}')""")
 def _(spark, d):
-    return table(spark, d, "documents").where(p.secret_shaped("text")).select("doc_id")
+    k = F.col("doc_id") % 5
+    tail = F.when(k == 2, " password: hunter22").when(k == 3, " sk_" + "a" * 16).when(k == 4, " api key=short").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text")).where(p.secret_shaped("text")).select("doc_id")
 
 
 @query("flt20_path_contains", "SELECT page_id FROM pages WHERE lower(url) LIKE '%page=2%'")
@@ -241,18 +259,18 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.content_hash("text").alias("hash"))
 
 
-@query("prj19_stable_ids", "SELECT l_orderkey, l_linenumber, substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), 1, 16) AS uid FROM lineitem WHERE l_orderkey < 500")
+@query("prj19_stable_ids", "SELECT l_orderkey, l_linenumber, substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), 1, 16) AS uid FROM lineitem")
 def _(spark, d):
     uid = F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))), 256), 1, 16)
-    return table(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", uid.alias("uid"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", uid.alias("uid"))
 
 
-@query("prj20_offset_position", "SELECT doc_id, strpos(text, 'on') AS off, len(string_split(left(text, strpos(text, 'on') - 1), chr(10))) AS line, strpos(text, 'on') - 1 - coalesce(length(left(text, strpos(text, 'on') - 1)) - strpos(reverse(left(text, strpos(text, 'on') - 1)), chr(10)) + 1, 0) * CASE WHEN contains(left(text, strpos(text, 'on') - 1), chr(10)) THEN 1 ELSE 0 END AS col FROM documents WHERE strpos(text, 'on') > 0 AND lang = 'en'")
+@query("prj20_offset_position", "SELECT doc_id, strpos(text, 'on') AS off, len(string_split(left(text, strpos(text, 'on') - 1), chr(10))) AS line, strpos(text, 'on') - 1 - coalesce(length(left(text, strpos(text, 'on') - 1)) - strpos(reverse(left(text, strpos(text, 'on') - 1)), chr(10)) + 1, 0) * CASE WHEN contains(left(text, strpos(text, 'on') - 1), chr(10)) THEN 1 ELSE 0 END AS col FROM documents WHERE strpos(text, 'on') > 0")
 def _(spark, d):
     at = F.instr("text", "on")
     before = F.left(F.col("text"), at - 1)
     lines = F.split(before, "\n")
-    return table(spark, d, "documents").where((at > 0) & (F.col("lang") == "en")).select("doc_id", at.alias("off"), F.size(lines).alias("line"), F.length(F.element_at(lines, -1)).alias("col"))
+    return table(spark, d, "documents").where(at > 0).select("doc_id", at.alias("off"), F.size(lines).alias("line"), F.length(F.element_at(lines, -1)).alias("col"))
 
 
 @query("prj22_retained_history", CLOG + "SELECT session_id, seq, used FROM (SELECT session_id, seq, sum(octet_length(encode(text))) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM clog) WHERE used <= 1500 OR back = 1")
@@ -418,9 +436,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_distinct(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("words"))
 
 
-@query("agg18_group_by_file", "SELECT source, list(doc_id ORDER BY doc_id) AS docs FROM documents WHERE lang = 'es' GROUP BY source")
+@query("agg18_group_by_file", "SELECT l_orderkey AS file, list(l_linenumber ORDER BY l_linenumber) AS matches FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'es'").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    return table(spark, d, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("file")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("matches"))
 
 
 @query("agg20_nearest_rank_p95", "SELECT lang, CAST(quantile_disc(n_chars, 0.95) AS DOUBLE) AS p95 FROM documents GROUP BY lang")
@@ -455,7 +473,7 @@ def _(spark, d):
     return folds.allocate(w, "w", 1000)
 
 
-@query("agg26_multiset_fingerprint", "SELECT source, sha256(string_agg(lang, chr(10) ORDER BY lang)) AS fingerprint FROM documents GROUP BY source")
+@query("agg26_multiset_fingerprint", "SELECT source, sha256(string_agg(lang || ':' || n, chr(10) ORDER BY lang)) AS fingerprint FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
 def _(spark, d):
     return folds.fingerprint(table(spark, d, "documents"), "source", "lang")
 
@@ -570,9 +588,9 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.collapse("text").alias("text"))
 
 
-@query("str03_ascii_lower", "SELECT doc_id, translate(left(text, 200), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents")
+@query("str03_ascii_lower", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.ascii_lower(F.substring("text", 1, 200)).alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.ascii_lower("text").alias("text"))
 
 
 @query("str05_file_parts", r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM pages")
@@ -585,11 +603,14 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.first_words(tx.clean_title("text"), 8).alias("title"))
 
 
-@query("str07_literal_kinds", r"SELECT page_id, CASE WHEN regexp_matches(x, '^[a-z][a-z0-9+.-]*://\S+$') THEN 'url' WHEN regexp_matches(x, '^/[A-Za-z0-9_/:{}*.-]*$') THEN 'route' WHEN regexp_matches(x, '^\.{0,2}/?[\w.-]+(/[\w.-]+)+$') THEN 'path' WHEN regexp_matches(x, '^[+-]?\d+(\.\d+)?$') THEN 'number' ELSE 'other' END AS kind FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://[^/]*|[?#].*$', '', 'g') WHEN 2 THEN page_id::VARCHAR ELSE regexp_replace(url, '^https?://|[?#].*$', '', 'g') END AS x FROM pages)")
+LITERALS_SQL = "CASE page_id % 12 WHEN 0 THEN url WHEN 1 THEN '/' || url WHEN 2 THEN 'orders-' || page_id || '.Events' WHEN 3 THEN 'jobs.queue.' || page_id WHEN 4 THEN 'APP_KEY_' || page_id WHEN 5 THEN 'app.database.host' WHEN 6 THEN 'select a FROM users' || page_id WHEN 7 THEN 'Request failed: ' || page_id WHEN 8 THEN 'myLogger ' || page_id WHEN 9 THEN 'ab' WHEN 10 THEN 'plain words' ELSE 'Not Found in table of ' || page_id END"
+
+
+@query("str07_literal_kinds", f"WITH x AS (SELECT page_id, {LITERALS_SQL} AS v FROM pages) SELECT page_id, [CASE WHEN starts_with(url, 'http') THEN 'url' END, 'route', 'topic', 'queue', 'env_key', 'config_key', 'sql', 'error_string', 'log_key', NULL, NULL, 'sql'][page_id % 12 + 1] AS kind FROM x JOIN pages USING (page_id)")
 def _(spark, d):
-    k = F.col("page_id") % 4
-    x = F.when(k == 0, F.col("url")).when(k == 1, F.regexp_replace("url", "^https?://[^/]*|[?#].*$", "")).when(k == 2, F.col("page_id").cast("string")).otherwise(F.regexp_replace("url", "^https?://|[?#].*$", ""))
-    return table(spark, d, "pages").select("page_id", tx.literal_kind(x).alias("kind"))
+    k, n = F.col("page_id") % 12, F.col("page_id").cast("string")
+    made = [F.col("url"), F.concat(F.lit("/"), "url"), F.concat(F.lit("orders-"), n, F.lit(".Events")), F.concat(F.lit("jobs.queue."), n), F.concat(F.lit("APP_KEY_"), n), F.lit("app.database.host"), F.concat(F.lit("select a FROM users"), n), F.concat(F.lit("Request failed: "), n), F.concat(F.lit("myLogger "), n), F.lit("ab"), F.lit("plain words"), F.concat(F.lit("Not Found in table of "), n)]
+    return table(spark, d, "pages").select("page_id", tx.literal_kind(F.get(F.array(*made), k.cast("int"))).alias("kind"))
 
 
 @query("str09_code_points", "SELECT doc_id, length(text) AS n, left(text, 50) AS head FROM documents")

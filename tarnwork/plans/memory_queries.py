@@ -26,9 +26,9 @@ def _(spark, d):
     return m.current(_revised(spark, d), "memory_id").where("status = 'active' and kind in ('1-URGENT', '2-HIGH')").orderBy("memory_id").limit(50).select("memory_id", "entry")
 
 
-@query("mem03_exact_dedupe", r"SELECT lang, min(doc_id) AS doc_id, count(*) AS copies, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS hash FROM documents WHERE lang = 'en' GROUP BY lang, hash")
+@query("mem03_exact_dedupe", r"SELECT lang, min(doc_id) AS doc_id, count(*) AS copies, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS hash FROM documents GROUP BY lang, hash")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("lang", m.normal_hash("text").alias("hash"), "doc_id")
+    docs = table(spark, d, "documents").select("lang", m.normal_hash("text").alias("hash"), "doc_id")
     return m.first_of_equal(docs, ["lang", "hash"], "doc_id")
 
 

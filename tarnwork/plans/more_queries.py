@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text as tx, values
 from tarnwork.operators import folds, graph, log, predicates as p, retrieval as r
 from tarnwork.operators.extend import Registry
+from tarnwork.operators.prefix import running
 from tarnwork.plans.registry import query
 from tarnwork.sources.tables import CALLS_SQL, CONVERSATION_SQL, LOG_SQL, SESSIONS_SQL, STEPPED_SQL, calls, conversation_log, session_log, sessions, stepped_log, table
 from tarnwork.streaming import feeds
@@ -123,11 +124,11 @@ def _(spark, d):
     return by_key.select("c_custkey", "s_suppkey").union(by_nation.select("c_custkey", "s_suppkey")).distinct()
 
 
-@query("jon07_test_stems", "SELECT a.p_partkey AS test, b.p_partkey AS code FROM (SELECT p_partkey, 'test_' || lower(split_part(p_name, ' ', 1)) AS stem FROM part) a JOIN (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS stem FROM part WHERE p_partkey % 20 = 0) b ON a.stem = 'test_' || b.stem AND a.p_partkey <> b.p_partkey")
+@query("jon07_test_stems", "SELECT a.p_partkey AS test, b.p_partkey AS code FROM (SELECT p_partkey, 'test_' || lower(split_part(p_name, ' ', 1)) || p_brand AS stem FROM part) a JOIN (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) || p_brand AS stem FROM part) b ON a.stem = 'test_' || b.stem AND a.p_partkey <> b.p_partkey")
 def _(spark, d):
-    first = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    first = F.concat(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), "p_brand")
     tests = table(spark, d, "part").select(F.col("p_partkey").alias("test"), F.concat(F.lit("test_"), first).alias("name")).withColumn("stem", F.regexp_replace("name", "^test_|_test$", ""))
-    code = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("code"), first.alias("stem"))
+    code = table(spark, d, "part").select(F.col("p_partkey").alias("code"), first.alias("stem"))
     return tests.join(code, "stem").where("test <> code").select("test", "code")
 
 
@@ -178,14 +179,14 @@ def _(spark, d):
 
 @query("win03_reciprocal_rank", "SELECT doc_id, round(CAST(1 AS DOUBLE) / row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id), 6) AS s FROM documents")
 def _(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, d, "documents").select("doc_id", F.round(1 / F.row_number().over(w), 6).alias("s"))
+    rows = table(spark, d, "documents").select("source", (-F.col("n_chars")).alias("k"), "doc_id")
+    return running(rows, ["source"], ["k", "doc_id"], name="place").select("doc_id", F.round(1 / F.col("place"), 6).alias("s"))
 
 
 @query("win12_best_rank", "WITH m AS (SELECT l_partkey AS k, min(l_linenumber) AS best FROM lineitem GROUP BY l_partkey) SELECT k, best, row_number() OVER (PARTITION BY best ORDER BY k) AS place FROM m")
 def _(spark, d):
     m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.min("l_linenumber").alias("best"))
-    return m.withColumn("place", F.row_number().over(Window.partitionBy("best").orderBy("k")))
+    return running(m, ["best"], ["k"], name="place").select("k", "best", "place")
 
 
 @query("srt02_children", f"WITH {SESSIONS_SQL} SELECT parent_session AS parent, list(id ORDER BY created_at, id) AS children FROM sessions WHERE parent_session IS NOT NULL GROUP BY parent_session")
@@ -209,14 +210,14 @@ def _(spark, d):
 
 @query("rnk07_literal_lane", LINES + ", h AS (SELECT doc_id, pos // 8 AS chunk, row_number() OVER (ORDER BY doc_id, pos) AS rk FROM l WHERE contains(lower(line), 'license')) SELECT doc_id, chunk, min(rk) AS best FROM h GROUP BY doc_id, chunk")
 def _(spark, d):
-    hits = _lines(spark, d).where(F.contains(F.lower("line"), F.lit("license"))).withColumn("rk", F.row_number().over(Window.orderBy("doc_id", "pos")))
+    hits = running(_lines(spark, d).where(F.contains(F.lower("line"), F.lit("license"))).select("doc_id", "pos"), [], ["doc_id", "pos"], name="rk")
     return hits.groupBy("doc_id", F.floor(F.col("pos") / 8).alias("chunk")).agg(F.min("rk").alias("best"))
 
 
-@query("rnk08_graph_lane", f"WITH {CALLS_SQL}, seed AS (SELECT DISTINCT caller AS node FROM calls WHERE caller % 97 = 3), s AS (SELECT node, CAST(1.0 AS DOUBLE) AS score FROM seed UNION ALL SELECT callee, 0.5 FROM calls WHERE caller IN (SELECT node FROM seed) UNION ALL SELECT caller, 0.5 FROM calls WHERE callee IN (SELECT node FROM seed)) SELECT node, max(score) AS score FROM s GROUP BY node")
+@query("rnk08_graph_lane", f"WITH {CALLS_SQL}, seed AS (SELECT DISTINCT caller AS node FROM calls WHERE caller % 50 = 0), s AS (SELECT node, CAST(1.0 AS DOUBLE) AS score FROM seed UNION ALL SELECT callee, 0.5 FROM calls WHERE caller IN (SELECT node FROM seed) UNION ALL SELECT caller, 0.5 FROM calls WHERE callee IN (SELECT node FROM seed)) SELECT node, max(score) AS score FROM s GROUP BY node")
 def _(spark, d):
     e = calls(spark, d)
-    seed = e.select(F.col("caller").alias("node")).where("node % 97 = 3").distinct()
+    seed = e.select(F.col("caller").alias("node")).where("node % 50 = 0").distinct()
     out = e.join(seed, e["caller"] == seed["node"], "left_semi").select(F.col("callee").alias("node"), F.lit(0.5).alias("score"))
     back = e.join(seed, e["callee"] == seed["node"], "left_semi").select(F.col("caller").alias("node"), F.lit(0.5).alias("score"))
     return seed.withColumn("score", F.lit(1.0)).unionByName(out).unionByName(back).groupBy("node").agg(F.max("score").alias("score"))
@@ -248,9 +249,14 @@ def _(spark, d):
     return rows.select("node", F.round(F.col("p_retailprice") / 10000 + 0.3 * s, 6).alias("score")).orderBy(F.desc("score"), "node").limit(50)
 
 
-@query("rnk23_project_docs", "SELECT page_id, regexp_matches(lower(url), '(^|/)(readme|docs?|changelog)([./]|$)') OR contains(url, '/fr/') AS doc FROM pages")
+DOC_PATHS = "CASE page_id % 6 WHEN 0 THEN 'README.md' WHEN 1 THEN 'a/CHANGELOG.md' WHEN 2 THEN 'a/b/LICENSE.md' WHEN 3 THEN 'Docs/' || page_id || '.MD' WHEN 4 THEN 'x/adr/' || page_id || '.md' ELSE url END"
+
+
+@query("rnk23_project_docs", f"SELECT page_id, page_id % 6 IN (0, 1, 3, 4) AS doc FROM (SELECT page_id, {DOC_PATHS} AS p FROM pages)")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", (F.lower("url").rlike("(^|/)(readme|docs?|changelog)([./]|$)") | F.contains("url", F.lit("/fr/"))).alias("doc"))
+    k, n = F.col("page_id") % 6, F.col("page_id").cast("string")
+    path = F.when(k == 0, "README.md").when(k == 1, "a/CHANGELOG.md").when(k == 2, "a/b/LICENSE.md").when(k == 3, F.concat(F.lit("Docs/"), n, F.lit(".MD"))).when(k == 4, F.concat(F.lit("x/adr/"), n, F.lit(".md"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).select("page_id", r.project_doc("path").alias("doc"))
 
 
 @query("ext01_lane_registry", "SELECT count(*) AS n FROM documents WHERE lang = 'en'")
@@ -268,11 +274,6 @@ def _(spark, d):
 # --- graph, scalars, streams -------------------------------------------------------------------
 
 
-@query("grf21_tests_of_files", "SELECT p_brand AS file, list(p_partkey ORDER BY p_partkey) AS tests FROM part WHERE p_size > 45 GROUP BY p_brand")
-def _(spark, d):
-    return table(spark, d, "part").where("p_size > 45").groupBy(F.col("p_brand").alias("file")).agg(F.sort_array(F.collect_list("p_partkey")).alias("tests"))
-
-
 @query("grf24_rebuilt_edges", f"WITH {CALLS_SQL} SELECT caller, callee, caller % 10 = 1 AS fresh FROM calls")
 def _(spark, d):
     e = calls(spark, d)
@@ -281,11 +282,6 @@ def _(spark, d):
     return kept.unionByName(e.join(changed, "caller", "left_semi").withColumn("fresh", F.lit(True)))
 
 
-@query("grf28_cleared_edges", f"WITH {CALLS_SQL} SELECT caller, CASE WHEN callee % 10 = 2 THEN NULL ELSE callee END AS callee FROM calls")
-def _(spark, d):
-    return calls(spark, d).select("caller", F.when(F.col("callee") % 10 != 2, F.col("callee")).alias("callee"))
-
-
 @query("grf29_import_paths", "WITH f AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path FROM pages), i AS (SELECT page_id, regexp_replace(path, '[^/]*$', '') AS dir FROM f), c AS (SELECT i.page_id, 0 AS pr, dir || '1' AS cand FROM i UNION ALL SELECT page_id, 1, dir || '25' FROM i UNION ALL SELECT page_id, 2, dir FROM i) SELECT c.page_id, arg_min(f.page_id, pr * 1000000000 + f.page_id) AS target FROM c JOIN f ON f.path = c.cand GROUP BY c.page_id")
 def _(spark, d):
     f = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://|[?#].*$", "").alias("path"))
@@ -367,11 +363,14 @@ def _(spark, d):
 
 @query("stm14_token_budget", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 5000")
 def _(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").withColumn("used", F.sum(F.floor(F.col("n_chars") / 4)).over(w)).where("used <= 5000").select("doc_id")
+    rows = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return running(rows, ["source"], ["doc_id"], F.floor(F.col("n_chars") / 4), "used").where("used <= 5000").select("doc_id")
 
 
-@query("stm_windowed_counts")
+@query("stm_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     stream = feeds.feed(spark, f"{d}/events.parquet", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    return feeds.drained(feeds.windowed_counts(stream, "1 hour", "1 day"), "windows").select("window.start", "event_type", "n", "total")
+    batches = feeds.drained(feeds.windowed_counts(stream, "1 hour", "1 day"), "windows", "complete")
+    # each batch has all windows so far; the last one also has those that later events may still change
+    last = batches.join(F.broadcast(batches.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
\ No newline at end of file

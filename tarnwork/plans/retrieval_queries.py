@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import text as tx
 from tarnwork.operators import chunks, retrieval as r, vectors as v
+from tarnwork.operators.prefix import running
 from tarnwork.plans.registry import query
 from tarnwork.sources import workspace
 from tarnwork.sources.tables import FILES_SQL, files, table
+from tarnwork.storage import stored
 
 TOKEN = r"[A-Za-z0-9_]+|[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]{1,8}"
 TOKENS = rf"list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t))"
@@ -41,9 +43,9 @@ def _(spark, d):
     return r.hybrid(_docs(spark, d), _queries(spark, d))
 
 
-@query("rnk01_tokens", f"SELECT doc_id, {TOKENS} AS tokens FROM documents WHERE lang = 'en'")
+@query("rnk01_tokens", f"SELECT doc_id, {TOKENS} AS tokens FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.tokens("text").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("tokens"))
 
 
 @query("rnk02_query_tokens", f"WITH {QUERIES_SQL} SELECT query_id, q AS tokens FROM q")
@@ -53,8 +55,8 @@ def _(spark, d):
 
 @query("rnk03_query_expansion")
 def _(spark, d):
-    words = tx.expand_query("getUserById order_total HTTPServer")
-    return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "place int, token string")
+    names = _queries(spark, d).select("query_id", F.split("text", " ").alias("w")).select("query_id", F.concat(F.get("w", F.lit(0)), F.initcap(F.get("w", F.lit(1))), F.lit(" "), F.get("w", F.lit(2)), F.lit("_"), F.get("w", F.lit(3))).alias("text"))
+    return names.select("query_id", tx.expanded("text").alias("tokens"))
 
 
 @query("rnk04_lexical_lane", f"WITH {LEXICAL_SQL} SELECT query_id, doc_id, score FROM cand WHERE rank <= 20")
@@ -67,10 +69,10 @@ def _(spark, d):
     return r.grep(_docs(spark, d), "License", 20_000)
 
 
-@query("rnk09_vector_lane", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM e, e q WHERE q.vec_id < 20) SELECT query_id, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s WHERE score > 0) WHERE place <= 10")
+@query("rnk09_vector_lane", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM e, e q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s WHERE score > 0) WHERE place <= 10")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return v.nearest(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return v.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 SCALED = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT vec_id, v, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0 THEN list_max(list_transform(v, lambda x: abs(x))) / 127 ELSE 1.0 END AS scale FROM e), z AS (SELECT vec_id, v, scale, list_transform(v, lambda x: CAST(greatest(-127, least(127, floor(x / scale + 0.5))) AS INTEGER)) AS q, sqrt(list_dot_product(v, v)) AS norm FROM s)"
@@ -88,13 +90,10 @@ def _(spark, d):
     return v.quantised_table(table(spark, d, "embeddings")).select("vec_id", "q", F.round("scale", 9).alias("scale"), F.round("norm", 6).alias("norm"))
 
 
-@query("rnk13_rank_fusion", HYBRID_SQL + " SELECT query_id, doc_id, fused FROM fused WHERE query_id < 10")
+@query("rnk13_rank_fusion", HYBRID_SQL + " SELECT query_id, doc_id, fused FROM fused")
 def _(spark, d):
-    docs, queries = _docs(spark, d), _queries(spark, d)
-    some = r.ranked(r.lexical(docs, queries), 200)
-    q, t = queries.select("query_id", tx.query_tokens("text").alias("q")), docs.select("doc_id", tx.tokens("text").alias("d"))
-    lane = r.ranked(some.join(q, "query_id").join(t, "doc_id").select("query_id", "doc_id", F.round(tx.overlap(F.col("q"), F.col("d")), 9).alias("score")))
-    return r.fuse({"lexical": some, "grep": lane}).where("query_id < 10")
+    some = stored(r.ranked(r.lexical(_docs(spark, d), _queries(spark, d)), 200), "lexical-lane")
+    return r.fuse({"lexical": some, "grep": r.ranked(r.overlap_lane(some, _queries(spark, d)))})
 
 
 @query("rnk14_preselect_layers", "SELECT doc_id, round(sum(s), 6) AS score, count(*) AS layers FROM (SELECT doc_id, CAST(1.0 AS DOUBLE) AS s FROM documents WHERE contains(lower(source), 'src1') UNION ALL SELECT doc_id, 2.0 FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT doc_id, 1.2 FROM labels WHERE quality = 1) GROUP BY doc_id")
@@ -122,17 +121,47 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.round(r.neighbour_score(F.count("*")), 6).alias("score"))
 
 
-@query("rnk20_overlap", f"WITH {QUERIES_SQL}, d AS (SELECT doc_id, {TOKENS} AS d FROM documents WHERE lang = 'fr') SELECT doc_id, round(len(list_filter(q.q, lambda t: list_contains(d.d, t))) / len(q.q), 6) AS score FROM d, q WHERE q.query_id = 0")
+@query("rnk20_overlap", f"WITH {QUERIES_SQL}, d AS (SELECT doc_id, {TOKENS} AS d FROM documents), o AS (SELECT q.query_id, doc_id, len(list_filter(q.q, lambda t: list_contains(d.d, t))) / len(q.q) AS share FROM d, q WHERE q.query_id % 50 = 0) SELECT query_id, doc_id, round(share, 9) AS score FROM o WHERE share > 0")
+def _(spark, d):
+    asked = _queries(spark, d).where("query_id % 50 = 0")
+    return r.overlap_lane(r.lexical(_docs(spark, d), asked), asked)
+
+
+SIGNS = {
+    "symbol-exact": "list_contains(q, lower(symbol))", "path-prefix": "starts_with(path, 'docs/')", "doc-file": "ends_with(path, '.md')", "working-set-boost": "c.doc_id % 7 = 0",
+    "recent-file": "c.doc_id % 11 = 0", "pinned-context": "c.doc_id % 13 = 0", "overlay-neighbor": "c.doc_id % 17 = 0",
+}
+ADDED = {"symbol-exact": 0.18, "path-prefix": 0.05, "doc-file": 0.08, "working-set-boost": 0.22, "recent-file": 0.12, "pinned-context": 0.2, "overlay-neighbor": 0.1}
+RERANK_SQL = f"""WITH {LEXICAL_SQL},
+named AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'docs/' || source || '.md' ELSE source || '/' || doc_id || '.py' END AS path, split_part(text, ' ', 1) AS symbol, CASE WHEN doc_id % 2 = 0 THEN n_chars / 1000 ELSE 0.0 END AS stage FROM documents),
+c AS (SELECT * FROM cand WHERE rank <= 40),
+parts AS (SELECT c.query_id, c.doc_id, c.rank, [1.1 / (50 + c.rank), 0.35 * len(list_filter(q, lambda t: list_contains(d, t))) / len(q)] || list_filter([{', '.join(f"CASE WHEN {w} THEN {ADDED[k]} END" for k, w in SIGNS.items())}, CASE WHEN stage > 0 THEN least(stage * 0.04, 0.25) END], lambda x: x IS NOT NULL) AS p,
+  list_filter(['lexical@' || c.rank, {', '.join(f"CASE WHEN {w} THEN '{k}' END" for k, w in SIGNS.items() if k != 'path-prefix')}], lambda x: x IS NOT NULL) AS reasons
+  FROM c JOIN named n ON n.doc_id = c.doc_id JOIN q USING (query_id) JOIN d ON d.doc_id = c.doc_id)
+SELECT query_id, doc_id, round(list_sum(p), 6) AS score, len(p) AS n_parts, array_to_string(reasons, ',') AS reasons FROM parts"""
+
+
+@query("rnk21_additive_rerank", RERANK_SQL)
 def _(spark, d):
-    q = _queries(spark, d).where("query_id = 0").select(tx.query_tokens("text").alias("q"))
-    docs = table(spark, d, "documents").where("lang = 'fr'").select("doc_id", tx.tokens("text").alias("d"))
-    return docs.join(F.broadcast(q)).select("doc_id", F.round(tx.overlap(F.col("q"), F.col("d")), 6).alias("score"))  # one query
+    docs, queries = table(spark, d, "documents"), _queries(spark, d)
+    some = stored(r.ranked(r.lexical(_docs(spark, d), queries), 40), "lexical-lane")
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("docs/"), "source", F.lit(".md"))).otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")))
+    named = docs.select("doc_id", path.alias("path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("symbol"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") / 1000).otherwise(0.0).alias("stage"))
+    asked = queries.select("query_id", tx.query_tokens("text").alias("q"))
+    rows = some.join(named, "doc_id").join(asked, "query_id")
+    rows = rows.select("query_id", "doc_id", "rank", "path", "symbol", "stage", "q", (1.1 / (50 + F.col("rank"))).alias("fused"), (F.col("matched") / F.size("q")).alias("overlap"))
+    at = lambda k: F.col("doc_id") % k == 0
+    signs = {
+        "symbol-exact": F.array_contains("q", F.lower("symbol")), "path-prefix": F.startswith("path", F.lit("docs/")), "doc-file": r.project_doc("path"),
+        "working-set-boost": at(7), "recent-file": at(11), "pinned-context": at(13), "overlay-neighbor": at(17),
+    }
+    done = r.rerank(rows, signs)
+    return done.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.size("trace").cast("bigint").alias("n_parts"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("rnk21_additive_rerank", "SELECT doc_id, round(least(n_chars / 1000.0 * 0.04, 0.25) + CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 0.15 ELSE 0 END - CASE WHEN n_chars < 300 THEN 0.1 ELSE 0 END, 6) AS score FROM documents")
+@query("rnk22_stage_boost", "SELECT doc_id, round(least(n_chars / 1000 * 0.04, 0.25), 6) AS boost FROM documents")
 def _(spark, d):
-    score = r.stage_boost(F.col("n_chars") / 1000) + F.when(F.col("lang") == "en", 0.2).otherwise(0) + F.when(F.contains(F.lower("text"), F.lit("license")), 0.15).otherwise(0) - F.when(F.col("n_chars") < 300, 0.1).otherwise(0)
-    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
+    return table(spark, d, "documents").select("doc_id", F.round(r.stage_boost(F.col("n_chars") / 1000), 6).alias("boost"))
 
 
 @query("rnk30_snippets", "SELECT doc_id, CASE WHEN n <= 40 THEN text WHEN s <= 1 THEN left(text, 39) || '…' WHEN s + 38 > n THEN '…' || right(text, 39) ELSE '…' || substr(text, s, 38) || '…' END AS snippet FROM (SELECT doc_id, text, length(text) AS n, greatest(strpos(text, 'tion'), 1) - 19 AS s FROM documents)")
@@ -163,8 +192,8 @@ def _(spark, d):
 
 @query("win04_rank_decay", "SELECT doc_id, round(greatest(0.1, 2.0 / (row_number() OVER (PARTITION BY lang ORDER BY doc_id) + 1)), 6) AS s FROM documents")
 def _(spark, d):
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.round(r.rank_decay(rank, 2.0, 0.1), 6).alias("s"))
+    ranks = running(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], name="place")
+    return ranks.select("doc_id", F.round(r.rank_decay(F.col("place"), 2.0, 0.1), 6).alias("s"))
 
 
 @query("srt03_top_window", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40")
@@ -184,17 +213,26 @@ def _(spark, d):
     return r.page(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 20, after)
 
 
-@query("srt11_fuzzy_paths")
+FUZZY_SQL = f"""WITH {FILES_SQL}, c AS (SELECT DISTINCT path, false AS dir FROM files UNION ALL SELECT DISTINCT regexp_replace(path, '/[^/]*$', ''), true FROM files WHERE contains(path, '/')),
+n AS (SELECT path, dir, lower(path) AS p, lower(split_part(path, '/', -1)) AS name, length(regexp_extract(lower(path), '^[^1]*1[^2]*2')) AS steps FROM c),
+s AS (SELECT path, dir, CASE WHEN name = '12' THEN 1000 WHEN starts_with(name, '12') THEN 900 WHEN contains(name, '12') THEN 700 WHEN contains(p, '12') THEN 500 WHEN steps > 0 THEN 300 + greatest(0, 100 - (steps - 2)) END + CASE WHEN dir THEN 25 ELSE 0 END AS score FROM n)
+SELECT path, dir AS directory, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, dir DESC, length(path), path LIMIT 100"""
+
+
+@query("srt11_fuzzy_paths", FUZZY_SQL)
 def _(spark, d):
-    f = files(spark, d).withColumn("name", tx.base_name("path"))
-    return f.select("file_id", r.fuzzy_path_score(F.col("path"), F.col("name"), "thex", F.col("name") == "").alias("score")).where("score is not null")
+    paths = files(spark, d).select("path")
+    folders = paths.where(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    both = paths.distinct().withColumn("directory", F.lit(False)).unionByName(folders.distinct().withColumn("directory", F.lit(True)))
+    scored = both.withColumn("score", r.fuzzy_path_score(F.col("path"), "12", F.col("directory"))).where("score is not null")
+    return scored.orderBy(F.desc("score"), F.desc("directory"), F.length("path"), "path").limit(100)
 
 
 @query("agg11_fusion_sum", "SELECT doc_id, round(sum(w / (50 + rk)), 9) AS fused FROM (SELECT doc_id, 1.1 AS w, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rk FROM documents UNION ALL SELECT doc_id, 0.9, row_number() OVER (ORDER BY doc_id) FROM labels) GROUP BY doc_id")
 def _(spark, d):
     one = F.lit(0).alias("query_id")
-    a = r.ranked(table(spark, d, "documents").select(one, "doc_id", F.col("n_chars").alias("score")))
-    b = r.ranked(table(spark, d, "labels").select(one, "doc_id", F.lit(0).alias("score")))
+    a = running(table(spark, d, "documents").select(one, "doc_id", (-F.col("n_chars")).alias("k")), [], ["k", "doc_id"], name="rank")
+    b = running(table(spark, d, "labels").select(one, "doc_id"), [], ["doc_id"], name="rank")
     return r.fuse({"lexical": a, "vector": b}).select("doc_id", "fused")
 
 
@@ -205,13 +243,6 @@ def _(spark, d):
     return r.recall_and_rank(r.hybrid(docs, queries, 40), relevant)
 
 
-@query("prj15_symbol_chunks", "SELECT doc_id AS file_id, line // 5 AS chunk, min(line) + 1 AS start_line, max(line) + 1 AS end_line FROM (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line FROM documents) GROUP BY doc_id, line // 5")
-def _(spark, d):
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.size(F.split("text", "\n")).alias("n"))
-    spans = lines.select("file_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 5))).alias("chunk"))
-    return spans.select("file_id", "chunk", (F.col("chunk") * 5 + 1).alias("start_line"), F.least(F.col("chunk") * 5 + 5, F.col("n").cast("bigint")).alias("end_line"))
-
-
 @query("prj16_line_chunks", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS pos FROM documents), w AS (SELECT doc_id, pos // 8 AS win, string_agg(line, chr(10) ORDER BY pos) AS text, min(pos) + 1 AS start_line, max(pos) + 1 AS end_line FROM l GROUP BY doc_id, pos // 8) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY win) - 1 AS chunk_index, start_line, end_line, text FROM w WHERE trim(text, ' \t\n') <> ''")
 def _(spark, d):
     return chunks.by_lines(table(spark, d, "documents"), 8)

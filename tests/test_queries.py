@@ -43,8 +43,8 @@ def test_oracle(spark, data, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_runs(spark, data, name):
-    assert catalog.queries()[name](spark, data).count() >= 0
+def test_queries_without_an_oracle_give_rows(spark, data, name):
+    assert catalog.queries()[name](spark, data).count() > 0
 
 
 def test_entry_has_every_catalog_query():

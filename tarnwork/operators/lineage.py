@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_LEVELS = 1000
 
 
+def _view(df: DataFrame) -> str:
+    """A view of a name of its own, so that queries of one session never meet."""
+    name = f"lineage_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 def ancestors(spark: SparkSession, nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(id, ancestor, depth) for every start id, by parent pointers; a cycle is an error of depth."""
-    nodes.select("id", "parent").createOrReplaceTempView("_lineage_nodes")
-    start.select("id").createOrReplaceTempView("_lineage_start")
+    all_nodes, first = _view(nodes.select("id", "parent")), _view(start.select("id"))
     return spark.sql(f"""
       WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-        SELECT s.id, n.parent, 1 FROM _lineage_start s JOIN _lineage_nodes n ON n.id = s.id WHERE n.parent IS NOT NULL
+        SELECT s.id, n.parent, 1 FROM {first} s JOIN {all_nodes} n ON n.id = s.id WHERE n.parent IS NOT NULL
         UNION ALL
-        SELECT u.id, n.parent, u.depth + 1 FROM up u JOIN _lineage_nodes n ON n.id = u.ancestor WHERE n.parent IS NOT NULL)
+        SELECT u.id, n.parent, u.depth + 1 FROM up u JOIN {all_nodes} n ON n.id = u.ancestor WHERE n.parent IS NOT NULL)
       SELECT id, ancestor, depth FROM up""")
 
 
@@ -26,13 +34,13 @@ def missing_parents(nodes: DataFrame) -> DataFrame:
 
 def descendants(spark: SparkSession, nodes: DataFrame, root) -> DataFrame:
     """(id, depth, path): a subtree in the order of (created, id) at every level."""
-    nodes.select("id", "parent", "created").createOrReplaceTempView("_lineage_nodes")
+    all_nodes = _view(nodes.select("id", "parent", "created"))
     key = "lpad(cast({0}.created AS string), 16, '0') || ':' || lpad(cast({0}.id AS string), 12, '0')"
     return spark.sql(f"""
       WITH RECURSIVE down(id, depth, path) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-        SELECT n.id, 0, {key.format('n')} FROM _lineage_nodes n WHERE n.id = {root!r}
+        SELECT n.id, 0, {key.format('n')} FROM {all_nodes} n WHERE n.id = {root!r}
         UNION ALL
-        SELECT c.id, d.depth + 1, d.path || '/' || {key.format('c')} FROM down d JOIN _lineage_nodes c ON c.parent = d.id)
+        SELECT c.id, d.depth + 1, d.path || '/' || {key.format('c')} FROM down d JOIN {all_nodes} c ON c.parent = d.id)
       SELECT id, depth, path FROM down""")
 
 

@@ -15,14 +15,14 @@ def _feed(spark, d):
 
 @query("stm01_stateful_fold", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
 def _(spark, d):
-    states = feeds.drained(feeds.folding(_feed(spark, d)), "fold", "update")
+    states = feeds.drained(feeds.totals(_feed(spark, d)), "fold", "update")
     last = states.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "errors"), "batch").alias("s"))
     return last.select("user_id", "s.n", F.round("s.total", 4).alias("total"), "s.errors")
 
 
 @query("stm01_batch_fold", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
 def _(spark, d):
-    return feeds.folded(table(spark, d, "events").select("user_id", "event_type", "value")).withColumn("total", F.round("total", 4))
+    return feeds.totals(table(spark, d, "events").select("user_id", "event_type", "value")).withColumn("total", F.round("total", 4))
 
 
 @query("stm04_snapshot_cut", "SELECT min(last) AS cut FROM (SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id)")

@@ -11,7 +11,6 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tarnwork.storage import shared_dir
@@ -58,45 +57,12 @@ def bursts(stream: DataFrame, late: str, gap: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-class Totals:
-    """A projection: start, apply and view, the same in batch and in streams."""
+def totals(rows: DataFrame) -> DataFrame:
+    """(user_id, n, total, errors): one plan for a table and, drained in mode update, for a stream.
 
-    version = 1
-
-    @staticmethod
-    def start() -> tuple:
-        return (0, 0.0, 0)
-
-    @staticmethod
-    def apply(state: tuple, kind: str, value: float) -> tuple:
-        return (state[0] + 1, state[1] + value, state[2] + (kind == "error"))
-
-
-def folded(rows: DataFrame) -> DataFrame:
-    """Batch fold of ``Totals`` by user."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = Totals.start()
-        for kind, value in zip(pdf["event_type"], pdf["value"], strict=True):
-            state = Totals.apply(state, kind, value)
-        return pd.DataFrame([(pdf["user_id"].iloc[0], *state)], columns=["user_id", "n", "total", "errors"])
-
-    return rows.groupBy("user_id").applyInPandas(fold, "user_id bigint, n bigint, total double, errors bigint")
-
-
-def folding(stream: DataFrame) -> DataFrame:
-    """Stateful fold of ``Totals`` by user; every batch gives the state after it."""
-
-    def fold(key, batches, state: GroupState):
-        now = state.get if state.exists else Totals.start()
-        for pdf in batches:
-            for kind, value in zip(pdf["event_type"], pdf["value"], strict=True):
-                now = Totals.apply(now, kind, value)
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["user_id", "n", "total", "errors"])
-
-    schema = "user_id bigint, n bigint, total double, errors bigint"
-    return stream.groupBy("user_id").applyInPandasWithState(fold, schema, "n long, total double, errors long", "update", GroupStateTimeout.NoTimeout)
+    Spark keeps the state of a stream; every batch gives the new state of the users that it names.
+    """
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
 def breaker(rows: DataFrame, threshold: int, cooldown_ms: int) -> DataFrame:

@@ -174,8 +174,8 @@ def test_circuit_breaker(spark):
 def test_stream_fold_equals_batch_fold(spark, data):
     from tarnwork.sources.tables import table
 
-    batch = feeds.folded(table(spark, data, "events").select("user_id", "event_type", "value"))
-    stream = feeds.drained(feeds.folding(feeds.feed(spark, f"{data}/events.parquet", table(spark, data, "events").schema)), "t", "update")
+    batch = feeds.totals(table(spark, data, "events").select("user_id", "event_type", "value"))
+    stream = feeds.drained(feeds.totals(feeds.feed(spark, f"{data}/events.parquet", table(spark, data, "events").schema)), "t", "update")
     a = {x["user_id"]: (x["n"], round(x["total"], 6), x["errors"]) for x in batch.collect()}
     b = {x["user_id"]: (x["n"], round(x["total"], 6), x["errors"]) for x in stream.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "errors"), "batch").alias("s")).select("user_id", "s.*").collect()}
     assert a == b

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -67,9 +68,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    if (inside := _SCOPE.get()) is not None:
+        inside.append(out)
     return out
 
 
+_SCOPE: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("tables stored in the innermost scratch block", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stored tables of this block are deleted at its end, but those given to the yielded function.
+
+    Only these may be read by what the block returns.
+    """
+    outside, inside, kept = _SCOPE.get(), [], []
+    token = _SCOPE.set(inside)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        discard(*(x for x in inside if all(x is not y for y in kept)))
+        if outside is not None:
+            outside += kept
+
+
+#: Most rows of a stored table of a few numbers that is sent to all executors; larger ones are shuffled.
+BROADCAST_ROWS = 1 << 21
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that no result needs any more."""
     for df in tables:
@@ -78,6 +115,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as an empty one; other columns never clash."""
     return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import SPACE_RUN, SPACES, stored
+from tarnwork.llm.common import SPACE_RUN, SPACES, free_name, small_side, stored
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -122,9 +122,8 @@ def mix_sized(rows: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    columns = docs.columns
-    kept = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    sized = kept.select(F.col("_mix_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_col)).cast("bigint").alias("size"))
-    times = mix_sized(stored(sized, "mix-sizes")).where("times > 0").select(F.col("row").alias("_mix_row"), F.col("times").cast("int").alias("_mix_times"))
-    out = kept.join(times, "_mix_row")
-    return out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*columns)
+    row, times, epoch = (free_name(docs, x) for x in ("mix_row", "mix_times", "mix_epoch"))
+    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    sized = kept.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_col)).cast("bigint").alias("size"))
+    taken = stored(mix_sized(stored(sized, "mix-sizes")).where("times > 0").select(F.col("row").alias(row), F.col("times").cast("int").alias(times)), "mix-taken")
+    return kept.join(small_side(taken), row).withColumn(epoch, F.explode(F.sequence(F.lit(1), times))).drop(row, times, epoch)

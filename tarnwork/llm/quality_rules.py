@@ -1,17 +1,22 @@
 """Quality rules: fixed counts, and robust multivariate outliers per language and source.
 
 Every document has a vector of transformed statistics.  For each (language, source) the
-minimum-covariance-determinant estimate of centre and scatter is found by concentration
-steps: the share ``SUPPORT`` of the documents nearest to the current estimate gives the next
-one.  A document whose squared Mahalanobis distance exceeds the chi-square quantile
-``CUTOFF`` is rejected.  All steps are grouped aggregates and joins with one row a group; the
-nearest share is found on a histogram of distances, so no group is ever held by one task.
+minimum-covariance-determinant estimate of centre and scatter is sought from three starts
+(medians and median deviations, mean and covariance of all, and the covariance of spatial
+signs) by concentration steps: the share ``SUPPORT`` of the documents nearest to an estimate
+gives the next one, whose determinant is smaller, until no start's determinant falls any more.
+The estimate of least determinant judges: a document whose squared Mahalanobis distance exceeds
+the chi-square quantile ``CUTOFF`` is rejected.  All steps are grouped aggregates and joins with
+three rows a group; the nearest share is found on a histogram of distances, so no group is ever
+held by one task.
 
 Edge cases: a null text counts as an empty one (all counts 0, base rule failed); null
 languages and sources are groups of their own; groups in which fewer than ``LEAST_ROWS``
 documents pass the base rules are judged against all documents of their language, or of the
 table where those are too few as well; where even the table has fewer, against its medians and
-median deviations; rows that repeat each get their verdict.
+median deviations; rows that repeat each get their verdict; ties of distance fall into one bin
+and are all in the nearest share or all out; an empty table gives an empty result; texts of any
+length are counted whole; other columns, whatever their names, are dropped at once.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import SPACES, stored
+from tarnwork.llm.common import SPACES, scratch, stored
 from tarnwork.llm.mixing import words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +36,10 @@ MOST_REPEATED = 20  # per cent of the words
 LEAST_ROWS = 60
 EVERY = "every row"
 SUPPORT = 0.75
-STEPS = 4
+#: The estimate of least determinant that a start has led to.
+BEST = "struct<log_det:double,centre:array<double>,inverse:array<array<double>>>"
+#: Steps end when no logarithm of a determinant falls by more than this.
+SETTLED = 1e-3
 CUTOFF = 0.999
 #: The transformed statistics, and the least standard deviation that is taken for real: a
 #: group in which a statistic hardly varies must not reject on traces of it.
@@ -100,20 +108,22 @@ def vectors() -> list[Column]:
     return [F.round(x, 6).alias(n) for x, n in zip(made, FEATURES, strict=True)]
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """(group, n, centre, inverse) of the rows' vectors; the inverse of the floored covariance."""
+def estimate(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, n, centre, inverse, log_det) of the rows' vectors; of the floored covariance."""
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    sums = rows.groupBy("group").agg(
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs)
     )
     mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
     cov = {(i, j): F.col(f"p{i}_{j}") / F.col("n") - mean[i] * mean[j] for i, j in pairs}
     entry = lambda i, j: F.greatest(cov[i, i], F.lit(LEAST_DEVIATION[i] ** 2)) if i == j else cov[min(i, j), max(i, j)]
-    made = sums.select("group", "n", F.array(*mean).alias("centre"), F.array(*(F.array(*(entry(i, j) for j in range(P)), *(F.lit(float(i == j)) for j in range(P))) for i in range(P))).alias("m"))
-    # Gauss-Jordan elimination, one fold over the columns
-    step = lambda m, k: F.transform(m, lambda row, i: F.transform(row, lambda v, j: F.when(i == k, v / F.get(F.get(m, k), k)).otherwise(v - F.get(row, k) * F.get(F.get(m, k), j) / F.get(F.get(m, k), k))))
-    inverse = F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.col("m"), step), lambda row: F.slice(row, P + 1, P))
-    return made.select("group", "n", "centre", inverse.alias("inverse"))
+    made = sums.select(*by, "n", F.array(*mean).alias("centre"), F.array(*(F.array(*(entry(i, j) for j in range(P)), *(F.lit(float(i == j)) for j in range(P))) for i in range(P))).alias("m"))
+    # Gauss-Jordan elimination, one fold over the columns; the determinant is the product of the pivots
+    pivot = lambda m, k: F.get(F.get(m, k), k)
+    less = lambda m, k: F.transform(m, lambda row, i: F.transform(row, lambda v, j: F.when(i == k, v / pivot(m, k)).otherwise(v - F.get(row, k) * F.get(F.get(m, k), j) / pivot(m, k))))
+    step = lambda s, k: F.struct(less(s["m"], k).alias("m"), (s["log_det"] + F.log(pivot(s["m"], k))).alias("log_det"))
+    solved = made.withColumn("r", F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), F.struct(F.col("m").alias("m"), F.lit(0.0).alias("log_det")), step))
+    return solved.select(*by, "n", "centre", F.transform("r.m", lambda row: F.slice(row, P + 1, P)).alias("inverse"), F.col("r.log_det").alias("log_det"))
 
 
 def distance() -> Column:
@@ -126,14 +136,14 @@ def distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def nearest(measured: DataFrame, share: float) -> DataFrame:
+def nearest(measured: DataFrame, share: float, *by: str) -> DataFrame:
     """The rows of each group (with column d2) whose distance bin is within the group's nearest share."""
     binned = measured.withColumn("bin", F.ceil(F.log2(F.col("d2") + 2.0**-20) * BINS))
-    counted = binned.groupBy("group", "bin").agg(F.count("*").alias("rows"))  # bins are bounded
-    w = Window.partitionBy("group").orderBy("bin")
-    running = counted.withColumns({"upto": F.sum("rows").over(w), "all": F.sum("rows").over(Window.partitionBy("group"))})
-    edge = stored(running.where(F.col("upto") >= F.col("all") * share).groupBy("group").agg(F.min("bin").alias("edge")), "quality-edge")
-    return binned.join(edge, "group").where(F.col("bin") <= F.col("edge"))
+    counted = binned.groupBy(*by, "bin").agg(F.count("*").alias("rows"))  # bins are bounded
+    w = Window.partitionBy(*by)
+    running = counted.withColumns({"upto": F.sum("rows").over(w.orderBy("bin")), "all": F.sum("rows").over(w)})
+    edge = stored(running.where(F.col("upto") >= F.col("all") * share).groupBy(*by).agg(F.min("bin").alias("edge")), "quality-edge")
+    return binned.join(edge, [*by]).where(F.col("bin") <= F.col("edge"))
 
 
 def medians(rows: DataFrame, step: float = 0.01) -> DataFrame:
@@ -146,23 +156,42 @@ def medians(rows: DataFrame, step: float = 0.01) -> DataFrame:
 
 
 def first_estimate(rows: DataFrame) -> DataFrame:
-    """Medians, and a diagonal of median absolute deviations, as (group, centre, inverse)."""
+    """Medians, median absolute deviations, and their diagonal, as (group, centre, deviation, inverse)."""
     centre = medians(rows).groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "median"))), lambda s: s["median"]).alias("centre"))
     centre = stored(centre, "quality-medians")
     spread = rows.join(centre, "group").select("group", *(F.abs(F.col(f) - F.col("centre")[i]).alias(f) for i, f in enumerate(FEATURES)))
     mad = medians(spread).groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "median"))), lambda s: s["median"]).alias("mad"))
     deviation = [F.greatest(F.lit(LEAST_DEVIATION[i]), F.lit(1.4826) * F.col("mad")[i]) for i in range(P)]
     inverse = F.array(*(F.array(*(1 / (deviation[i] * deviation[i]) if i == j else F.lit(0.0) for j in range(P))) for i in range(P)))
-    return centre.join(mad, "group").select("group", "centre", inverse.alias("inverse"))
+    return centre.join(mad, "group").select("group", "centre", F.array(*deviation).alias("deviation"), inverse.alias("inverse"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(group, start, centre, inverse): three estimates of each group from which concentration begins."""
+    first = stored(first_estimate(rows), "quality-start")
+    z = [(F.col(f) - F.col("centre")[i]) / F.col("deviation")[i] for i, f in enumerate(FEATURES)]
+    long = F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))
+    signs = rows.join(first, "group").select("group", *((F.col("centre")[i] + F.col("deviation")[i] * F.coalesce(z[i] / F.nullif(long, F.lit(0.0)), F.lit(0.0))).alias(f) for i, f in enumerate(FEATURES)))
+    out = None
+    for k, part in enumerate((first, estimate(rows, "group"), estimate(signs, "group"))):
+        part = part.select("group", F.lit(k).alias("start"), "centre", "inverse", F.lit(None).cast(BEST).alias("best"))
+        out = part if out is None else out.unionByName(part)
+    return stored(out, "quality-starts")
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """(group, n, centre, inverse) of a stored table (group, features): the estimate of the nearest share."""
-    current = stored(first_estimate(rows), "quality-start")
-    for _ in range(STEPS):
-        measured = rows.join(current.select("group", "centre", "inverse"), "group").withColumn("d2", distance())
-        current = stored(estimate(nearest(measured.drop("centre", "inverse"), SUPPORT)), "quality-step")
-    return current
+    """(group, centre, inverse, log_det) of a stored table (group, features): the nearest share of least determinant."""
+    by = ["group", "start"]
+    current = starts(rows)
+    while True:
+        measured = rows.join(current.select(*by, "centre", "inverse"), "group").withColumn("d2", distance()).drop("centre", "inverse")
+        found = estimate(nearest(measured, SUPPORT, *by), *by).join(current.select(*by, F.col("best").alias("held")), by)
+        less = F.col("held").isNull() | (F.col("log_det") < F.col("held.log_det"))
+        best = F.when(less, F.struct("log_det", "centre", "inverse")).otherwise(F.col("held"))
+        fell = F.col("held").isNull() | (F.col("held.log_det") - F.col("log_det") > SETTLED)
+        current = stored(found.select(*by, "centre", "inverse", best.alias("best"), fell.alias("fell")), "quality-step")
+        if current.where("fell").isEmpty():
+            return current.groupBy("group").agg(F.min_by("best", F.struct("best.log_det", "start")).alias("best")).select("group", "best.*")
 
 
 def judged_by(rows: DataFrame) -> DataFrame:
@@ -178,19 +207,21 @@ def judge(counted: DataFrame) -> DataFrame:
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     named = {"own": F.concat_ws("\x01", F.lit("own"), tag("lang"), tag("source")), "pool": F.concat_ws("\x01", F.lit("pool"), tag("lang"))}
     rows = counted.withColumns({"base_failed": base_failed(), **named}).select("*", *vectors())
-    chosen = judged_by(rows)
-    # each group that judges is estimated from all rows that belong to it
-    belongs = rows.where(~F.col("base_failed")).select(F.explode(F.array("own", "pool", F.lit(EVERY))).alias("group"), *FEATURES)
-    fit = stored(belongs.join(F.broadcast(chosen.select("group").distinct()), "group"), "quality-members")
     # the nearest share of a normal sample looks too narrow by a known factor
     factor = SUPPORT / chi_square_share(chi_square_quantile(SUPPORT, P), P + 2)
     limit = chi_square_quantile(CUTOFF, P) * factor
-    if fit.limit(LEAST_ROWS).count() < LEAST_ROWS:  # then the only group is the table
-        wide = F.transform("inverse", lambda row: F.transform(row, lambda v: v * factor))
-        fitted = first_estimate(fit).withColumn("inverse", wide)
-    else:
-        fitted = minimum_covariance(fit)
-    judged = rows.join(chosen, ["own", "pool"]).join(fitted.select("group", "centre", "inverse"), "group", "left")
+    with scratch() as keep:
+        chosen = keep(judged_by(rows))
+        # each group that judges is estimated from all rows that belong to it
+        belongs = rows.where(~F.col("base_failed")).select(F.explode(F.array("own", "pool", F.lit(EVERY))).alias("group"), *FEATURES)
+        fit = stored(belongs.join(chosen.select("group").distinct(), "group"), "quality-members")
+        if fit.limit(LEAST_ROWS).count() < LEAST_ROWS:  # then the only group is the table
+            wide = F.transform("inverse", lambda row: F.transform(row, lambda v: v * factor))
+            fitted = first_estimate(fit).withColumn("inverse", wide)
+        else:
+            fitted = minimum_covariance(fit)
+        fitted = keep(stored(fitted.select("group", "centre", "inverse"), "quality-estimates"))
+    judged = rows.join(chosen, ["own", "pool"]).join(fitted, "group", "left")
     out = judged.withColumn("distance2", F.when(F.col("centre").isNotNull(), distance()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= limit)).drop("own", "pool", "group", "centre", "inverse", *FEATURES)
 

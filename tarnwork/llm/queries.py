@@ -59,8 +59,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(docs: DataFrame) -> DataFrame:
     path = tokenizer_path(PIECES)
     rows = sentencepieces.decode(sentencepieces.encode(docs, path), path)
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    joined = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), joined("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), joined("span_ends").alias("span_ends_sha256"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def span_text(column: str):
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"), pii.trained())
+    found = pii.find(table(spark, sf_dir, "documents"), pii.tagger(spark))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 

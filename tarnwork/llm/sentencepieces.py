@@ -1,11 +1,16 @@
 """Offset-preserving SentencePiece encoding and decoding.
 
 A text is first normalised by longest-prefix replacement through the model's compiled
-character map; every replaced unit records where it came from, so that each piece can be
-projected to a span of the original UTF-8 bytes.  Decoding is the library's.
+character map; every replaced unit records where it came from.  The pieces are those of the
+normalised text: the model is loaded once more without its own normaliser, so it merges just
+the bytes that the map has given, and each piece is projected through the recorded sources to
+a span of the original UTF-8 bytes.  Decoding is the library's.
 
 Edge cases: a null text is an empty one; an empty text has only the end id and no spans; a
-piece that covers no original byte (the marker put before the text) has an empty span.
+piece that covers no original byte (the marker put before the text) has an empty span; rows
+that repeat, ids included, are each encoded; null ids are kept; an empty table gives an empty
+result; a text of any length is encoded whole, a slice of rows at a time; other columns,
+whatever their names, are dropped at once.
 """
 
 from __future__ import annotations
@@ -73,7 +78,8 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.library.serialized_model_proto())
-        self.rules = proto.normalizer_spec
+        self.rules = sentencepiece_model_pb2.NormalizerSpec()
+        self.rules.CopyFrom(proto.normalizer_spec)
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.map = CharacterMap(self.rules.precompiled_charsmap)
         self.mark = SPACE_MARK if self.rules.escape_whitespaces else b" "
@@ -82,30 +88,38 @@ class Encoder:
         self.lengths = np.array([1 if p.type == byte_type else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.fixed_lengths = proto.trainer_spec.byte_fallback
         self.end = self.library.eos_id()
+        #: Pieces that stand for themselves; the map leaves them alone.
+        self.own = tuple(sorted((p.piece.encode() for p in proto.pieces if p.type == sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED), key=len, reverse=True))
+        bare = proto.normalizer_spec
+        bare.precompiled_charsmap = b""
+        bare.add_dummy_prefix = bare.remove_extra_whitespaces = bare.escape_whitespaces = False
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them plus the end the original offset it starts from."""
         if not self.map.units and not self.rules.remove_extra_whitespaces:
             raw = np.frombuffer(data, np.uint8)
             widths = np.where(raw == 0x20, len(self.mark), 1)
-            source = np.repeat(np.arange(len(raw)), widths)
+            source, end = np.repeat(np.arange(len(raw)), widths), len(data)
             out = data.replace(b" ", self.mark)
         else:
             parts: list[bytes] = []
             origin: list[int] = []
             at = 0
             while at < len(data):
-                size, text = self.map.longest(data, at) or (n := _utf8_length(data[at]), data[at : at + n])
+                kept = next((p for p in self.own if data.startswith(p, at)), None)
+                size, text = (len(kept), kept) if kept else self.map.longest(data, at) or (n := _utf8_length(data[at]), data[at : at + n])
                 parts.append(text)
                 origin += [at] * len(text)
                 at += size
-            out, source = b"".join(parts), np.array(origin, np.int64)
+            out, source, end = b"".join(parts), np.array(origin, np.int64), len(data)
             if self.rules.remove_extra_whitespaces:
                 raw = np.frombuffer(out, np.uint8)
                 space = raw == 0x20
                 keep = ~space
                 keep[1:] |= space[1:] & ~space[:-1]
                 last = np.flatnonzero(~space)
+                end = int(source[last[-1] + 1]) if len(last) and last[-1] + 1 < len(source) else end  # dropped spaces belong to no piece
                 keep[: last[0] if len(last) else len(keep)] = False
                 keep[last[-1] + 1 if len(last) else 0 :] = False
                 out, source = raw[keep].tobytes(), source[keep]
@@ -114,33 +128,36 @@ class Encoder:
             out = out.replace(b" ", self.mark)
         if self.rules.add_dummy_prefix and out:
             ends = (b"", self.mark) if self.suffix else (self.mark, b"")
-            source = np.concatenate([np.zeros(len(ends[0]), np.int64), source, np.full(len(ends[1]), len(data), np.int64)])
+            source = np.concatenate([np.zeros(len(ends[0]), np.int64), source, np.full(len(ends[1]), end, np.int64)])
             out = ends[0] + out + ends[1]
-        return out, np.append(source, len(data))
+        return out, np.append(source, end)
 
-    def span_ends(self, data: bytes, ids: np.ndarray) -> np.ndarray:
+    def span_ends(self, normalised: bytes, source: np.ndarray, ids: list[int]) -> np.ndarray:
         """Where each piece ends in the original bytes; it starts where the one before ends."""
-        normalised, source = self.normalise(data)
         if self.fixed_lengths:
-            ends = np.cumsum(self.lengths[ids])
-        else:  # unknown pieces may cover any text: take the library's view of the normalised bytes
-            proto = self.library.encode(data.decode(), out_type="immutable_proto")
-            ends = np.cumsum([len(p.piece.encode()) for p in proto.pieces])
+            ends = np.cumsum(self.lengths[np.array(ids, np.int64)])
+        else:  # an unknown piece may cover any text
+            ends = np.cumsum([len(p.surface.encode()) for p in self.pieces.encode(normalised.decode(), return_type="proto").pieces])
         if len(ends) and ends[-1] != len(normalised):
             raise ValueError(f"pieces cover {ends[-1]} of {len(normalised)} normalised bytes")
         return source[ends] if len(ends) else ends
 
     def encode(self, column: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids with an end id, and span ends for all but that one, of a column of texts."""
-        found = self.library.encode(column.to_pylist(), num_threads=1)
+        texts = column.to_pylist()
+        plain = not self.map.units and not self.own and not self.rules.remove_extra_whitespaces and not self.suffix and self.fixed_lengths
+        if plain:  # normalising only marks spaces
+            mark = self.mark.decode()
+            found = self.pieces.encode([mark * self.rules.add_dummy_prefix + t.replace(" ", mark) if t else "" for t in texts], num_threads=1)
+        else:
+            rows = [self.normalise(t.encode()) for t in texts]
+            found = self.pieces.encode([out.decode() for out, _ in rows], num_threads=1)
+            ends = [self.span_ends(out, source, ids) for (out, source), ids in zip(rows, found, strict=True)]
         for ids in found:
             ids.append(self.end)
         ids = pa.array(found, pa.list_(pa.int32()))
         counts = np.diff(ids.offsets.to_numpy())
-        flat = ids.values.to_numpy()
-        plain = not self.map.units and not self.rules.remove_extra_whitespaces and not self.suffix and self.fixed_lengths
-        ends = self._plain_ends(column, flat, counts) if plain else [self.span_ends(t.encode(), np.array(x[:-1], np.int64)) for t, x in zip(column.to_pylist(), found, strict=True)]
-        return ids, _lists(ends, counts - 1)
+        return ids, _lists(self._plain_ends(column, ids.values.to_numpy(), counts) if plain else ends, counts - 1)
 
     def _plain_ends(self, column: pa.Array, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """``span_ends`` of all rows at once, where normalising only marks spaces."""

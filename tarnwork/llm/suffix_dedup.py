@@ -15,12 +15,20 @@ positions that must be compared keep meeting, and none is lost.
    the rank at the threshold.  Spark deals and sorts them by first rank, and where a rank has
    many kinds of stretches also by the pair; pairs seen twice are repeats.
 
-Edge cases: null texts are empty; texts under 200 bytes lose nothing; repeated rows are
-copies of each other and of anything else that equals them.
+``every_position`` is the method without that selection: Spark sorts the rank pairs of all
+positions at offsets of 8, 16, 32, 64 and 72 bytes and ranks them anew, and unique positions
+drop out.  It gives the same rows and costs many times the shuffle; README has figures.
+
+Edge cases: null texts are empty; texts under 200 bytes lose nothing; repeated rows, ids
+included, are copies of each other and of anything else that equals them; null ids are kept; an
+empty table gives an empty result; a very long text comes in overlapping pieces; other
+columns, whatever their names, are dropped at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import fingerprints as fp
 from tarnwork.llm.common import discard, map_batches, stored, texts
+from tarnwork.operators.prefix import running
 
 LENGTH = 200
 HALF = 100
@@ -224,6 +233,49 @@ def repeats(rows: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes that a position's first key has; doubled until two overlapping ones make ``LENGTH``.
+WORD = 8
+
+
+def first_keys(one: DataFrame) -> DataFrame:
+    """(tid, size, start, copies, near): the first ``WORD`` bytes of every position of a text, as a number."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        data, offsets = fp.buffer_of(batch.column(2))
+        count = np.maximum(0, np.diff(offsets) - WORD + 1)
+        row = np.repeat(np.arange(len(count)), count)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = offsets[:-1][row] + start
+        key = np.zeros(len(row), np.uint64)
+        for k in range(WORD):
+            key = key << np.uint64(8) | data[at + k].astype(np.uint64)
+        pick = lambda k: batch.column(k).to_numpy(zero_copy_only=False)[row]
+        return {"tid": pick(0), "size": pick(1), "start": start.astype(np.int32), "copies": pick(3), "near": key.view(np.int64)}
+
+    return map_batches(one.select(*KEY, "text", "copies"), work, "tid bigint, size int, start int, copies bigint, near bigint", size_col="text", piece_bytes=1 << 20)
+
+
+def ranked(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(tid, size, start, copies, rank): positions whose keys are not unique, ranked by the sorted keys."""
+    again = pairs.groupBy(*keys).agg(F.sum("copies").alias("seen")).where("seen > 1").drop("seen")
+    return stored(pairs.join(running(again, [], [*keys], name="rank"), [*keys]).select(*KEY, "start", "copies", "rank"), "suffix-ranks")
+
+
+def every_position(rows: DataFrame) -> DataFrame:
+    """What ``repeats`` gives, from the rank pairs of all positions."""
+    one = rows.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    now, width = ranked(first_keys(one), "near"), WORD
+    while width < LENGTH:
+        step = min(width, LENGTH - width)
+        far = now.select(*KEY, (F.col("start") - step).alias("start"), F.col("rank").alias("far"))
+        # where the string behind is unique the longer one is too: it drops out of the join
+        pairs = now.withColumnRenamed("rank", "near").join(far, [*KEY, "start"])
+        before, now = now, ranked(pairs, "near", "far")
+        discard(before)
+        width += step
+    return now.select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping and touching spans as maximal ones."""
     order = np.argsort(start, kind="stable")
@@ -253,10 +305,10 @@ def without_repeats(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return map_batches(one.join(told, KEY).select(*KEY, "text", "parts"), work, "tid bigint, size int, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary", size_col="text", piece_bytes=1 << 20)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", search: Callable[[DataFrame], DataFrame] = repeats) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows = keyed(docs, id_col, text_col)
-    cut = without_repeats(rows, repeats(rows)).select(*KEY, "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    cut = without_repeats(rows, search(rows)).select(*KEY, "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     cut = stored(cut, "suffix-cut")
     whole = rows.select(id_col, *KEY, F.sha2("text", 256).alias("whole_sha256"))
     out = whole.join(cut, KEY, "left")

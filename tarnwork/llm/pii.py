@@ -1,17 +1,24 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF that adds spans.
 
 The tagger is a bidirectional LSTM over characters with a linear-chain CRF on top, trained in
-numpy from labelled spans (synthetic sentences whose insertions are known).  A text is read
-in overlapping windows around its digits, at-signs and bracketed "at"s; no accepted span can
-lie elsewhere.  The windows' emission scores are blended, and one Viterbi pass over each
-whole region decides, so that a span cut by a window border is found once and whole.
-Added spans must fit their kind's digit count and may not overlap a pattern's span.
-
-Edge cases: a null text is an empty one and has no spans; offsets are code points.
+numpy from labelled spans (synthetic sentences whose insertions are known).  Every text is
+read whole, in overlapping windows.  The windows' emission scores are blended, so that a span
+cut by a window border is found once and whole, and one best tag sequence of the whole text
+is taken.  Where no run of other tags can gain over "outside", every best sequence has "outside";
+such characters cut the text into stretches, which are decoded one by one, long ones in
+overlapping windows.
+Added spans must fit their kind's format and may not overlap a pattern's span.
+
+Edge cases: a null text is an empty one and has no spans; offsets are code points; texts of
+any length take time in proportion, and memory in proportion to the longest text; rows that
+repeat, ids included, each get their spans; null ids are kept; an empty table gives an empty
+result; other columns, whatever their names, are dropped by ``find`` and kept by ``mask``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import ipaddress
 import random
 import re
@@ -19,20 +26,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import id_type, map_batches, texts
+from tarnwork.llm.common import id_type, map_batches, map_slices, shared_dir, texts
 
-#: The kinds in the order of the result, and their patterns.
+#: The kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
-TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
+#: What stands around an at-sign, and the other patterns.  Each is tried once for each stretch
+#: of text that it could cover, so that no text takes more than linear time.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKS = {k: f"[{k.upper()}]" for k in KINDS}
 
 
@@ -46,23 +54,41 @@ def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
 
-def _accepted(kind: str, found: str) -> bool:
-    if kind == "ip":
-        return all(int(part) <= 255 for part in found.split("."))
-    if kind == "card":
-        return 13 <= len(d := _digits(found)) <= 19 and luhn(d)
-    if kind == "phone":
-        return 9 <= len(_digits(found)) <= 15
-    return True
+def _byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def emails(text: str):
+    """An address is the run of name characters before an at-sign, and a domain with a dot."""
+    after, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > after and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (domain := DOMAIN.match(text, at + 1)):
+            after = domain.end()
+            yield "email", start, after
+        at = text.find("@", max(at + 1, after))
+
+
+def addresses(text: str):
+    """Of a chain of numbers joined by dots, each four in turn."""
+    for m in NUMBERS.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_byte, four)):
+                yield "ip", at, at + size
+            at += size + 1
 
 
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     """Accepted matches of the patterns, by kind and start."""
-    out = []
-    for kind in KINDS:
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _accepted(kind, m[0])]
+    out = [*emails(text), *addresses(text)]
+    out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
@@ -73,7 +99,11 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789@.-+()_% []:/,\n\"'="
 UPPER, LETTER, OTHER, PAD = (len(SYMBOLS) + k for k in range(4))
 N_SYMBOLS = len(SYMBOLS) + 4
 TAGS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
-EMBED, HIDDEN, WINDOW, STRIDE, REACH = 12, 20, 96, 48, 48
+EMBED, HIDDEN, TRAINED, WINDOW, STRIDE = 8, 12, 96, 192, 168
+#: Bytes of text, windows read at a time.
+PIECE, BATCH = 1 << 18, 512
+#: Characters of a decoded window that are believed, and those on either side of them that are not.
+MIDDLE, MARGIN = 256, 64
 _TABLE = np.full(0x250, OTHER, np.int8)
 for _i, _c in enumerate(SYMBOLS):
     _TABLE[ord(_c)] = _i
@@ -120,9 +150,33 @@ class Tagger:
         return out, saved
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores of every character of windows of symbols (n, length)."""
-        e = self.p["E"][x]
-        return np.concatenate([self._lstm(e, "f")[0], self._lstm(e, "b")[0]], 2) @ self.p["O"] + self.p["ob"]
+        """Tag scores of every character of windows of symbols (n, length), both directions at once.
+
+        Sigmoids are taken as tanh of half plus one, twice too large; ``c`` is halved for it, and
+        the weights that ``h`` meets.  Windows lie along the last axis, so that gates are blocks.
+        """
+        n, length = x.shape
+        half = np.concatenate([np.full(3 * HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)])
+        w = np.stack([np.concatenate([self.p[f"W{d}"][EMBED:] / 2, self.p[f"W{d}"][:EMBED]]).T * half[:, None] for d in "fb"])
+        bias = np.stack([self.p[f"b{d}"] * half for d in "fb"])[:, :, None]
+        z = np.zeros((2, HIDDEN + EMBED, n), np.float32)
+        c, th, new = (np.zeros((2, HIDDEN, n), np.float32) for _ in range(3))
+        a, out = np.empty((2, 4 * HIDDEN, n), np.float32), np.empty((2, length, HIDDEN, n), np.float32)
+        e = np.ascontiguousarray(self.p["E"][x.T].transpose(0, 2, 1))
+        h, gates = z[:, :HIDDEN], a[:, : 3 * HIDDEN]
+        for t in range(length):
+            z[0, HIDDEN:], z[1, HIDDEN:] = e[t], e[length - 1 - t]
+            np.matmul(w, z, out=a)
+            a += bias
+            np.tanh(a, out=a)
+            gates += 1
+            c *= gates[:, HIDDEN : 2 * HIDDEN]
+            c += np.multiply(gates[:, :HIDDEN], a[:, 3 * HIDDEN :], out=new)
+            c *= 0.5
+            np.multiply(gates[:, 2 * HIDDEN :], np.tanh(c, out=th), out=h)
+            out[0, t], out[1, length - 1 - t] = h
+        o = self.p["O"].T / 2
+        return (o[:, :HIDDEN] @ out[0] + o[:, HIDDEN:] @ out[1]).transpose(2, 0, 1) + self.p["ob"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tags y, and its gradients."""
@@ -168,23 +222,67 @@ class Tagger:
         np.add.at(g["E"], x, de)
         return float((z - gold).mean()), g
 
-    def viterbi(self, u: np.ndarray) -> list[int]:
-        """The best tag sequence of one region's emission scores."""
-        score, back = u[0], []
-        for row in u[1:]:
-            s = score[:, None] + self.p["T"]
-            back.append(s.argmax(0))
-            score = s.max(0) + row
-        tags = [int(score.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
+    def outside(self, u: np.ndarray) -> np.ndarray:
+        """Where every best tag sequence has tag 0.
+
+        A run of other tags gains at most ``x`` at each of its characters and ``last`` after them
+        over tag 0 throughout; where the best run through a character gains less than nothing,
+        no best sequence has one there.  Best runs come from differences of running sums.
+        """
+        t = self.p["T"].astype(np.float64)
+        into, x = t.max(0), u[:, 1] + t[:, 1].max()
+        for k in range(2, len(TAGS)):
+            np.maximum(x, u[:, k] + into[k], out=x)
+        x -= u[:, 0] + t[0, 0]
+        last = t[1:, 0].max() - t[0, 0]
+
+        def ending(x: np.ndarray) -> np.ndarray:
+            sums = np.concatenate((np.zeros(1), np.cumsum(x, dtype=np.float64)))
+            return sums[1:] - np.minimum.accumulate(sums)[:-1]
+
+        return ending(x) + ending(x[::-1])[::-1] - x + last < 0
+
+    def decode(self, u: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The best tags of stretches [start, end) of emission scores, each between characters of tag 0.
+
+        A long stretch is decoded in overlapping windows, each believed in its middle.
+        """
+        count = -(-(ends - starts) // MIDDLE)
+        turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        low, high = np.repeat(starts, count), np.repeat(ends, count)
+        core = low + turn * MIDDLE
+        first, stop = np.maximum(core - MARGIN, low), np.minimum(core + MIDDLE + MARGIN, high)
+        open_left, open_right = first > low, stop < high
+        tags, into = np.zeros(len(u), np.int8), np.ascontiguousarray(self.p["T"].T)
+        order = np.argsort(stop - first, kind="stable")
+        for k in range(0, len(order), 256):
+            now = order[k : k + 256]
+            at, size, rows = first[now], (stop - first)[now], np.arange(len(now))
+            steps = int(size[-1])
+            score = np.full((len(now), len(TAGS)), -1e30, np.float32)
+            score[:, 0] = 0
+            score[open_left[now]] = 0
+            back = np.empty((steps, len(now), len(TAGS)), np.int8)
+            for t in range(steps):
+                s = score[:, None, :] + into
+                back[t] = s.argmax(2)
+                after = s.max(2) + u[np.minimum(at + t, len(u) - 1)]
+                score = np.where((t < size)[:, None], after, score)
+            tag = (score + self.p["T"][:, 0] * ~open_right[now][:, None]).argmax(1)
+            for t in range(steps - 1, -1, -1):
+                inside = t < size
+                mine = inside & (at + t >= core[now]) & (at + t < core[now] + MIDDLE)
+                tags[(at + t)[mine]] = tag[mine]
+                tag = np.where(inside, back[t][rows, tag], tag)
+        return tags
 
 
 def labelled_sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     """An invented sentence with inserted personal data, some of it written evasively."""
     syllables = "an er in on the re st ou en tion de la que ie os ge keit ent ment ra el".split()
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    accented = "ö ä ü ß é è ê ç ñ ó í á ción über ière ão".split()
+    foreign, mark = r.random() < 0.4, r.choice(["###", "$$$", "%%%", "&&&", "***", "!!", "||", "<b>"]) if r.random() < 0.15 else ""
+    word = lambda: "".join(r.choice(accented if foreign and r.random() < 0.3 else syllables) for _ in range(r.randint(1, 4)))
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
 
     def card() -> str:
@@ -215,7 +313,7 @@ def labelled_sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]
             new = personal(kind)
             spans.append((kind, len(text), len(text) + len(new)))
         else:
-            new = harmless() if x < 0.34 else word()
+            new = harmless() if x < 0.34 else word() + mark
         text += new + " "
     return text, spans
 
@@ -230,18 +328,18 @@ def tags_of(length: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained(steps: int = 420, batch: int = 48, seed: int = 11) -> Tagger:
-    """A tagger fitted with Adam on ``steps`` x ``batch`` labelled windows; the same for the same arguments."""
+def trained(steps: int = 560, batch: int = 48, seed: int = 11) -> Tagger:
+    """A tagger fitted with Adam on ``steps`` x ``batch`` labelled windows of ``TRAINED`` characters; the same for the same arguments."""
     r, model = random.Random(seed), Tagger()
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     for step in range(1, steps + 1):
-        xs, ys = np.full((batch, WINDOW), PAD, np.int64), np.zeros((batch, WINDOW), np.int64)
+        xs, ys = np.full((batch, TRAINED), PAD, np.int64), np.zeros((batch, TRAINED), np.int64)
         for k in range(batch):
             text, spans = labelled_sentence(r)
             x, y = symbols(text), tags_of(len(text), spans)
-            a = r.randint(0, max(0, len(x) - WINDOW))
-            xs[k, : len(x) - a], ys[k, : len(x) - a] = x[a : a + WINDOW], y[a : a + WINDOW]
+            a = r.randint(0, max(0, len(x) - TRAINED))
+            xs[k, : len(x) - a], ys[k, : len(x) - a] = x[a : a + TRAINED], y[a : a + TRAINED]
         _, g = model.gradients(xs, ys)
         norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
         rate = 0.012 * min(1, step / 20) * (1 - 0.95 * step / steps)
@@ -253,48 +351,84 @@ def trained(steps: int = 420, batch: int = 48, seed: int = 11) -> Tagger:
     return model
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within ``REACH`` characters of a digit, an at-sign or a bracketed "at"."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+@lru_cache(maxsize=2)
+def version(**settings) -> str:
+    """Digest of the code and the settings that a trained tagger depends on."""
+    with open(__file__, "rb") as f:
+        return hashlib.sha256(f.read() + repr(sorted(settings.items())).encode()).hexdigest()[:24]
+
+
+def tagger(spark: SparkSession, **settings) -> Tagger:
+    """The trained tagger: read from the shared folder if the same code has trained it before."""
+    path = f"{shared_dir(spark)}/tarnwork/tagger-{version(**settings)}"
+    try:
+        found = spark.read.schema("p binary").parquet(path).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = None
+    if found is not None:
+        model = Tagger()
+        with np.load(io.BytesIO(found["p"])) as saved:
+            model.p = {k: saved[k] for k in saved.files}
+        return model
+    model, saved = trained(**settings), io.BytesIO()
+    np.savez(saved, **model.p)
+    spark.createDataFrame([(saved.getvalue(),)], "p binary").write.mode("ignore").parquet(path)
+    return model
+
+
+def blended(model: Tagger, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Emission scores of the characters of packed texts, from all windows over them."""
+    first = np.cumsum(lengths) - lengths
+    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)  # the last reaches the end
+    row = np.repeat(np.arange(len(lengths)), count)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start, end = first[row] + turn * STRIDE, (first + lengths)[row]
+    total, blend = np.zeros((len(codes), len(TAGS)), np.float32), np.zeros(len(codes), np.float32)
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+    step = np.arange(WINDOW)
+    for k in range(0, len(row), BATCH):
+        low, high = start[k : k + BATCH], np.minimum(end, start + WINDOW)[k : k + BATCH]
+        place = low[:, None] + step
+        u = model.emissions(np.where(place < high[:, None], codes[np.minimum(place, len(codes) - 1)], PAD)) * weight[:, None]
+        for one, a, b in zip(u, low.tolist(), high.tolist(), strict=True):
+            total[a:b] += one[: b - a]
+            blend[a:b] += weight[: b - a]
+    total /= np.maximum(blend, 1)[:, None]
+    return total
 
 
 def model_spans(model: Tagger, rows: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of each text by the tagger alone."""
-    windows, places = [], []
-    for row, text in enumerate(rows):
-        for a, b in regions(text):
-            codes = symbols(text[a:b])
-            for at in range(0, max(1, len(codes) - STRIDE), STRIDE):
-                part = codes[at : at + WINDOW]
-                windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=PAD))
-                places.append((row, a, b, at))
     out: list[list[tuple[str, int, int]]] = [[] for _ in rows]
-    if not windows:
+    lengths = np.array([len(t) for t in rows], np.int64)
+    codes = symbols("".join(rows))
+    if not len(codes):
         return out
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-    sums: dict[tuple[int, int, int], list[np.ndarray]] = {}
-    for k in range(0, len(windows), 512):
-        u = model.emissions(np.array(windows[k : k + 512], np.int64))
-        for (row, a, b, at), scores in zip(places[k : k + 512], u, strict=True):
-            total = sums.setdefault((row, a, b), [np.zeros((b - a, len(TAGS)), np.float32), np.zeros((b - a, 1), np.float32)])
-            n = min(WINDOW, b - a - at)
-            total[0][at : at + n] += scores[:n] * weight[:n]
-            total[1][at : at + n] += weight[:n]
-    for (row, a, _b), (total, blend) in sums.items():
-        tags, start = [*model.viterbi(total / blend), 0], None
-        for k, tag in enumerate(tags):
-            if start is not None and (tag == 0 or tag % 2 == 1 or (tag - 1) // 2 != (tags[start] - 1) // 2):
-                out[row].append((KINDS[(tags[start] - 1) // 2], a + start, a + k))
-                start = None
-            if start is None and tag > 0:
-                start = k
+    u = blended(model, codes, lengths)
+    first = np.cumsum(lengths) - lengths
+    unsure = ~model.outside(u)
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = unsure[1:] != unsure[:-1]
+    edge[first] = True  # a stretch ends with its text
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    told = unsure[starts]
+    tags = model.decode(u, starts[told], ends[told])
+    # a span begins at a tag B, or at a tag that does not go on with the kind before it
+    kind = (tags.astype(np.int64) + 1) // 2
+    fresh = kind > 0
+    goes_on = np.zeros(len(tags), bool)
+    goes_on[1:] = (kind[1:] == kind[:-1]) & (tags[1:] % 2 == 0) & (kind[1:] > 0)
+    goes_on[first[first < len(tags)]] = False
+    begins = np.flatnonzero(fresh & ~goes_on)
+    stops = np.flatnonzero(np.append(~goes_on, True))
+    for a in begins.tolist():
+        b = int(stops[np.searchsorted(stops, a, side="right")])
+        row = int(np.searchsorted(first, a, side="right")) - 1
+        out[row].append((KINDS[kind[a] - 1], a - int(first[row]), b - int(first[row])))
     return out
 
 
@@ -347,7 +481,7 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
         asdict = lambda part: pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x[part]] for x in found], _SPAN)
         return {id_col: batch.column(0), "base": asdict(0), "spans": asdict(1)}
 
-    return map_batches(texts(docs, id_col, text_col), work, f"{id_col} {id_type(docs, id_col)}, base {SPAN}, spans {SPAN}", size_col=text_col)
+    return map_batches(texts(docs, id_col, text_col), work, f"{id_col} {id_type(docs, id_col)}, base {SPAN}, spans {SPAN}", size_col=text_col, piece_bytes=PIECE)
 
 
 def masked(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -365,17 +499,16 @@ def mask(docs: DataFrame, model: Tagger, text_col: str = "text", length_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            rows = batch.column(k).to_pylist()
-            found = spans(shared.value, [t or "" for t in rows])
-            new = [None if t is None else masked(t, f[1]) if f[1] else t for t, f in zip(rows, found, strict=True)]
-            columns = list(batch.columns)
-            columns[k] = pa.array(new, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    out = docs.mapInArrow(run, schema)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k = batch.schema.get_field_index(text_col)
+        rows = batch.column(k).to_pylist()
+        found = spans(shared.value, [t or "" for t in rows])
+        new = [None if t is None else masked(t, f[1]) if f[1] else t for t, f in zip(rows, found, strict=True)]
+        columns = list(batch.columns)
+        columns[k] = pa.array(new, batch.schema.field(k).type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    out = map_slices(docs, work, schema, size_col=text_col, piece_bytes=PIECE)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
     return out

@@ -3,12 +3,17 @@
 A zstandard dictionary is trained on labelled good texts and another on bad ones.  A text
 that shrinks more with the good one is likelier good: the compressed-size difference,
 normalised by the length and by the sizes, and the size itself feed a logistic calibration.
-Only a bounded sample of labelled rows is ever collected (``FIT_ROWS`` for each label, each
-text up to ``FIT_BYTES``); every text is scored whole, in blocks.
+Every text is scored whole, in blocks.  Labels are learned from a bounded sample: at most
+``FIT_ROWS`` rows of each label, half for the dictionaries and half for the calibration.  The
+dictionaries are made from at most ``FIT_BLOCKS`` blocks of each label, which come by hash from
+anywhere in the whole texts; the calibration reads the whole texts on the executors, and only
+its numbers are collected.
 
 Edge cases: null and empty texts score like a text of no bytes, which the calibration maps
 to a fixed value; with no labelled row of either kind the score is the share of good labels,
-or 0.5.
+or 0.5; rows that repeat, ids included, each get the same score; a null id is scored and
+never learned from; an empty table gives an empty result; a text of any length is scored in
+blocks; other columns, whatever their names, are dropped by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -18,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import id_type, map_batches, texts
+from tarnwork.llm.common import discard, id_type, map_batches, map_slices, stored, texts
 
 #: Most labelled rows of each label that a fit collects: half for the dictionary, half to calibrate.
 FIT_ROWS = 1600
-#: Most bytes that a fit takes from one labelled text.
-FIT_BYTES = 20_000
+#: Most blocks of each label that its dictionary is made from.
+FIT_BLOCKS = 4096
 DICTIONARY_BYTES = 112_640
 BLOCK = 2048
 LEVEL = 3
@@ -68,26 +73,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -30, 30)))
 
 
-def _dictionary(rows: list[bytes]) -> bytes:
+def _dictionary(blocks: list[bytes]) -> bytes:
     import zstandard
 
-    blocks = [t[i : i + BLOCK] for t in rows for i in range(0, len(t), BLOCK)]
     total = sum(map(len, blocks))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 4)), blocks).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return (b"\n".join(rows) or b"\n" * 8)[:DICTIONARY_BYTES]
-
-
-def train(good: list[bytes], bad: list[bytes], good_share: float) -> Model:
-    """A model of labelled texts; ``good_share`` is the share of good labels among all."""
-    if not good or not bad:
-        return Model(b"", b"", [], [], [good_share])
-    half = (lambda rows: (rows[: (len(rows) + 1) // 2], rows[(len(rows) + 1) // 2 :] or rows))
-    (good_dict, good_fit), (bad_dict, bad_fit) = half(good), half(bad)
-    model = Model(_dictionary(good_dict), _dictionary(bad_dict), [0.0] * 3, [1.0] * 3, [0.0] * 4)
-    x = np.array([model.inputs(t) for t in [*good_fit, *bad_fit]])
-    y = np.array([1.0] * len(good_fit) + [0.0] * len(bad_fit))
+        return (b"\n".join(blocks) or b"\n" * 8)[:DICTIONARY_BYTES]
+
+
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, good_share: float) -> Model:
+    """``model`` with the weights of a logistic fit of labels y to inputs x."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     p = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     share = min(max(good_share, 0.02), 0.98)
@@ -101,23 +98,38 @@ def train(good: list[bytes], bad: list[bytes], good_share: float) -> Model:
 
 
 def training_row(id_col: str = "doc_id"):
-    """Rows from which labels may be learned; the others are held out."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+    """Rows from which labels may be learned; the others are held out.  Null ids are not held out, and have no label."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
-    """Fits on a bounded sample: the ``rows`` labelled ids of each label that come first by hash."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, blocks: int = FIT_BLOCKS) -> Model:
+    """Fits on a bounded sample: the ``rows`` labelled ids of each label that come first by hash, in turn for each use."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col), F.col("quality").cast("int").alias("quality")).where(training_row(id_col))
     share = known.agg(F.avg("quality")).first()[0]
     order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
-    chosen = None
+    chosen = []
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(*order).limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
+        ids = [r[0] for r in known.where(F.col("quality") == q).select(id_col).distinct().orderBy(*order).limit(rows).collect()]
+        chosen += [(i, q, k % 2 == 0) for k, i in enumerate(ids)]
+    names = {id_col: labels.schema[id_col].dataType.simpleString(), "quality": "int", "for_dictionary": "boolean"}
+    picked = docs.sparkSession.createDataFrame(chosen, ", ".join(f"{k} {v}" for k, v in names.items()))
     # at most 2 x rows ids: safe to broadcast
-    found = texts(docs, id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, "quality", F.substring(F.encode(text_col, "UTF-8"), 1, FIT_BYTES).alias("t"))
-    got = sorted(found.orderBy(*order).limit(2 * rows).collect(), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64 if isinstance(r[0], int) else str(r[0]), bytes(r[2])))
-    return train([bytes(r["t"]) for r in got if r["quality"] == 1], [bytes(r["t"]) for r in got if r["quality"] == 0], 0.5 if share is None else float(share))
+    found = stored(texts(docs, id_col, text_col).join(F.broadcast(picked), id_col), "quality-sample")
+    raw = F.encode(text_col, "UTF-8")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(text_col) - 1, F.lit(0)), F.lit(BLOCK))
+    cut = found.where("for_dictionary").select("quality", F.explode(F.transform(starts, lambda at: F.substring(raw, at + 1, F.lit(BLOCK)))).alias("block")).where(F.octet_length("block") > 0)
+    made = [_dictionary([bytes(r[0]) for r in cut.where(F.col("quality") == q).select("block").orderBy(F.xxhash64("block"), "block").limit(blocks).collect()]) for q in (1, 0)]
+    empty = Model(*made, [0.0] * 3, [1.0] * 3, [0.0] * 4)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"quality": batch.column(0), "x": pa.array([empty.inputs((t or "").encode()) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))}
+
+    got = map_batches(found.where("not for_dictionary").select("quality", text_col), work, "quality int, x array<double>", size_col=text_col).collect()
+    got = sorted((r["quality"], r["x"]) for r in got)
+    discard(found)
+    if len({q for q, _ in got}) < 2:  # no labelled text of one kind: there is nothing to tell apart
+        return Model(b"", b"", [], [], [0.5 if share is None else float(share)])
+    return calibrated(empty, np.array([x for _, x in got]), np.array([float(q) for q, _ in got]), float(share))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,10 +147,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     """The rows of ``docs``, all columns, whose text is predicted good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
-            s = shared.value.scores([t.encode() for t in column.to_pylist()])
-            yield batch.filter(pa.array(s >= 0.5, pa.bool_()))
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
+        s = shared.value.scores([t.encode() for t in column.to_pylist()])
+        return batch.filter(pa.array(s >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_slices(docs, keep, docs.schema, size_col=text_col)

@@ -99,7 +99,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 #: Most rows of a stored table of a few numbers that is sent to all executors; larger ones are shuffled.
-BROADCAST_ROWS = 1 << 21
+BROADCAST_ROWS = 1 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.graph import LEAF_POOL as POOL
 from tarnwork.operators.graph import common_segments, penalised
+from tarnwork.storage import stored
 
 #: Confidence of each kind of resolution.
 CONFIDENCE = {
@@ -127,6 +128,7 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     kept = F.filter("by_args", lambda x: F.coalesce(x["receiver"] == F.col("hint"), F.lit(True)))
     positive = F.exists("by_args", lambda x: x["receiver"] == F.col("hint"))
     rows = rows.withColumn("kept", kept).withColumn("by_receiver", F.when(F.col("hint").isNotNull() & (F.size("by_args") > 1) & positive & (F.size("kept") < F.size("by_args")), F.col("kept")).otherwise(F.col("by_args")))
+    rows = stored(rows.drop("leaf_key", "leaf_pool", "name_key", "fit", "kept"), "narrowed-pools")  # else Catalyst repeats each narrowing in all that follow
     near = lambda pool: F.filter(pool, lambda x: reachable(x["file"], F.col("modules")))
     rows = rows.withColumn("near", F.when(F.col("modules").isNotNull(), near("by_receiver")).otherwise(none))
     far = lambda pool: F.col("modules").isNotNull() & ~reachable(F.get(pool, F.lit(0))["file"], F.col("modules"))

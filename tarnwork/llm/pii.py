@@ -2,9 +2,10 @@
 
 The tagger is a bidirectional LSTM over characters with a linear-chain CRF on top, trained in
 numpy from labelled spans (synthetic sentences whose insertions are known).  Every text is
-read whole, in overlapping windows.  The windows' emission scores are blended, so that a span
-cut by a window border is found once and whole, and one best tag sequence of the whole text
-is taken.  Where no run of other tags can gain over "outside", every best sequence has "outside";
+read in overlapping windows.  The windows' emission scores are blended, so that a span
+cut by a window border is found once and whole, and one best tag sequence is taken.  A span is
+accepted only with a digit, an at-sign, a bracket or a colon inside, so windows go first where
+these are, and on from there as far as a possible span goes; the others cannot add any.  Where no run of other tags can gain over "outside", every best sequence has "outside";
 such characters cut the text into stretches, which are decoded one by one, long ones in
 overlapping windows.
 Added spans must fit their kind's format and may not overlap a pattern's span.
@@ -378,45 +379,95 @@ def tagger(spark: SparkSession, **settings) -> Tagger:
     return model
 
 
-def blended(model: Tagger, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Emission scores of the characters of packed texts, from all windows over them."""
-    first = np.cumsum(lengths) - lengths
-    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)  # the last reaches the end
-    row = np.repeat(np.arange(len(lengths)), count)
-    turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start, end = first[row] + turn * STRIDE, (first + lengths)[row]
-    total, blend = np.zeros((len(codes), len(TAGS)), np.float32), np.zeros(len(codes), np.float32)
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    step = np.arange(WINDOW)
-    for k in range(0, len(row), BATCH):
-        low, high = start[k : k + BATCH], np.minimum(end, start + WINDOW)[k : k + BATCH]
-        place = low[:, None] + step
-        u = model.emissions(np.where(place < high[:, None], codes[np.minimum(place, len(codes) - 1)], PAD)) * weight[:, None]
-        for one, a, b in zip(u, low.tolist(), high.tolist(), strict=True):
-            total[a:b] += one[: b - a]
-            blend[a:b] += weight[: b - a]
-    total /= np.maximum(blend, 1)[:, None]
-    return total
-
-
-def model_spans(model: Tagger, rows: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text by the tagger alone."""
+class Reading:
+    """Emission scores of packed texts, window by window, blended where windows overlap."""
+
+    def __init__(self, model: Tagger, codes: np.ndarray, lengths: np.ndarray):
+        self.model, self.codes = model, codes
+        first = np.cumsum(lengths) - lengths
+        count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)  # the last reaches the end
+        row = np.repeat(np.arange(len(lengths)), count)
+        self.start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+        self.end = np.minimum(self.start + WINDOW, (first + lengths)[row])
+        self.total, self.blend = np.zeros((len(codes), len(TAGS)), np.float32), np.zeros(len(codes), np.float32)
+        self.done = np.zeros(len(row), bool)
+        self.weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+
+    def touching(self, places: np.ndarray) -> np.ndarray:
+        """Which windows cover one of the marked characters."""
+        sums = np.concatenate(([0], np.cumsum(places)))
+        return sums[self.end] > sums[self.start]
+
+    def read(self, wanted: np.ndarray) -> None:
+        """Adds the wanted windows' scores, those that are not there yet."""
+        todo = np.flatnonzero(wanted & ~self.done)
+        self.done[todo] = True
+        step = np.arange(WINDOW)
+        for k in range(0, len(todo), BATCH):
+            low, high = self.start[todo[k : k + BATCH]], self.end[todo[k : k + BATCH]]
+            place = low[:, None] + step
+            u = self.model.emissions(np.where(place < high[:, None], self.codes[np.minimum(place, len(self.codes) - 1)], PAD)) * self.weight[:, None]
+            for one, a, b in zip(u, low.tolist(), high.tolist(), strict=True):
+                self.total[a:b] += one[: b - a]
+                self.blend[a:b] += self.weight[: b - a]
+
+    def unread(self) -> np.ndarray:
+        """Characters that a window not read yet covers."""
+        edges = np.zeros(len(self.codes) + 1, np.int64)
+        np.add.at(edges, self.start[~self.done], 1)
+        np.add.at(edges, self.end[~self.done], -1)
+        return np.cumsum(edges)[:-1] > 0
+
+    def scores(self) -> np.ndarray:
+        """Blended scores; characters with a window to come are far outside."""
+        u = self.total / np.maximum(self.blend, 1)[:, None]
+        u[self.unread()] = np.array([1e4] + [0.0] * (len(TAGS) - 1), np.float32)
+        return u
+
+
+#: Each accepted span has one of these, as ``_fits`` asks for digits, an at-sign, a bracket or a colon.
+MARKS = np.zeros(N_SYMBOLS, bool)
+MARKS[[SYMBOLS.index(c) for c in "0123456789@:(["]] = True
+#: Characters on either side of a mark that are read at once.
+REACH = 48
+
+
+def model_spans(model: Tagger, rows: list[str], everything: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text by the tagger, of those that have a mark inside; all with ``everything``.
+
+    Only such spans can be accepted.  So the windows near marks are read first, and where a
+    stretch that may be a span and has a mark reaches text that is not read yet, the windows
+    there follow until none does.
+    """
     out: list[list[tuple[str, int, int]]] = [[] for _ in rows]
     lengths = np.array([len(t) for t in rows], np.int64)
     codes = symbols("".join(rows))
     if not len(codes):
         return out
-    u = blended(model, codes, lengths)
     first = np.cumsum(lengths) - lengths
-    unsure = ~model.outside(u)
-    edge = np.zeros(len(codes) + 1, bool)
-    edge[0] = edge[-1] = True
-    edge[1:-1] = unsure[1:] != unsure[:-1]
-    edge[first] = True  # a stretch ends with its text
-    cuts = np.flatnonzero(edge)
-    starts, ends = cuts[:-1], cuts[1:]
-    told = unsure[starts]
-    tags = model.decode(u, starts[told], ends[told])
+    marked = MARKS[codes]
+    reading = Reading(model, codes, lengths)
+    near = np.convolve(marked, np.ones(2 * REACH + 1), "same") > 0.5 if len(codes) > 2 * REACH else np.full(len(codes), bool(marked.any()))
+    reading.read(np.ones(len(reading.done), bool) if everything else reading.touching(near))
+    marks = np.concatenate(([0], np.cumsum(marked)))
+    while True:
+        u = reading.scores()
+        unsure = ~model.outside(u)
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[0] = edge[-1] = True
+        edge[1:-1] = unsure[1:] != unsure[:-1]
+        edge[first] = True  # a stretch ends with its text
+        cuts = np.flatnonzero(edge)
+        starts, ends = cuts[:-1], cuts[1:]
+        told = unsure[starts] & (everything | (marks[ends] > marks[starts]))
+        starts, ends = starts[told], ends[told]
+        beside = np.zeros(len(codes), bool)
+        beside[np.maximum(starts - 1, 0)] = beside[np.minimum(ends, len(codes) - 1)] = True
+        more = reading.touching(beside & reading.unread())
+        if not (more & ~reading.done).any():
+            break
+        reading.read(more)
+    tags = model.decode(u, starts, ends)
     # a span begins at a tag B, or at a tag that does not go on with the kind before it
     kind = (tags.astype(np.int64) + 1) // 2
     fresh = kind > 0

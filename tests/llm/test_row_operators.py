@@ -426,9 +426,11 @@ def test_windows_and_stretches_give_one_answer():
     model, r = pii.trained(), random.Random(9)
     texts = ["".join(pii.labelled_sentence(r)[0] for _ in range(r.randint(1, 4))) for _ in range(30)] + ["12 3. " * 300, ""]
     lengths = np.array([len(t) for t in texts])
-    u = pii.blended(model, pii.symbols("".join(texts)), lengths)
+    reading = pii.Reading(model, pii.symbols("".join(texts)), lengths)
+    reading.read(np.ones(len(reading.done), bool))
+    u = reading.scores()
     t = model.p["T"]
-    got = pii.model_spans(model, texts)
+    got = pii.model_spans(model, texts, everything=True)
     for k, text in enumerate(texts):
         a = int(lengths[:k].sum())
         score, back = t[0] * 0 - 1e30, []
@@ -451,6 +453,23 @@ def test_windows_and_stretches_give_one_answer():
         assert got[k] == want
 
 
+def test_reading_near_marks_loses_no_accepted_span(data):
+    import duckdb
+
+    model, r = pii.trained(), random.Random(5)
+    texts = [x[0] or "" for x in duckdb.sql(f"SELECT text FROM '{data}/documents.parquet'").fetchall()]
+    texts += ["".join(pii.labelled_sentence(r)[0] for _ in range(3)) for _ in range(60)]
+    filler = "plain words without any sign in them and so on " * 20
+    texts += [filler + "dead:beef::cafe " + filler, filler + "a" * 400 + " [at] mail.com " + filler, filler + "call 017 555 7713 or a.b (at) mail (dot) org", "dead:beef::cafe", "", "1"]
+    every = pii.model_spans(model, texts, everything=True)
+    some = pii.model_spans(model, texts)
+    accepted = lambda spans, t: {(k, a, b) for k, a, b in spans if any(c in "0123456789@:([" for c in t[a:b])}
+    assert [accepted(x, t) for x, t in zip(every, texts)] == [accepted(x, t) for x, t in zip(some, texts)]
+    assert sum(map(len, some)) > 100
+    for kind, found in (("ip", "dead:beef::cafe"), ("email", "bob (at) mail (dot) org"), ("email", "a@b.c"), ("phone", "017 555 7713"), ("ip", "1.2.3.4"), ("card", "4539 5787 6362 1486")):
+        assert pii._fits(kind, found) and pii.MARKS[pii.symbols(found)].any()
+
+
 def test_tagger_gradients_and_accuracy():
     model = pii.Tagger(3)
     r = np.random.default_rng(0)
@@ -466,6 +485,6 @@ def test_tagger_gradients_and_accuracy():
         model.p[name][flat] = old
         assert abs((up - down) / 2e-2 - g[name][flat]) < 2e-2 * max(1, abs(g[name][flat]))
     held = [pii.labelled_sentence(random.Random(k)) for k in range(10_000, 10_150)]
-    found = pii.model_spans(pii.trained(), [t for t, _ in held])
+    found = pii.model_spans(pii.trained(), [t for t, _ in held], everything=True)
     hits = sum(len(set(a) & set(b)) for (_, a), b in zip(held, found))
     assert hits >= 0.9 * sum(len(a) for _, a in held) and hits >= 0.9 * sum(map(len, found))

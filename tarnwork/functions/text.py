@@ -17,6 +17,11 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
+def token_count(text: Column | str) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))
+
+
 def query_tokens(text: Column | str) -> Column:
     """The distinct tokens of a query, twelve at most, first ones first."""
     return F.slice(F.array_distinct(tokens(text)), 1, MAX_QUERY_TOKENS)

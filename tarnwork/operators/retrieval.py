@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import query_tokens, tokens
+from tarnwork.functions.text import query_tokens, token_count, tokens
 from tarnwork.operators.prefix import running
 from tarnwork.storage import stored
 
@@ -41,8 +41,10 @@ def lexical(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = query_terms(queries)
     wanted = stored(terms.select("token").distinct(), "wanted-tokens")
-    totals = docs.select(F.size(tokens("text")).alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    each = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("length"), F.explode("t").alias("token"))
+    totals = docs.select(token_count("text").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    # a generator of one row binds the tokens, so that a text is split once
+    bound = F.transform(F.array(tokens("text")), lambda t: F.struct(F.size(t).alias("length"), t.alias("t")))
+    each = docs.select("doc_id", F.explode(bound).alias("b")).select("doc_id", "b.length", F.explode("b.t").alias("token"))
     found = stored(each.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf")), "wanted-postings")
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

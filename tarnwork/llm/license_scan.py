@@ -1,12 +1,13 @@
 """License scans: MinHash bands over overlapping text windows, then exact containment.
 
 A document's windows of ``WINDOW`` shingles overlap by all but ``STRIDE``; each band is one
-MinHash of a window, taken over blocks of ``STRIDE`` shingles.  Templates have the same bands
-for their windows at every place.  A window and a template's window of Jaccard similarity J
+MinHash of a window.  Templates have the same bands for their windows at every place.  A window and a template's window of Jaccard similarity J
 meet in at least one of ``BANDS`` bands with probability 1 - (1 - J) ** BANDS.  A notice of one
 single shingle, the least there is, lies in ``WINDOW / STRIDE`` windows with J = 1 / 16 in each:
-98.9 % in all; three shingles are found with 99.99 %.  Bands alone retrieve.  A window that meets
-a template is verified: ``CONTAINED`` of the template's distinct five-word shingles must be in
+98.9 % in all; three shingles are found with 99.99 %.  A band's value is the hash of one of the
+window's shingles, so a window without any shingle of a template cannot meet one and is not
+hashed, which changes no result; the bands of the others retrieve.  A window that meets a
+template is verified: ``CONTAINED`` of the template's distinct five-word shingles must be in
 the text from one template's length before the window to one after it.
 
 Edge cases: null, empty and shorter texts match nothing; rows that repeat, ids included, are
@@ -25,7 +26,7 @@ GRAM = 5
 WINDOW = 16
 STRIDE = 4
 BANDS = 18
-#: Band values of templates that are looked up as a set inside each row; more are joined.
+#: Shingles of templates that are looked up as a set inside each row; with more, all windows are hashed and joined.
 SET_VALUES = 1 << 17
 CONTAINED = 0.75
 IGNORED = ".,;:()\"'"
@@ -67,42 +68,37 @@ def shingles(text: str) -> Column:
     return F.get(F.transform(F.array(words), grams), F.lit(0))
 
 
-def window_bands(shingles: str, stride: int) -> Column:
-    """(window, bands) of the windows at multiples of ``stride``: the MinHash of each band, salted with its number."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(stride))
-    size = STRIDE if stride == STRIDE else WINDOW
-    least = lambda part: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(part, lambda x: F.xxhash64(x, b))))
-    blocks = F.transform(at, lambda k: least(F.slice(shingles, k + 1, F.lit(size))))
-    if stride != STRIDE:
-        return F.transform(blocks, lambda v, i: F.struct((i * stride).alias("window"), v.alias("bands")))
+def bands_of(part: Column) -> Column:
+    """The MinHash of each band of a window, salted with the band's number."""
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(part, lambda x: F.xxhash64(x, b))))
 
-    def windows(v: Column) -> Column:
-        block = lambda i, k: F.get(v, i + k)
-        low = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-        pair = F.transform(v, lambda x, i: low(x, block(i, 1)))
-        return F.get(F.transform(F.array(pair), lambda p: F.transform(p, lambda x, i: F.struct((i * stride).alias("window"), low(x, F.get(p, i + 2)).alias("bands")))), F.lit(0))
 
-    # a transform of one element binds the blocks, so that they are hashed once
-    return F.get(F.transform(F.array(blocks), windows), F.lit(0))
+def window(shingles: str, at: Column) -> Column:
+    return F.slice(shingles, at + 1, F.lit(WINDOW))
+
+
+def starts(shingles: str, stride: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(stride))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, license, containment, window): each document's licences and the first window that found them."""
     spark: SparkSession = docs.sparkSession
     known = spark.createDataFrame(list(templates.items()), "license string, text string").select("license", shingles("text").alias("_sequence"))
-    told = known.where(F.size("_sequence") > 0).select("license", F.array_distinct("_sequence").alias("_template"), F.explode(window_bands("_sequence", 1)["bands"]).alias("bands"))
+    known = known.where(F.size("_sequence") > 0)
+    told = known.select("license", F.array_distinct("_sequence").alias("_template"), F.explode(F.transform(starts("_sequence", 1), lambda at: bands_of(window("_sequence", at)))).alias("bands"))
     told = told.select("license", "_template", F.explode("bands").alias("value")).distinct()
-    few = told.select("value").distinct().limit(SET_VALUES + 1).collect()  # as many as the templates have
+    words = [x for (x,) in known.select(F.explode("_sequence").alias("x")).distinct().limit(SET_VALUES + 1).collect()]
+    few = len(words) <= SET_VALUES
 
     # the row number keeps Catalyst from repeating the shingles in filters that it would push below them
-    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), shingles(text_col).alias("_shingles"))
-    rows = rows.where(F.size("_shingles") > 0).select("_id", "_row", "_shingles", window_bands("_shingles", STRIDE).alias("_windows"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), shingles(text_col).alias("_shingles")).where(F.size("_shingles") > 0)
     longest = max((len(t.split()) for t in templates.values()), default=0)
-    meets = (lambda w: F.exists(w["bands"], lambda x: x.isin([v for (v,) in few]))) if len(few) <= SET_VALUES else (lambda w: F.lit(True))
-    near = lambda w: F.struct(w["window"].alias("window"), w["bands"].alias("bands"), F.slice("_shingles", F.greatest(w["window"] - longest, F.lit(0)) + 1, F.lit(WINDOW + 2 * longest)).alias("near"))
-    hit = rows.select("_id", "_row", F.explode(F.transform(F.filter("_windows", meets), near)).alias("w"))
-    hit = hit.select("_id", "_row", "w.window", "w.near", F.explode("w.bands").alias("value"))
-    met = hit.join(F.broadcast(told) if len(few) <= SET_VALUES else told, "value")
+    may_meet = (lambda at: F.exists(window("_shingles", at), lambda x: x.isin(words))) if few else (lambda at: F.lit(True))
+    near = lambda at: F.slice("_shingles", F.greatest(at - longest, F.lit(0)) + 1, F.lit(WINDOW + 2 * longest))
+    windows = F.transform(F.filter(starts("_shingles", STRIDE), may_meet), lambda at: F.struct(at.alias("window"), bands_of(window("_shingles", at)).alias("bands"), near(at).alias("near")))
+    hit = rows.select("_id", "_row", F.explode(windows).alias("w")).select("_id", "_row", "w.window", "w.near", F.explode("w.bands").alias("value"))
+    met = hit.join(F.broadcast(told) if few else told, "value")
     # around a window, as far as the template is long
     reach = F.size("_template")
     skipped = F.least(F.col("window"), F.lit(longest))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import compression_quality, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, suffix_dedup, token_cache
+from tarnwork.llm import compression_quality, importance, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, suffix_dedup, token_cache
 from tarnwork.llm.common import shared_dir, table, texts
 
 PIECES = "piece_bpe_32k.model"
@@ -92,11 +92,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_license_scans": op2_license_scans, "op3_mixing": op3_mixing,
         "op4_media_columns": op4_media_columns, "op5_quality_classifier": op5_quality_classifier, "op6_sentencepiece": op6_sentencepiece,
         "op7_token_counts": op7_token_counts, "op8_suffix_dedup": op8_suffix_dedup, "op9_pii": op9_pii, "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_importance_resampling": op11_importance_resampling,
     }
 
 

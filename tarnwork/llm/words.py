@@ -27,3 +27,13 @@ def edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lasts[cuts - 1] |= inside[cuts - 1]
     starts = np.flatnonzero(firsts)
     return starts, np.flatnonzero(lasts) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def joined(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words, lower-cased, with one space after each; their starts and ends there; their rows and first places."""
+    first, ends, row = edges(inside, offsets)
+    sizes = ends - first
+    after = np.cumsum(sizes + 1)
+    out = np.full(after[-1] if len(after) else 0, 32, np.uint8)
+    out[np.flatnonzero(inside) + np.repeat(after - sizes - 1 - first, sizes)] = LOWER[data[inside]]
+    return out, after - sizes - 1, after - 1, row, first

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import compression_quality, importance, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, suffix_dedup, token_cache
+from tarnwork.llm import collocations, compression_quality, importance, license_scan, mixing, ngram_join, ogg, pii, quality_rules, sentencepieces, simhash, suffix_dedup, token_cache
 from tarnwork.llm.common import shared_dir, table, texts
 
 PIECES = "piece_bpe_32k.model"
@@ -96,17 +96,26 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules, "op2_license_scans": op2_license_scans, "op3_mixing": op3_mixing,
         "op4_media_columns": op4_media_columns, "op5_quality_classifier": op5_quality_classifier, "op6_sentencepiece": op6_sentencepiece,
         "op7_token_counts": op7_token_counts, "op8_suffix_dedup": op8_suffix_dedup, "op9_pii": op9_pii, "op10_ngram_jaccard": op10_ngram_jaccard,
-        "op11_importance_resampling": op11_importance_resampling,
+        "op11_importance_resampling": op11_importance_resampling, "op12_simhash_near_dedup": op12_simhash_near_dedup,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op13_phrase_collocations": OP13_SQL}
 
 
 WORD_COUNT_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -137,3 +146,28 @@ taken AS (SELECT r, count(*) AS times FROM merged WHERE used <= (SELECT sum(size
 SELECT rows.doc_id, rows.size, aims.source_size, aims.target, rows.size * coalesce(times, 0) AS taken
 FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source LEFT JOIN taken ON rows.r = taken.r
 """
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, piece FROM (
+    SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f, string_split(phrase, ' ') AS ws FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+inner_parts AS (
+  SELECT lang, f, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (
+    SELECT lang, f, ws, m, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2))),
+kept AS (
+  SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = f.lang AND i.phrase = f.phrase AND 100 * i.f >= 80 * f.f)),
+cuts AS (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM kept),
+parts AS (
+  SELECT cuts.lang, cuts.phrase, cuts.c, cuts.f AS a, h.f AS l, t.f AS r, 2000000 * cuts.f // (h.f + t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(cuts.ws[1 : c], ' ') JOIN f t ON t.lang = cuts.lang AND t.phrase = array_to_string(cuts.ws[c + 1 :], ' ')),
+best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000
+"""

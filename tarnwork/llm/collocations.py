@@ -7,7 +7,7 @@ of k - 1 words inside it are frequent and its bucket is.  Both tests are bitmaps
 never miss a frequent phrase, and what they let through is counted exactly.  In the same pass only those longer phrases
 enter a bucket whose two parts passed the tests.
 
-A task's buckets are one vector of counts up to ``LEAST``: sums of such counts reach it exactly
+A task's buckets are one vector of counts up to the least that is frequent: sums of such counts reach it exactly
 if the true count does.  Vectors are cut into chunks, compressed, and merged chunk by chunk.
 Exact counts are added up inside a slice, then by Spark before and after the shuffle, on the
 phrases themselves, so a frequent word is no hot key.
@@ -46,9 +46,9 @@ NESTED_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
-#: Buckets of a pass: 2 ** BITS, in chunks of 2 ** CHUNK_BITS.
+#: Buckets of a pass: 2 ** BITS, in so many chunks.
 BITS = 24
-CHUNK_BITS = 16
+CHUNKS = 256
 SLOTS = 64
 PIECE_BYTES = 4 << 20
 _BREAK = w.byte_class(b".,;:!?\n\x0b\x0c\r")
@@ -90,63 +90,63 @@ def grams(texts: pa.Array, langs: pa.Array, longest: int) -> Grams:
     return Grams(text, starts, ends, row, left, hashes)
 
 
-def buckets_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U64(64 - BITS)).astype(np.int64)
+def buckets_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> _U64(64 - bits)).astype(np.int64)
 
 
 def has_bit(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def add_up(vector: np.ndarray, bucket: np.ndarray, times: int = 1) -> None:
-    """Counts buckets into a vector of counts up to ``LEAST``."""
+def add_up(vector: np.ndarray, bucket: np.ndarray, least: int) -> None:
+    """Counts buckets into a vector of counts up to ``least``."""
     at, n = np.unique(bucket, return_counts=True)
-    vector[at] = np.minimum(vector[at] + n * times, LEAST)
+    vector[at] = np.minimum(vector[at] + n, least)
 
 
 def chunks(vector: np.ndarray) -> pa.RecordBatch:
     """The chunks of a vector that are not all zero, as rows of a pass."""
-    parts = vector.reshape(-1, 1 << CHUNK_BITS)
+    parts = vector.reshape(CHUNKS, -1)
     some = np.flatnonzero(parts.any(axis=1))
     packed = [pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in some]
     nulls = [pa.nulls(len(some), kind) for kind in (pa.string(), pa.string(), pa.int64())]
     return pa.RecordBatch.from_arrays([*nulls, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["lang", "phrase", "f", "chunk", "buckets"])
 
 
-def bitmap(vectors: DataFrame) -> np.ndarray:
-    """Which buckets have ``LEAST`` or more over all vectors: 2 ** BITS bits."""
-    size = 1 << CHUNK_BITS
+def bitmap(vectors: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Which buckets have ``least`` or more over all vectors: 2 ** ``bits`` bits."""
+    size = (1 << bits) // CHUNKS
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part = np.frombuffer(pa.decompress(packed.as_buffer(), size, codec="zstd"), np.uint8)
-                sums[chunk] = np.minimum(sums[chunk] + part, LEAST).astype(np.uint8) if chunk in sums else part
-        bits = [np.packbits(x >= LEAST, bitorder="little").tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bits"])
+                sums[chunk] = np.minimum(sums[chunk] + part, least).astype(np.uint8) if chunk in sums else part
+        packed = [np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bits"])
 
-    out = np.zeros((1 << (BITS - CHUNK_BITS), size // 8), np.uint8)
-    for chunk, bits in vectors.where("chunk is not null").select("chunk", "buckets").repartition("chunk").mapInArrow(merge, "chunk int, bits binary").collect():  # 2 MB at most
-        out[chunk] = np.frombuffer(bits, np.uint8)
+    out = np.zeros((CHUNKS, size // 8), np.uint8)
+    for chunk, packed in vectors.where("chunk is not null").select("chunk", "buckets").repartition("chunk").mapInArrow(merge, "chunk int, bits binary").collect():  # 2 MB at most
+        out[chunk] = np.frombuffer(packed, np.uint8)
     return out.reshape(-1)
 
 
-def frequent_bits(phrases: DataFrame, k: int) -> np.ndarray:
+def frequent_bits(phrases: DataFrame, k: int, bits: int, least: int) -> np.ndarray:
     """The bitmap of the hashes of a table (lang, phrase) of frequent phrases of ``k`` words."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = np.zeros(1 << BITS, np.uint8)
+        vector = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             for part in slices(batch, "phrase", PIECE_BYTES):
                 found = grams(part.column(1), part.column(0), k)
-                vector[buckets_of(found.hashes[-1][found.left == k])] = LEAST
+                vector[buckets_of(found.hashes[-1][found.left == k], bits)] = least
         yield chunks(vector)
 
-    return bitmap(phrases.select("lang", "phrase").mapInArrow(mark, PASS))
+    return bitmap(phrases.select("lang", "phrase").mapInArrow(mark, PASS), bits, least)
 
 
-def one_pass(rows: DataFrame, k: int, parts: np.ndarray | None, hashed: np.ndarray | None) -> DataFrame:
+def one_pass(rows: DataFrame, k: int, parts: np.ndarray | None, hashed: np.ndarray | None, bits: int, least: int) -> DataFrame:
     """Counts of the candidate phrases of ``k`` words by slice, and buckets of those of one more, in one table."""
     shared = rows.sparkSession.sparkContext.broadcast((parts, hashed))
     more = k < LONGEST
@@ -157,13 +157,13 @@ def one_pass(rows: DataFrame, k: int, parts: np.ndarray | None, hashed: np.ndarr
         own = found.hashes[k - 1]
         able = found.left >= k
         if k > 1:
-            part = has_bit(parts, buckets_of(found.hashes[k - 2]))
+            part = has_bit(parts, buckets_of(found.hashes[k - 2], bits))
             able[:-1] &= part[:-1] & part[1:]
-            able &= has_bit(hashed, buckets_of(own))
+            able &= has_bit(hashed, buckets_of(own, bits))
         if more and len(able):
             longer = found.left > k
             longer[:-1] &= able[:-1] & able[1:]
-            add_up(vector, buckets_of(found.hashes[k][longer]))
+            add_up(vector, buckets_of(found.hashes[k][longer], bits), least)
         at = np.flatnonzero(able)
         _, which, n = np.unique(own[at], return_index=True, return_counts=True)
         at = at[which]
@@ -173,7 +173,7 @@ def one_pass(rows: DataFrame, k: int, parts: np.ndarray | None, hashed: np.ndarr
         return pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["lang", "phrase", "f", "chunk", "buckets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = np.zeros(1 << BITS if more else 0, np.uint8)
+        vector = np.zeros(1 << bits if more else 0, np.uint8)
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
                 yield counted(part, vector)
@@ -185,20 +185,20 @@ def one_pass(rows: DataFrame, k: int, parts: np.ndarray | None, hashed: np.ndarr
     return rows.mapInArrow(run, PASS)
 
 
-def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
-    """The frequent phrases (lang, phrase, f) of 1, 2, ... words, and (lang, n) of all words."""
+def frequent(docs: DataFrame, text_col: str, lang_col: str, least: int, bits: int) -> tuple[list[DataFrame], DataFrame]:
+    """The phrases (lang, phrase, f) of 1, 2, ... words that occur ``least`` times, and (lang, n) of all words."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out: list[DataFrame] = []
     parts = hashed = words = None
     for k in range(1, LONGEST + 1):
-        made = stored(one_pass(rows, k, parts, hashed), f"phrases-pass-{k}")
-        counts = made.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
+        made = stored(one_pass(rows, k, parts, hashed, bits, least), f"phrases-pass-{k}")
+        counts = made.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         out.append(stored(counts, f"phrases-{k}"))
         if k == 1:
             words = stored(made.where("chunk is null").groupBy("lang").agg(F.sum("f").alias("n")), "phrases-words")
         if k < LONGEST:
-            parts, hashed = frequent_bits(out[-1], k), bitmap(made)
+            parts, hashed = frequent_bits(out[-1], k, bits, least), bitmap(made, bits, least)
     return out, words
 
 
@@ -227,10 +227,13 @@ def scored(counts: list[DataFrame]) -> DataFrame:
     return best.select("lang", "phrase", "b.a", "b.l", "b.r", "b.score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases."""
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP, least: int = LEAST, bits: int = BITS) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases.
+
+    ``least`` is at most 127, ``bits`` at least 11; fewer bits let more through, which costs only work.
+    """
     with scratch() as keep:
-        counts, words = frequent(docs, text_col, lang_col)
+        counts, words = frequent(docs, text_col, lang_col, least, bits)
         order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
         shares = scored(counts).withColumn("slot", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS)))
         some = shares.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "slot")

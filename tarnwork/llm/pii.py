@@ -223,8 +223,8 @@ class Tagger:
         np.add.at(g["E"], x, de)
         return float((z - gold).mean()), g
 
-    def outside(self, u: np.ndarray) -> np.ndarray:
-        """Where every best tag sequence has tag 0.
+    def outside(self, u: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where every best tag sequence has tag 0, for texts that begin at ``first``.
 
         A run of other tags gains at most ``x`` at each of its characters and ``last`` after them
         over tag 0 throughout; where the best run through a character gains less than nothing,
@@ -236,12 +236,17 @@ class Tagger:
             np.maximum(x, u[:, k] + into[k], out=x)
         x -= u[:, 0] + t[0, 0]
         last = t[1:, 0].max() - t[0, 0]
+        begins = np.zeros(len(x), bool)
+        begins[first] = True
+        place = np.arange(len(x)) + np.cumsum(begins)  # a wall before each text that no run outweighs
+        walled = np.full(len(x) + int(begins.sum()), -1.0 - float(np.maximum(x, 0).sum()))
+        walled[place] = x
 
         def ending(x: np.ndarray) -> np.ndarray:
             sums = np.concatenate((np.zeros(1), np.cumsum(x, dtype=np.float64)))
             return sums[1:] - np.minimum.accumulate(sums)[:-1]
 
-        return ending(x) + ending(x[::-1])[::-1] - x + last < 0
+        return (ending(walled) + ending(walled[::-1])[::-1] - walled + last < 0)[place]
 
     def decode(self, u: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The best tags of stretches [start, end) of emission scores, each between characters of tag 0.
@@ -384,11 +389,12 @@ class Reading:
 
     def __init__(self, model: Tagger, codes: np.ndarray, lengths: np.ndarray):
         self.model, self.codes = model, codes
-        first = np.cumsum(lengths) - lengths
+        self.first = np.cumsum(lengths) - lengths
         count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)  # the last reaches the end
+        self.windows = np.concatenate(([0], np.cumsum(count)))  # those of each text
         row = np.repeat(np.arange(len(lengths)), count)
-        self.start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-        self.end = np.minimum(self.start + WINDOW, (first + lengths)[row])
+        self.start = self.first[row] + (np.arange(len(row)) - self.windows[row]) * STRIDE
+        self.end = np.minimum(self.start + WINDOW, (self.first + lengths)[row])
         self.total, self.blend = np.zeros((len(codes), len(TAGS)), np.float32), np.zeros(len(codes), np.float32)
         self.done = np.zeros(len(row), bool)
         self.weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
@@ -396,11 +402,11 @@ class Reading:
     def touching(self, places: np.ndarray) -> np.ndarray:
         """Which windows cover one of the marked characters."""
         sums = np.concatenate(([0], np.cumsum(places)))
-        return sums[self.end] > sums[self.start]
+        return np.flatnonzero(sums[self.end] > sums[self.start])
 
     def read(self, wanted: np.ndarray) -> None:
-        """Adds the wanted windows' scores, those that are not there yet."""
-        todo = np.flatnonzero(wanted & ~self.done)
+        """Adds the scores of the wanted windows that are not there yet."""
+        todo = wanted[~self.done[wanted]]
         self.done[todo] = True
         step = np.arange(WINDOW)
         for k in range(0, len(todo), BATCH):
@@ -411,17 +417,17 @@ class Reading:
                 self.total[a:b] += one[: b - a]
                 self.blend[a:b] += self.weight[: b - a]
 
-    def unread(self) -> np.ndarray:
-        """Characters that a window not read yet covers."""
-        edges = np.zeros(len(self.codes) + 1, np.int64)
-        np.add.at(edges, self.start[~self.done], 1)
-        np.add.at(edges, self.end[~self.done], -1)
+    def unread(self, a: int, b: int, windows: slice) -> np.ndarray:
+        """Characters of [a, b), whose windows are given, that a window not read yet covers."""
+        edges, todo = np.zeros(b - a + 1, np.int64), ~self.done[windows]
+        np.add.at(edges, self.start[windows][todo] - a, 1)
+        np.add.at(edges, self.end[windows][todo] - a, -1)
         return np.cumsum(edges)[:-1] > 0
 
-    def scores(self) -> np.ndarray:
-        """Blended scores; characters with a window to come are far outside."""
-        u = self.total / np.maximum(self.blend, 1)[:, None]
-        u[self.unread()] = np.array([1e4] + [0.0] * (len(TAGS) - 1), np.float32)
+    def scores(self, a: int, b: int, unread: np.ndarray) -> np.ndarray:
+        """Blended scores of [a, b); characters with a window to come are far outside."""
+        u = self.total[a:b] / np.maximum(self.blend[a:b], 1)[:, None]
+        u[unread] = np.array([1e4] + [0.0] * (len(TAGS) - 1), np.float32)
         return u
 
 
@@ -432,6 +438,44 @@ MARKS[[SYMBOLS.index(c) for c in "0123456789@:(["]] = True
 REACH = 48
 
 
+def stretches(unsure: np.ndarray, marked: np.ndarray, first: np.ndarray, everything: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the unsure runs that have a mark, of texts that begin at ``first``."""
+    edge = np.zeros(len(unsure) + 1, bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = unsure[1:] != unsure[:-1]
+    edge[first] = True  # a stretch ends with its text
+    cuts = np.flatnonzero(edge)
+    marks = np.concatenate(([0], np.cumsum(marked)))
+    told = unsure[cuts[:-1]] & (everything | (marks[cuts[1:]] > marks[cuts[:-1]]))
+    return cuts[:-1][told], cuts[1:][told]
+
+
+def read_on(reading: Reading, row: int, a: int, b: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, starts and ends of a text [a, b) once none of its stretches borders on text that is not read.
+
+    Each turn reads twice as far as the one before, so turns grow with the logarithm of the
+    text's length, and all of them together take time in proportion to it but for that factor.
+    """
+    windows = slice(reading.windows[row], reading.windows[row + 1])
+    low, high = reading.start[windows] - a, reading.end[windows] - a
+    none, ahead = np.zeros(1, np.int64), WINDOW
+    while True:
+        unread = reading.unread(a, b, windows)
+        u = reading.scores(a, b, unread)
+        starts, ends = stretches(~reading.model.outside(u, none), marked, none, False)
+        left, right = starts[unread[np.maximum(starts - 1, 0)] & (starts > 0)], ends[unread[np.minimum(ends, b - a - 1)] & (ends < b - a)]
+        if not len(left) and not len(right):
+            return u, starts, ends
+        near = np.zeros(b - a + 1, np.int64)
+        np.add.at(near, np.maximum(left - ahead, 0), 1)
+        np.add.at(near, left, -1)
+        np.add.at(near, right, 1)
+        np.add.at(near, np.minimum(right + ahead, b - a), -1)
+        sums = np.concatenate(([0], np.cumsum(np.cumsum(near)[:-1] > 0)))
+        reading.read(windows.start + np.flatnonzero(sums[high] > sums[low]))
+        ahead *= 2
+
+
 def model_spans(model: Tagger, rows: list[str], everything: bool = False) -> list[list[tuple[str, int, int]]]:
     """Spans of each text by the tagger, of those that have a mark inside; all with ``everything``.
 
@@ -444,42 +488,38 @@ def model_spans(model: Tagger, rows: list[str], everything: bool = False) -> lis
     codes = symbols("".join(rows))
     if not len(codes):
         return out
-    first = np.cumsum(lengths) - lengths
+    n, first = len(codes), np.cumsum(lengths) - lengths
     marked = MARKS[codes]
     reading = Reading(model, codes, lengths)
-    near = np.convolve(marked, np.ones(2 * REACH + 1), "same") > 0.5 if len(codes) > 2 * REACH else np.full(len(codes), bool(marked.any()))
-    reading.read(np.ones(len(reading.done), bool) if everything else reading.touching(near))
-    marks = np.concatenate(([0], np.cumsum(marked)))
-    while True:
-        u = reading.scores()
-        unsure = ~model.outside(u)
-        edge = np.zeros(len(codes) + 1, bool)
-        edge[0] = edge[-1] = True
-        edge[1:-1] = unsure[1:] != unsure[:-1]
-        edge[first] = True  # a stretch ends with its text
-        cuts = np.flatnonzero(edge)
-        starts, ends = cuts[:-1], cuts[1:]
-        told = unsure[starts] & (everything | (marks[ends] > marks[starts]))
-        starts, ends = starts[told], ends[told]
-        beside = np.zeros(len(codes), bool)
-        beside[np.maximum(starts - 1, 0)] = beside[np.minimum(ends, len(codes) - 1)] = True
-        more = reading.touching(beside & reading.unread())
-        if not (more & ~reading.done).any():
-            break
-        reading.read(more)
-    tags = model.decode(u, starts, ends)
+    near = np.convolve(marked, np.ones(2 * REACH + 1), "same") > 0.5 if n > 2 * REACH else np.full(n, bool(marked.any()))
+    reading.read(np.arange(len(reading.done)) if everything else reading.touching(near))
+    unread = reading.unread(0, n, slice(None))
+    u = reading.scores(0, n, unread)
+    begin = first[first < n]
+    starts, ends = stretches(~model.outside(u, begin), marked, begin, everything)
+    row = np.searchsorted(first, starts, side="right") - 1
+    last = first + lengths
+    goes_on = (unread[np.maximum(starts - 1, 0)] & (starts > first[row])) | (unread[np.minimum(ends, n - 1)] & (ends < last[row]))
+    again = np.unique(row[goes_on])
+    kept = ~np.isin(row, again)
+    found = [(starts[kept], ends[kept])]
+    for k in again.tolist():
+        a, b = int(first[k]), int(last[k])
+        u[a:b], low, high = read_on(reading, k, a, b, marked[a:b])
+        found.append((low + a, high + a))
+    tags = model.decode(u, *(np.concatenate(x) for x in zip(*found, strict=True)))
     # a span begins at a tag B, or at a tag that does not go on with the kind before it
     kind = (tags.astype(np.int64) + 1) // 2
     fresh = kind > 0
     goes_on = np.zeros(len(tags), bool)
     goes_on[1:] = (kind[1:] == kind[:-1]) & (tags[1:] % 2 == 0) & (kind[1:] > 0)
-    goes_on[first[first < len(tags)]] = False
+    goes_on[begin] = False
     begins = np.flatnonzero(fresh & ~goes_on)
     stops = np.flatnonzero(np.append(~goes_on, True))
     for a in begins.tolist():
         b = int(stops[np.searchsorted(stops, a, side="right")])
-        row = int(np.searchsorted(first, a, side="right")) - 1
-        out[row].append((KINDS[kind[a] - 1], a - int(first[row]), b - int(first[row])))
+        k = int(np.searchsorted(first, a, side="right")) - 1
+        out[k].append((KINDS[kind[a] - 1], a - int(first[k]), b - int(first[k])))
     return out
 
 

@@ -173,18 +173,44 @@ def test_license_parts_are_not_added_up_over_a_text(spark):
 
 
 def test_license_recall_of_bands(spark):
+    """Every one of fifty random notices of 1 to 20 shingles is found in at least 98 % of the texts with it."""
     r = random.Random(2)
-    line = "Released under the MIT License."
-    rows = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 60))) + f" {line} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(20, 60)))) for k in range(1500)]
-    found = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).where("license = 'mit-line'").count()
-    assert found >= 0.975 * 1500  # one shingle alone, the least that a template has
-
-
-def test_many_templates_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(license_scan, "SET_VALUES", 3)
-    rows = [(1, "a b " * 30 + license_scan.TEMPLATES["unlicense"]), (2, None)]
-    got = [(x["doc_id"], x["license"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
-    assert got == [(1, "unlicense")]
+    word = lambda: f"w{r.randrange(10**6)}"
+    notices = {f"n{k}": " ".join(word() for _ in range(5 + k % 20)) for k in range(50)}
+    rows = []
+    for name, text in notices.items():
+        rows += [(name, " ".join([*(word() for _ in range(r.randint(0, 60))), text, *(word() for _ in range(r.randint(0, 60)))])) for _ in range(50)]
+    found = Counter(x["doc_id"] for x in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), templates=notices).where("doc_id = license and containment = 1").collect())
+    assert min(found[name] for name in notices) >= 49
+
+
+def test_license_recall_of_edited_notices(spark):
+    """Notices of which about three quarters or more are left, against exact containment."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    notices = {f"n{k}": " ".join(word() for _ in range(24 + 7 * k)) for k in range(12)}
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, want = [], set()
+    for k, (name, text) in enumerate(list(notices.items()) * 40):
+        w = text.split()
+        for _ in range(r.randint(0, max(1, len(w) // 22))):
+            i = r.randrange(len(w))
+            w[i : i + r.randint(0, 1)] = [word()] * r.randint(0, 1)
+        full = " ".join([*(word() for _ in range(r.randint(0, 40))), *w, *(word() for _ in range(r.randint(0, 40)))])
+        rows.append((k, full))
+        if len(grams(full) & grams(text)) >= 0.75 * len(grams(text)):
+            want.add((k, name))
+    got = {(x["doc_id"], x["license"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=notices).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 200
+
+
+def test_full_bitmap_changes_no_result(spark, monkeypatch):
+    rows = [(1, "a b " * 30 + license_scan.TEMPLATES["unlicense"]), (2, None), (3, "one two three " * 200), (4, license_scan.TEMPLATES["mit"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, license_scan.scan(docs).collect()))
+    monkeypatch.setattr(license_scan, "BITS", 64)
+    assert sorted(map(tuple, license_scan.scan(docs).collect())) == want
+    assert {x[1] for x in want if x[0] == 1} == {"unlicense"} and {"mit", "mit-grant"} <= {x[1] for x in want if x[0] == 4}
 
 
 def slow_crc(data):
@@ -427,8 +453,8 @@ def test_windows_and_stretches_give_one_answer():
     texts = ["".join(pii.labelled_sentence(r)[0] for _ in range(r.randint(1, 4))) for _ in range(30)] + ["12 3. " * 300, ""]
     lengths = np.array([len(t) for t in texts])
     reading = pii.Reading(model, pii.symbols("".join(texts)), lengths)
-    reading.read(np.ones(len(reading.done), bool))
-    u = reading.scores()
+    reading.read(np.arange(len(reading.done)))
+    u = reading.scores(0, len(reading.codes), reading.unread(0, len(reading.codes), slice(None)))
     t = model.p["T"]
     got = pii.model_spans(model, texts, everything=True)
     for k, text in enumerate(texts):
@@ -470,6 +496,34 @@ def test_reading_near_marks_loses_no_accepted_span(data):
         assert pii._fits(kind, found) and pii.MARKS[pii.symbols(found)].any()
 
 
+LONG = {
+    "letters": "a" * 10**6 + " @", "marks at both ends": "@ " + "b" * 10**6 + " 1", "digits": "1" * 10**6, "at signs": "@" * 10**6, "brackets": "([" * 500_000, "accents": "é" * 10**6 + " 4 " + "ü" * 1000,
+    "words": "und so weiter 12 " * 60_000, "many marks far apart": ("a" * 3000 + " @ ") * 300,
+}
+
+
+@pytest.mark.parametrize("text", LONG.values(), ids=LONG)
+def test_tagger_reads_long_texts_in_linear_time(text):
+    model = pii.trained()
+    pii.spans(model, ["warm 1"])
+    took = []
+    for n in (4, 1):
+        part = text[len(text) - len(text) // n :]
+        began = time.process_time()
+        got = pii.model_spans(model, [part])
+        took.append(time.process_time() - began)
+        if n == 4:
+            inside = lambda found: [x for x in found[0] if pii.MARKS[pii.symbols(part[x[1] : x[2]])].any()]  # noqa: B023, E731
+            assert inside(got) == inside(pii.model_spans(model, [part], everything=True))
+    assert took[1] < 8 * max(took[0], 0.5) and took[1] < 60
+
+
+def test_spans_do_not_depend_on_the_texts_beside_them():
+    model, r = pii.trained(), random.Random(8)
+    texts = ["".join(pii.labelled_sentence(r)[0] for _ in range(r.randint(1, 3))) for _ in range(40)] + ["x" * 900 + " 5", "", "@", "7 " * 400]
+    assert pii.model_spans(model, texts) == [pii.model_spans(model, [t])[0] for t in texts]
+
+
 def test_tagger_gradients_and_accuracy():
     model = pii.Tagger(3)
     r = np.random.default_rng(0)

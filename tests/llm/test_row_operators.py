@@ -38,7 +38,8 @@ def test_base_counts(docs, empty, fixture_rows):
 
 def scatter(x):
     cov = np.cov(x.T, bias=True)
-    cov[np.diag_indices(len(cov))] = np.maximum(np.diag(cov), np.array(quality_rules.LEAST_DEVIATION) ** 2)
+    least = np.array(quality_rules.LEAST_DEVIATION) ** 2
+    cov[np.diag_indices(len(cov))] = np.maximum(np.diag(cov), least) + quality_rules.RIDGE * least
     return x.mean(0), cov
 
 
@@ -59,6 +60,19 @@ def least_determinant(x, r, tries=60):
     return min((concentrated(x, r.choice(len(x), 8, replace=False)) for _ in range(tries)), key=lambda e: e[0])
 
 
+def blended_estimate(groups, r):
+    """Centre and scatter by which the first group is judged, of groups each inside the next."""
+    x = groups[-1]
+    centre = np.median(x, 0)
+    scale = np.maximum(quality_rules.LEAST_DEVIATION, 1.4826 * np.median(abs(x - centre), 0)) ** 2
+    cov = np.diag(scale + quality_rules.RIDGE * np.array(quality_rules.LEAST_DEVIATION) ** 2) / quality_rules.widened()
+    for x in reversed(groups):
+        _, c, s = least_determinant(x, r) if len(x) > 8 else concentrated(x, np.arange(len(x)))
+        share = len(x) / (len(x) + quality_rules.PRIOR_ROWS)
+        centre, cov = share * c + (1 - share) * centre, share * s + (1 - share) * cov
+    return centre, cov
+
+
 def features_of(spark, docs):
     counts = quality_rules.base_counts(docs, ["doc_id"]).where(~quality_rules.base_failed()).select("doc_id", *quality_rules.vectors()).collect()
     return {x["doc_id"]: np.array([x[f] for f in quality_rules.FEATURES]) for x in counts}
@@ -69,16 +83,42 @@ def test_estimate_has_the_least_determinant(spark):
     base = r.multivariate_normal([5, 1.6, 0.2, 0.3, 0.3], np.diag([0.5, 0.1, 0.1, 0.2, 0.2]) ** 2 + 0.004, 300)
     far = r.multivariate_normal([7, 2.4, 0.7, 0.9, 0.1], np.diag([0.1] * 5) ** 2, 90)  # a tight cluster that a mean follows
     x = np.round(np.concatenate([base, far]), 6)
-    rows = stored(spark.createDataFrame([("g", *map(float, v)) for v in x], ["group", *quality_rules.FEATURES]), "t")
-    got = quality_rules.minimum_covariance(rows).first()
+    bins = stored(quality_rules.binned(spark.createDataFrame([("g", *map(float, v)) for v in x], ["group", *quality_rules.FEATURES]), "group"), "t")
+    got = quality_rules.minimum_covariance(bins, stored(quality_rules.first_estimate(bins), "t")).first()
     want = least_determinant(x, r)
     assert got["log_det"] <= want[0] + 0.1  # bins of distance are a little wider than the exact share
     assert np.allclose(got["centre"], want[1], atol=0.05)
     z = x - np.array(got["centre"])
-    d2 = np.einsum("ni,ij,nj->n", z, np.array(got["inverse"]), z)
+    d2 = np.einsum("ni,ij,nj->n", z, np.linalg.inv(np.array(got["scatter"])), z)
     assert d2[300:].min() > d2[:300].max()
 
 
+@pytest.mark.parametrize("points", [1, 2, 3])
+@pytest.mark.parametrize("copies", [1, 4, 33])
+def test_singular_scatter(spark, points, copies):
+    """Groups of one, two and three distinct vectors: centre, determinant and inverse are numpy's."""
+    r = np.random.default_rng(points * 100 + copies)
+    kinds = {"plain": r.random((points, 5)).round(3) * [6, 2, 1, 1, 1], "collinear": (np.arange(points)[:, None] * np.array([1.0, 0.5, 0.3, 0.4, 0.7]) + 1).round(6), "far": r.integers(0, 9, (points, 5)) * 1.0}
+    rows = [(k, *map(float, v)) for k, x in kinds.items() for v in x for _ in range(copies)]
+    bins = quality_rules.binned(spark.createDataFrame(rows, ["group", *quality_rules.FEATURES]), "group")
+    got = {x["group"]: x for x in quality_rules.estimate(bins, "group").collect()}
+    for k, x in kinds.items():
+        centre, cov = scatter(np.repeat(x, copies, 0))
+        assert np.allclose(got[k]["centre"], centre) and np.allclose(got[k]["scatter"], cov)
+        assert abs(got[k]["log_det"] - np.linalg.slogdet(cov)[1]) < 1e-6
+        assert np.allclose(np.array(got[k]["inverse"]) @ cov, np.eye(5), atol=1e-6)
+
+
+def test_groups_of_few_distinct_texts(spark):
+    """Exact copies, and two and three distinct texts, are judged, and none of them goes."""
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    kinds = {"one": [text(60)], "two": [text(40), text(90)], "three": [text(30), text(60), text(120)]}
+    rows = [(i, kinds[s][i % len(kinds[s])], "en", s) for s in kinds for i in range(90)]
+    got = quality_rules.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == 270 and all(x["kept"] and 0 <= x["distance2"] < 50 for x in got)
+
+
 def test_robust_outliers(spark):
     r = np.random.default_rng(3)
     rows = []
@@ -93,7 +133,8 @@ def test_robust_outliers(spark):
     limit = quality_rules.chi_square_quantile(quality_rules.CUTOFF, 5) * factor
     for source in ("s", None):
         ids = [k for k, _, _, s in rows if s == source]
-        _, centre, cov = least_determinant(np.array([x[i] for i in ids]), r)
+        every = np.array([x[k] for k, _, _, _ in rows])
+        centre, cov = blended_estimate([np.array([x[i] for i in ids]), every, every], r)
         z = np.array([x[i] for i in ids]) - centre
         want = np.einsum("ni,ij,nj->n", z, np.linalg.inv(cov), z)
         sure = abs(want / limit - 1) > 0.3
@@ -125,10 +166,11 @@ def test_small_groups_are_judged_by_a_pool(spark):
     assert [i for i in sorted(got) if not got[i]["kept"]] == [300, 1009]
     x = features_of(spark, docs)
     r = np.random.default_rng(1)
-    for ids, pool in ((range(301), range(301)), ([i for i in got if i >= 1000], sorted(got))):  # judged by their language, and by the table
-        _, centre, cov = least_determinant(np.array([x[i] for i in pool]), r)
-        want = [float((x[i] - centre) @ np.linalg.inv(cov) @ (x[i] - centre)) for i in ids]
-        assert np.corrcoef(want, [got[i]["distance2"] for i in ids])[0, 1] > 0.99
+    take = lambda keep: np.array([x[row[0]] for row in rows if keep(row)])
+    for ids, own, pool in ((range(0, 301, 20), lambda row: row[3] == "s0", lambda row: row[2] == "en"), (range(1000, 1010), lambda row: row[3] == "t", lambda row: row[2] is None)):
+        centre, cov = blended_estimate([take(own), take(pool), take(lambda row: True)], r)
+        want = np.array([(x[i] - centre) @ np.linalg.inv(cov) @ (x[i] - centre) for i in ids])
+        assert np.corrcoef(want, [got[i]["distance2"] for i in ids])[0, 1] > 0.98
 
 
 def test_table_of_a_few_rows_is_judged(spark):

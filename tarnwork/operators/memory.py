@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import collapse
+from tarnwork.functions.text import collapse, unicode_tokens
+from tarnwork.operators import grams
+from tarnwork.operators.retrieval import DIGITS, top
+from tarnwork.storage import stored
+
+#: Our own ranking: weights of the word and the substring lane, and how much importance, trust and outcomes count.
+WORDS_LANE, INSIDE_LANE = 0.6, 0.4
+PLAIN, IMPORTANCE, TRUST, OUTCOME = 0.5, 0.3, 0.2, 0.1
 
 
 def revisions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -42,3 +49,36 @@ def outcomes(recalls: DataFrame, results: DataFrame, key: str) -> DataFrame:
     both = recalls.select(key, "at", F.col("id").alias("recall"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("result")).unionByName(results.select(key, "at", F.lit(None).cast("bigint").alias("recall"), F.lit(1).alias("kind"), F.col("id").alias("result")))
     w = Window.partitionBy(key).orderBy("at", "kind", "recall").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("recall", F.last("recall", ignorenulls=True).over(w)).where("kind = 1 and recall is not null").select(key, "result", "recall")
+
+
+def with_all_words(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, entry) of every entry (entry, text) that has all ``words`` of a request (query_id, words).
+
+    Entries meet a request by the one of its words that fewest entries have, and are then looked at as a whole.
+    """
+    wanted = asked.where("size(words) > 0").select("query_id", F.array_distinct("words").alias("words"))
+    each = wanted.select("query_id", F.explode("words").alias("word"))
+    own = entries.select("entry", F.array_distinct(unicode_tokens("text")).alias("x"))
+    postings = stored(own.select("entry", F.explode("x").alias("word")).join(each.select("word").distinct(), "word", "left_semi"), "memory-postings")
+    df = postings.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = each.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).where("r.df > 0").select("query_id", F.col("r.word").alias("word"))
+    met = rarest.join(postings, "word").join(wanted, "query_id").join(own, "entry")
+    return met.where(F.forall("words", lambda t: F.array_contains("x", t))).select("query_id", "entry")
+
+
+def search(entries: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(query_id, entry, words, inside, score, place): the best entries of each request (query_id, words, needle).
+
+    Two lanes: all words, and the needle as a substring of three characters or more.  The score
+    is 0.6 for words plus 0.4 for the substring, times 0.5 + 0.3 importance + 0.2 trust, plus a tenth
+    of the surplus of good outcomes over bad ones, divided by one more than their number.
+    """
+    lane = lambda rows, name: rows.select("query_id", "entry", F.lit(name).alias("lane"))
+    inside = grams.contained_in(asked.where("length(needle) >= 3").select("needle"), entries.select(F.col("entry").alias("text_id"), "text"))
+    inside = asked.select("query_id", "needle").join(inside, "needle").select("query_id", F.col("text_id").alias("entry"))
+    met = lane(with_all_words(entries, asked), "words").unionByName(lane(inside, "inside")).groupBy("query_id", "entry")
+    met = met.agg(*(F.max((F.col("lane") == x).cast("int")).alias(x) for x in ("words", "inside"))).join(entries.drop("text"), "entry")
+    weight = PLAIN + IMPORTANCE * F.col("importance") + TRUST * F.col("trust")
+    surplus = (F.col("positive") - F.col("negative")) / (F.col("positive") + F.col("negative") + 1.0)
+    score = (WORDS_LANE * F.col("words") + INSIDE_LANE * F.col("inside")) * weight + OUTCOME * surplus
+    return top(met.select("query_id", "entry", "words", "inside", F.round(score, DIGITS).alias("score")), "score", most, "entry")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.graph import LEAF_POOL as POOL
 from tarnwork.operators.graph import common_segments, penalised
+from tarnwork.operators import grams
 from tarnwork.storage import stored
 
 #: Confidence of each kind of resolution.
@@ -173,17 +174,21 @@ def stem_fragments(stem: Column) -> Column:
 def test_edges(tests: DataFrame, code: DataFrame) -> DataFrame:
     """(test, code, reason, confidence) of tables (path): the same base name, or a path that contains the other's stem.
 
-    Equal stems meet by the stem.  Containment is looked up by the parts between separators
-    that a path has, so a fragment must be such a part: no test is compared with all code.
+    A pair counts if the code's path has a fragment of the test's stem in it, in any case of ASCII
+    letters, with ``_`` for any character.  Both containments are looked up in a gram index, so no
+    test is compared with all code.
     """
     t = tests.select(F.col("path").alias("test"), test_stem(F.col("path")).alias("stem"))
-    t = t.select("test", clean_stem(F.col("stem")).alias("base"), F.explode(stem_fragments(F.col("stem"))).alias("key"))
-    parts = F.array_distinct(F.filter(F.concat(F.split("path", r"[/._-]"), F.array(test_stem(F.col("path")))), lambda x: F.length(x) >= 3))
-    c = code.select(F.col("path").alias("code"), test_stem(F.col("path")).alias("code_stem"), F.explode(parts).alias("key"))
-    pairs = t.join(c, "key").where("test <> code").select("test", "code", "base", "code_stem").distinct()
+    t = stored(t.select("test", clean_stem(F.col("stem")).alias("base"), stem_fragments(F.col("stem")).alias("fragments")), "tests")
+    c = stored(code.select(F.col("path").alias("code"), test_stem(F.col("path")).alias("code_stem")), "code")
+    as_texts = lambda rows, name: rows.select(F.col(name).alias("text_id"), F.col(name).alias("text"))
+    of_base = grams.contained_in(t.select(F.col("base").alias("needle")), as_texts(c, "code")).select(F.col("needle").alias("base"), F.col("text_id").alias("code"))
+    of_stem = grams.contained_in(c.select(F.col("code_stem").alias("needle")), as_texts(t, "test")).select(F.col("needle").alias("code_stem"), F.col("text_id").alias("test"))
+    met = t.select("test", "base").join(of_base, "base").select("test", "code").unionByName(c.select("code", "code_stem").join(of_stem, "code_stem").select("test", "code")).distinct()
+    pairs = met.join(t, "test").join(c, "code").where("test <> code")
+    pairs = pairs.where(F.expr("exists(fragments, f -> lower(code) like concat('%', lower(f), '%') escape '\\u0001')"))
     same = F.col("base") == F.col("code_stem")
-    overlap = F.contains("code", F.col("base")) | F.contains("test", F.col("code_stem"))
-    return pairs.where(same | overlap).select("test", "code", F.when(same, "same-basename").otherwise("path-overlap").alias("reason"), F.when(same, 0.9).otherwise(0.7).alias("confidence"))
+    return pairs.select("test", "code", F.when(same, "same-basename").otherwise("path-overlap").alias("reason"), F.when(same, 0.9).otherwise(0.7).alias("confidence"))
 
 
 def cycles(members: DataFrame, imports: DataFrame, severity, most: int = 50) -> DataFrame:

@@ -79,18 +79,24 @@ def _(spark, d):
     return _paths(spark, d).select("doc_id", F.sort_array(resolver.stem_fragments(resolver.test_stem(F.col("path")))).alias("fragments"))
 
 
-@query("grf22_test_edge_scores", f"WITH {STEMS_SQL}, t AS (SELECT DISTINCT path, base FROM b WHERE doc_id % 6 IN (0, 2, 4)), c AS (SELECT DISTINCT path, stem FROM b WHERE doc_id % 6 IN (1, 3, 5)) SELECT t.path AS test, c.path AS code, 'same-basename' AS reason, 0.9 AS confidence FROM t JOIN c ON t.base = c.stem")
+FRAGMENTS_SQL = "list_distinct(list_filter([base] || string_split(stem, '_') || string_split(stem, '-'), lambda x: x = base OR (length(x) >= 3 AND x <> 'test')))"
+EDGES_SQL = f"""WITH {STEMS_SQL}, t AS (SELECT DISTINCT path, base, {FRAGMENTS_SQL} AS fragments FROM b WHERE doc_id % 6 IN (0, 2, 4)), c AS (SELECT DISTINCT path, stem FROM b WHERE doc_id % 6 IN (1, 3, 5)),
+e AS (SELECT t.path AS test, c.path AS code, t.base = c.stem AS same FROM t, c WHERE (contains(c.path, t.base) OR contains(t.path, c.stem)) AND list_bool_or(list_transform(fragments, lambda f: lower(c.path) LIKE '%' || lower(f) || '%')))"""
+
+
+def _test_edges(spark, d):
+    paths = _paths(spark, d).select("path", "is_test").distinct()
+    return resolver.test_edges(paths.where("is_test").select("path"), paths.where("not is_test").select("path"))
+
+
+@query("grf22_test_edge_scores", EDGES_SQL + " SELECT test, code, CASE WHEN same THEN 'same-basename' ELSE 'path-overlap' END AS reason, CASE WHEN same THEN 0.9 ELSE 0.7 END AS confidence FROM e")
 def _(spark, d):
-    paths = _paths(spark, d)
-    edges = resolver.test_edges(paths.where("is_test").select("path").distinct(), paths.where("not is_test").select("path").distinct())
-    return edges.where("reason = 'same-basename'")
+    return _test_edges(spark, d)
 
 
-@query("grf21_tests_of_files")
+@query("grf21_tests_of_files", EDGES_SQL + " SELECT code AS file, list_sort(list(test)) AS tests FROM e GROUP BY code")
 def _(spark, d):
-    paths = _paths(spark, d)
-    edges = resolver.test_edges(paths.where("is_test").select("path").distinct(), paths.where("not is_test").select("path").distinct())
-    return edges.groupBy(F.col("code").alias("file")).agg(F.sort_array(F.collect_list("test")).alias("tests"))
+    return _test_edges(spark, d).groupBy(F.col("code").alias("file")).agg(F.sort_array(F.collect_list("test")).alias("tests"))
 
 
 BFS = """, seed AS ({seed}), reach AS (SELECT node, 0 AS hops FROM seed UNION SELECT calls.caller, hops + 1 FROM reach JOIN calls ON calls.callee = reach.node WHERE hops < 16), best AS (SELECT node, min(hops) AS hops FROM reach GROUP BY node)"""

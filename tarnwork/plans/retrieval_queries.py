@@ -96,14 +96,6 @@ def _(spark, d):
     return r.fuse({"lexical": some, "grep": r.ranked(r.overlap_lane(some, _queries(spark, d)))})
 
 
-@query("rnk14_preselect_layers", "SELECT doc_id, round(sum(s), 6) AS score, count(*) AS layers FROM (SELECT doc_id, CAST(1.0 AS DOUBLE) AS s FROM documents WHERE contains(lower(source), 'src1') UNION ALL SELECT doc_id, 2.0 FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT doc_id, 1.2 FROM labels WHERE quality = 1) GROUP BY doc_id")
-def _(spark, d):
-    docs = table(spark, d, "documents")
-    layer = lambda rows, s: rows.select("doc_id", F.lit(s).alias("s"))
-    parts = layer(docs.where("contains(lower(source), 'src1')"), 1.0).unionByName(layer(docs.where("contains(lower(text), 'license')"), 2.0)).unionByName(layer(table(spark, d, "labels").where("quality = 1"), 1.2))
-    return parts.groupBy("doc_id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("layers"))
-
-
 @query("rnk15_summary_layer", "SELECT item_id, round(1.4 + 1 / (1 + abs(CAST(length(text) AS DOUBLE) / 100)), 6) AS score FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.round(r.summary_layer(F.length("text") / 100), 6).alias("score"))

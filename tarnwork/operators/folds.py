@@ -123,29 +123,70 @@ def allocate(rows: DataFrame, weight: str, total: int) -> DataFrame:
     return running(given, [], ["id"], name="place").join(F.broadcast(rest)).select("id", (F.col("share") + (F.col("place") <= F.col("rest")).cast("int")).cast("bigint").alias("share"))
 
 
+class Slots:
+    """The positions of a list from which members go: the k-th that is left, in logarithmic time.
+
+    A tree of partial sums (Fenwick) over all slots that will ever be used.  New members come
+    last, so slots to come do not change where the k-th of those that are there is.
+    """
+
+    def __init__(self, n: int):
+        self.tree = [i & -i for i in range(n + 1)]
+        self.high = 1 << n.bit_length() >> 1
+
+    def find(self, k: int) -> int:
+        """The slot with ``k`` others left before it."""
+        at, step, k = 0, self.high, k + 1
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] < k:
+                at += step
+                k -= self.tree[at]
+            step >>= 1
+        return at
+
+    def remove(self, slot: int) -> None:
+        i = slot + 1
+        while i < len(self.tree):
+            self.tree[i] -= 1
+            i += i & -i
+
+
+def surface_of(ops: list[tuple]) -> list[str]:
+    """The surface of each of a session's events (seq, op, start, end), in order."""
+    slots = Slots(sum(op == "append" for _, op, _, _ in ops))
+    holder: list[int] = []  # by slot, the event that stands there
+    left, out = 0, ["log-only"] * len(ops)
+    for i, (_, op, start, end) in enumerate(ops):
+        if op == "append":
+            holder.append(i)
+            left += 1
+            out[i] = "current"
+        elif op == "replace":
+            if not 0 <= start <= end < left:
+                raise ValueError(f"SURFACE_RANGE: {start}..{end} of {left}")
+            first = slots.find(int(start))
+            out[holder[first]], out[i] = "shadowed", "current"
+            holder[first] = i  # the new event stands where the first one stood
+            for _ in range(int(end) - int(start)):
+                gone = slots.find(int(start) + 1)
+                slots.remove(gone)
+                out[holder[gone]] = "shadowed"
+                left -= 1
+    return out
+
+
 def surface(log: DataFrame) -> DataFrame:
     """(session_id, seq, surface): current, shadowed or log-only after all positional replaces.
 
     A replace takes out the current events at positions ``start`` to ``end`` and puts itself in
     their place; later positions count what is there then, so each session is folded in order.
+    Each event comes and goes once, so a session of n events takes n log n steps.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        now: list[int] = []
-        state = dict.fromkeys(pdf["seq"], "log-only")
-        for seq, op, start, end in zip(pdf["seq"], pdf["op"], pdf["start"], pdf["end"], strict=True):
-            if op == "append":
-                now.append(seq)
-            elif op == "replace":
-                if not 0 <= start <= end < len(now):
-                    raise ValueError(f"SURFACE_RANGE: {start}..{end} of {len(now)}")
-                for gone in now[int(start) : int(end) + 1]:
-                    state[gone] = "shadowed"
-                now[int(start) : int(end) + 1] = [seq]
-        for seq in now:
-            state[seq] = "current"
-        return pd.DataFrame({"session_id": pdf["session_id"], "seq": pdf["seq"], "surface": [state[s] for s in pdf["seq"]]})
+        found = surface_of(list(zip(pdf["seq"], pdf["op"], pdf["start"], pdf["end"], strict=True)))
+        return pd.DataFrame({"session_id": pdf["session_id"], "seq": pdf["seq"], "surface": found})
 
     return log.select("session_id", "seq", "op", "start", "end").groupBy("session_id").applyInPandas(fold, "session_id bigint, seq bigint, surface string")
 

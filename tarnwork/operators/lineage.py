@@ -1,47 +1,82 @@
-"""Session trees and provenance graphs."""
+"""Session trees and provenance graphs, by pointer doubling over stored tables.
 
-from __future__ import annotations
+A round doubles how far each pointer reaches, so rounds grow with the logarithm of the depth, and
+every round is a join of two tables of the nodes' size.
+"""
 
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 1000
+from tarnwork.storage import stored
+
+
+def pointers(nodes: DataFrame) -> DataFrame:
+    """(id, at): each node with its parent, where the parent is a node too."""
+    known = nodes.select(F.col("id").alias("at"))
+    return nodes.where("parent is not null").select("id", F.col("parent").alias("at")).join(known, "at", "left_semi").select("id", "at")
 
 
-def _view(df: DataFrame) -> str:
-    """A view of a name of its own, so that queries of one session never meet."""
-    name = f"lineage_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def rounds_for(n: int) -> int:
+    """Doublings after which a walk among ``n`` nodes has ended, if it ends."""
+    return max(1, n.bit_length()) + 1
 
 
-def ancestors(spark: SparkSession, nodes: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, ancestor, depth) for every start id, by parent pointers; a cycle is an error of depth."""
-    all_nodes, first = _view(nodes.select("id", "parent")), _view(start.select("id"))
-    return spark.sql(f"""
-      WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-        SELECT s.id, n.parent, 1 FROM {first} s JOIN {all_nodes} n ON n.id = s.id WHERE n.parent IS NOT NULL
-        UNION ALL
-        SELECT u.id, n.parent, u.depth + 1 FROM up u JOIN {all_nodes} n ON n.id = u.ancestor WHERE n.parent IS NOT NULL)
-      SELECT id, ancestor, depth FROM up""")
+def roots(nodes: DataFrame) -> DataFrame:
+    """(id, root, depth, missing, cyclic) of every node (id, parent).
+
+    ``missing`` tells that the walk ends at a parent that is no node, ``cyclic`` that it never ends;
+    then there is no root and no depth.
+    """
+    up = nodes.join(pointers(nodes), "id", "left")
+    state = up.select("id", F.coalesce("at", "id").alias("at"), F.col("at").isNotNull().cast("bigint").alias("depth"), F.col("at").isNotNull().alias("more"), (F.col("at").isNull() & F.col("parent").isNotNull()).alias("missing"))
+    state = stored(state, "roots")
+    for _ in range(rounds_for(state.count())):
+        open_ = state.where("more")
+        if open_.isEmpty():
+            break
+        beyond = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("steps"), F.col("more").alias("on"), F.col("missing").alias("gone"))
+        moved = open_.join(beyond, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("steps")).alias("depth"), F.col("on").alias("more"), F.col("gone").alias("missing"))
+        state = stored(moved.unionByName(state.where("not more")), "roots")
+    ended = lambda c: F.when(~F.col("more"), F.col(c))
+    return state.select("id", ended("at").alias("root"), ended("depth").alias("depth"), F.coalesce(ended("missing"), F.lit(False)).alias("missing"), F.col("more").alias("cyclic"))
+
+
+def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of every start id, by parent pointers; a cycle is an error."""
+    jump = stored(pointers(nodes), "jumps")
+    pairs = stored(start.select("id").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")), "ancestors")
+    step = 1
+    for _ in range(rounds_for(jump.count())):
+        if jump.isEmpty():
+            return pairs.where("depth > 0")
+        further = jump.select(F.col("id").alias("ancestor"), F.col("at").alias("next"))
+        more = pairs.join(further, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + step).alias("depth"))
+        pairs = stored(pairs.unionByName(more), "ancestors")
+        jump = stored(jump.join(jump.select(F.col("id").alias("at"), F.col("at").alias("next")), "at").select("id", F.col("next").alias("at")), "jumps")
+        step *= 2
+    if not jump.isEmpty():
+        raise ValueError("LINEAGE_CYCLE")
+    return pairs.where("depth > 0")
 
 
 def missing_parents(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent")
 
 
-def descendants(spark: SparkSession, nodes: DataFrame, root) -> DataFrame:
-    """(id, depth, path): a subtree in the order of (created, id) at every level."""
-    all_nodes = _view(nodes.select("id", "parent", "created"))
-    key = "lpad(cast({0}.created AS string), 16, '0') || ':' || lpad(cast({0}.id AS string), 12, '0')"
-    return spark.sql(f"""
-      WITH RECURSIVE down(id, depth, path) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-        SELECT n.id, 0, {key.format('n')} FROM {all_nodes} n WHERE n.id = {root!r}
-        UNION ALL
-        SELECT c.id, d.depth + 1, d.path || '/' || {key.format('c')} FROM down d JOIN {all_nodes} c ON c.parent = d.id)
-      SELECT id, depth, path FROM down""")
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth, path): the subtree of each root (id), to be ordered by path at every level by (created, id).
+
+    The keys of the levels are joined last: a node's array has as many as it has ancestors.
+    """
+    key = F.concat(F.lpad(F.col("created").cast("string"), 16, "0"), F.lit(":"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    up = ancestors(nodes, nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")))
+    keyed = up.join(nodes.select(F.col("id").alias("ancestor"), key.alias("key")), "ancestor")
+    chains = keyed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "ancestor", "key"))).alias("chain"))
+    each = chains.select("id", "chain", F.explode("chain").alias("top")).select("id", "chain", F.col("top.ancestor").alias("root"), F.col("top.depth").alias("depth")).join(roots.select(F.col("id").alias("root")), "root", "left_semi")
+    path = F.array_join(F.transform(F.reverse(F.slice("chain", F.lit(1), (F.col("depth") + 1).cast("int"))), lambda x: x["key"]), "/")
+    return each.select("root", "id", "depth", path.alias("path"))
 
 
 def source_links(log: DataFrame) -> DataFrame:

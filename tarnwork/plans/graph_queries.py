@@ -21,7 +21,7 @@ def _nodes(spark, d):
 @query("grf01_ancestors", f"WITH RECURSIVE {SESSIONS_SQL}, up AS (SELECT s.id, s.parent_session AS ancestor, 1 AS depth FROM sessions s WHERE s.parent_session IS NOT NULL UNION ALL SELECT u.id, n.parent_session, u.depth + 1 FROM up u JOIN sessions n ON n.id = u.ancestor WHERE n.parent_session IS NOT NULL) SELECT id, ancestor, depth FROM up")
 def _(spark, d):
     nodes = _nodes(spark, d)
-    return lineage.ancestors(spark, nodes, nodes)
+    return lineage.ancestors(nodes, nodes)
 
 
 @query("grf01_missing_parents", f"WITH {SESSIONS_SQL}, kept AS (SELECT * FROM sessions WHERE id % 5 <> 0) SELECT id, parent_session AS parent FROM kept WHERE parent_session IS NOT NULL AND parent_session NOT IN (SELECT id FROM kept)")
@@ -29,9 +29,16 @@ def _(spark, d):
     return lineage.missing_parents(_nodes(spark, d).where("id % 5 <> 0"))
 
 
-@query("grf02_descendants", f"WITH RECURSIVE {SESSIONS_SQL}, down AS (SELECT id, 0 AS depth, lpad(created_at::VARCHAR, 16, '0') || ':' || lpad(id::VARCHAR, 12, '0') AS path FROM sessions WHERE id = 5 UNION ALL SELECT c.id, d.depth + 1, d.path || '/' || lpad(c.created_at::VARCHAR, 16, '0') || ':' || lpad(c.id::VARCHAR, 12, '0') FROM down d JOIN sessions c ON c.parent_session = d.id) SELECT id, depth, path FROM down")
+@query("grf01_roots", f"WITH RECURSIVE {SESSIONS_SQL}, kept AS (SELECT id, CASE WHEN id % 1000 = 7 THEN id ELSE parent_session END AS parent FROM sessions WHERE id % 11 <> 0), up AS (SELECT id, id AS tip, 0 AS depth FROM kept UNION ALL SELECT u.id, n.parent, u.depth + 1 FROM up u JOIN kept n ON n.id = u.tip WHERE n.parent IN (SELECT id FROM kept) AND u.depth < 200), last AS (SELECT id, max_by(tip, depth) AS tip, max(depth) AS depth FROM up GROUP BY id) SELECT last.id, CASE WHEN depth < 200 THEN tip END AS root, CASE WHEN depth < 200 THEN depth END AS depth, depth < 200 AND kept.parent IS NOT NULL AS missing, depth = 200 AS cyclic FROM last JOIN kept ON kept.id = last.tip")
 def _(spark, d):
-    return lineage.descendants(spark, _nodes(spark, d), 5)
+    kept = _nodes(spark, d).where("id % 11 <> 0").withColumn("parent", F.when(F.col("id") % 1000 == 7, F.col("id")).otherwise(F.col("parent")))
+    return lineage.roots(kept)
+
+
+@query("grf02_descendants", f"WITH RECURSIVE {SESSIONS_SQL}, down AS (SELECT id AS root, id, 0 AS depth, lpad(created_at::VARCHAR, 16, '0') || ':' || lpad(id::VARCHAR, 12, '0') AS path FROM sessions WHERE parent_session IS NULL UNION ALL SELECT root, c.id, d.depth + 1, d.path || '/' || lpad(c.created_at::VARCHAR, 16, '0') || ':' || lpad(c.id::VARCHAR, 12, '0') FROM down d JOIN sessions c ON c.parent_session = d.id) SELECT root, id, depth, path FROM down")
+def _(spark, d):
+    nodes = _nodes(spark, d)
+    return lineage.descendants(nodes, nodes.where("parent is null"))
 
 
 @query("grf05_source_links", "SELECT conv_id AS session_id, turn AS seq, unnest([turn - 1, turn - 2]) AS source_seq FROM conversations WHERE turn >= 2")
@@ -45,8 +52,8 @@ def _(spark, d):
     c = table(spark, d, "conversations")
     key = F.col("conv_id") * 1000
     nodes = c.select((key + F.col("turn")).alias("id"), F.when(F.col("turn") >= 1, key + F.col("turn") - 1).alias("parent"))
-    up = lineage.ancestors(spark, nodes, nodes)
-    return up.groupBy("id").agg(F.max("depth").alias("depth"), F.min("ancestor").alias("a")).select(F.floor(F.col("id") / 1000).alias("session_id"), (F.col("id") % 1000).alias("seq"), "depth", (F.col("a") % 1000).alias("origin"))
+    up = lineage.roots(nodes).where("depth > 0")
+    return up.select(F.floor(F.col("id") / 1000).alias("session_id"), (F.col("id") % 1000).alias("seq"), "depth", (F.col("root") % 1000).alias("origin"))
 
 
 @query("grf13_candidate_penalty", "SELECT n, round(CASE WHEN n <= 3 THEN 0.5 ELSE 0.5 * 3 / n END, 6) AS confidence FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n")

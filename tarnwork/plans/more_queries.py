@@ -49,6 +49,25 @@ def _(spark, d):
     return folds.surface(_surface(spark, d))
 
 
+RANGES_SQL = f"""WITH RECURSIVE {LOG_SQL}, ops AS (SELECT session_id, seq, CASE WHEN type = 'step/start' AND seq % 4 = 2 THEN NULL WHEN seq % 4 = 3 THEN 'replace' ELSE 'append' END AS op, event_id FROM log),
+n AS (SELECT *, count(CASE WHEN op = 'append' THEN 1 END) OVER w - count(CASE WHEN op = 'replace' THEN 1 END) OVER w AS left_now FROM ops WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, CASE WHEN op = 'replace' THEN event_id % (left_now - 1) END AS start FROM n),
+scan AS (SELECT DISTINCT session_id, CAST(-1 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS now FROM o
+  UNION ALL SELECT o.session_id, o.seq, CASE o.op WHEN 'append' THEN list_append(now, o.seq) WHEN 'replace' THEN now[:start] || [o.seq] || now[start + 3:] ELSE now END FROM scan JOIN o ON o.session_id = scan.session_id AND o.seq = scan.seq + 1),
+last AS (SELECT session_id, max_by(now, seq) AS now FROM scan GROUP BY session_id)
+SELECT session_id, seq, CASE WHEN op IS NULL THEN 'log-only' WHEN list_contains(now, seq) THEN 'current' ELSE 'shadowed' END AS surface FROM o JOIN last USING (session_id)"""
+
+
+@query("grf03_surface_ranges", RANGES_SQL)
+def _(spark, d):
+    op = F.when((F.col("type") == "step/start") & (F.col("seq") % 4 == 2), None).when(F.col("seq") % 4 == 3, "replace").otherwise("append")
+    log_ = session_log(spark, d).withColumn("op", op)
+    before = folds.order().rowsBetween(Window.unboundedPreceding, -1)
+    left = F.count(F.when(F.col("op") == "append", 1)).over(before) - F.count(F.when(F.col("op") == "replace", 1)).over(before)  # each takes out two and comes in
+    log_ = log_.withColumn("left", left).withColumn("start", F.when(F.col("op") == "replace", F.col("event_id") % (F.col("left") - 1)))
+    return folds.surface(log_.withColumn("end", F.col("start") + 1))
+
+
 @query("grf03_surface_set_based", SURFACE + " SELECT session_id, seq, surface FROM s")
 def _(spark, d):
     return folds.replaced_last(_surface(spark, d))

@@ -3,15 +3,16 @@
 A zstandard dictionary is trained on labelled good texts and another on bad ones.  A text
 that shrinks more with the good one is likelier good: the compressed-size difference,
 normalised by the length and by the sizes, and the size itself feed a logistic calibration.
-Every text is scored whole, in blocks.  Labels are learned from a bounded sample: at most
-``FIT_ROWS`` rows of each label, half for the dictionaries and half for the calibration.  The
-dictionaries are made from at most ``FIT_BLOCKS`` blocks of each label, which come by hash from
-anywhere in the whole texts; the calibration reads the whole texts on the executors, and only
-its numbers are collected.
+Every text is scored whole, in blocks.  Labels are learned from a bounded sample of rows: at
+most ``FIT_ROWS`` ids of each label that come first by hash, one row an id, half for the
+dictionaries and half for the calibration.  A dictionary is made from all blocks of its rows'
+whole texts, of as many of these rows as have ``FIT_BYTES`` bytes together; the calibration reads
+the whole texts on the executors, and only its numbers, one triple an id, are collected.
 
 Edge cases: null and empty texts score like a text of no bytes, which the calibration maps
 to a fixed value; with no labelled row of either kind the score is the share of good labels,
-or 0.5; rows that repeat, ids included, each get the same score; a null id is scored and
+or 0.5; rows that repeat, ids included, each get the same score, and of several texts of a
+labelled id the one with the least hash is learned from; a null id is scored and
 never learned from; an empty table gives an empty result; a text of any length is scored in
 blocks; other columns, whatever their names, are dropped by ``score`` and kept by ``keep_good``.
 """
@@ -27,8 +28,8 @@ from tarnwork.llm.common import discard, id_type, map_batches, map_slices, store
 
 #: Most labelled rows of each label that a fit collects: half for the dictionary, half to calibrate.
 FIT_ROWS = 1600
-#: Most blocks of each label that its dictionary is made from.
-FIT_BLOCKS = 4096
+#: Bytes of the whole texts, together, that a label's dictionary is made from.
+FIT_BYTES = 32 << 20
 DICTIONARY_BYTES = 112_640
 BLOCK = 2048
 LEVEL = 3
@@ -102,7 +103,7 @@ def training_row(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, blocks: int = FIT_BLOCKS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """Fits on a bounded sample: the ``rows`` labelled ids of each label that come first by hash, in turn for each use."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col), F.col("quality").cast("int").alias("quality")).where(training_row(id_col))
     share = known.agg(F.avg("quality")).first()[0]
@@ -114,11 +115,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     names = {id_col: labels.schema[id_col].dataType.simpleString(), "quality": "int", "for_dictionary": "boolean"}
     picked = docs.sparkSession.createDataFrame(chosen, ", ".join(f"{k} {v}" for k, v in names.items()))
     # at most 2 x rows ids: safe to broadcast
-    found = stored(texts(docs, id_col, text_col).join(F.broadcast(picked), id_col), "quality-sample")
+    met = texts(docs, id_col, text_col).join(F.broadcast(picked), id_col)
+    one = F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col)))
+    found = stored(met.groupBy(id_col, "quality", "for_dictionary").agg(one.alias(text_col)), "quality-sample")
     raw = F.encode(text_col, "UTF-8")
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length(text_col) - 1, F.lit(0)), F.lit(BLOCK))
-    cut = found.where("for_dictionary").select("quality", F.explode(F.transform(starts, lambda at: F.substring(raw, at + 1, F.lit(BLOCK)))).alias("block")).where(F.octet_length("block") > 0)
-    made = [_dictionary([bytes(r[0]) for r in cut.where(F.col("quality") == q).select("block").orderBy(F.xxhash64("block"), "block").limit(blocks).collect()]) for q in (1, 0)]
+    within = []  # whole texts, in the order of their ids' hashes, as long as they fit together
+    for q in (0, 1):
+        left = size
+        for i, n in found.where(F.col("for_dictionary") & (F.col("quality") == q)).select(id_col, F.octet_length(text_col)).orderBy(*order).collect():
+            if n <= left:
+                within.append((i,))
+                left -= n
+    fits = docs.sparkSession.createDataFrame(within, f"{id_col} {names[id_col]}")
+    cut = found.where("for_dictionary").join(F.broadcast(fits), id_col).select("quality", F.explode(F.transform(starts, lambda at: F.substring(raw, at + 1, F.lit(BLOCK)))).alias("block")).where(F.octet_length("block") > 0)
+    made = [_dictionary([bytes(r[0]) for r in cut.where(F.col("quality") == q).select("block").orderBy(F.xxhash64("block"), "block").collect()]) for q in (1, 0)]
     empty = Model(*made, [0.0] * 3, [1.0] * 3, [0.0] * 4)
 
     def work(batch: pa.RecordBatch) -> dict:

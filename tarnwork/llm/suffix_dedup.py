@@ -105,9 +105,10 @@ GROUP_ROWS = 8192
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tid, size, text): a text's key is a hash and its bytes."""
-    t = texts(docs, id_col, text_col)
-    return t.select(id_col, F.xxhash64(text_col).alias("tid"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
+    """(id, tid, size, text): a text's key is the first 64 bits of its SHA-256 and its size."""
+    t = texts(docs, id_col, text_col).withColumn("digest", F.sha2(text_col, 256))
+    half = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("bigint")
+    return t.select(id_col, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("tid"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
 
 
 def selected(rows: DataFrame) -> DataFrame:

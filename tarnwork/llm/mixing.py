@@ -7,8 +7,10 @@ budget.  No queue is ever held by one task: cumulative sums run inside hash buck
 totals are summed first.
 
 Edge cases: null texts and texts without words have size 0 and take 0 words; null sources
-are one source, the last; rows that repeat are separate documents; an empty table gives an
-empty mix.  The mix depends on the rows only, not on their order or partitions.
+are one source, the last; rows that repeat are separate documents; null ids are mixed like
+others, in the place of an empty id; an empty table gives an empty mix; texts of any length are
+counted whole; other columns are dropped by ``mix`` and kept by ``mixed_documents``, whatever
+their names.  The mix depends on the rows only, not on their order or partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import SPACE_RUN, SPACES, free_name, small_side, stored
+from tarnwork.llm.common import SPACE_RUN, SPACES, free_name, scratch, small_side, stored
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -111,10 +113,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mix_sized(rows: DataFrame) -> DataFrame:
     """The same for a stored table (row, doc_id, source, size)."""
-    goal = stored(targets(rows), "mix-targets")
-    n, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    read = finish_times(rows, goal, n)
-    times = taken_readings(read, budget, n).groupBy("row").agg(F.count("*").alias("times"))
+    with scratch() as keep:
+        goal = keep(stored(targets(rows), "mix-targets"))
+        n, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        read = finish_times(rows, goal, n)
+        times = taken_readings(read, budget, n).groupBy("row").agg(F.count("*").alias("times"))
     aims = goal.select(F.col("source").alias("s"), "source_size", "target")
     out = rows.join(times, "row", "left").join(aims, F.col("source").eqNullSafe(F.col("s")))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("times", F.lit(0)).alias("times"))
@@ -123,7 +126,12 @@ def mix_sized(rows: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     row, times, epoch = (free_name(docs, x) for x in ("mix_row", "mix_times", "mix_epoch"))
-    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    with scratch() as keep:
+        return _mixed(docs, keep, row, times, epoch, id_col, text_col, source_col)
+
+
+def _mixed(docs: DataFrame, keep, row: str, times: str, epoch: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    kept = keep(stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents"))
     sized = kept.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_col)).cast("bigint").alias("size"))
-    taken = stored(mix_sized(stored(sized, "mix-sizes")).where("times > 0").select(F.col("row").alias(row), F.col("times").cast("int").alias(times)), "mix-taken")
+    taken = keep(stored(mix_sized(stored(sized, "mix-sizes")).where("times > 0").select(F.col("row").alias(row), F.col("times").cast("int").alias(times)), "mix-taken"))
     return kept.join(small_side(taken), row).withColumn(epoch, F.explode(F.sequence(F.lit(1), times))).drop(row, times, epoch)

@@ -6,7 +6,9 @@ content once, and appends the new counts; copies of a text, in this run or a lat
 never encoded again.
 
 Edge cases: a null text counts as an empty one (0 tokens); rows that repeat, ids included,
-each get their count; an empty table appends nothing.
+each get their count, as do rows with a null id; an empty table appends nothing; a text of any
+length is encoded whole, in a slice of its own; other columns are dropped at once, whatever
+their names; the store may be absent, and may hold counts of other tokenizers and versions.
 """
 
 from __future__ import annotations

@@ -282,6 +282,51 @@ def test_ogg_pages():
     assert ogg.read(ogg.write(data)[:-3])[1]
 
 
+def plain_ogg(media):
+    """Packets by stream with the granule of the page that each ends on, read byte by byte."""
+    at, packets, open_, seen = 0, {}, {}, {}
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\x00"
+        flags, granule = media[at + 5], int.from_bytes(media[at + 6 : at + 14], "little", signed=True)
+        serial, number, crc = (int.from_bytes(media[at + k : at + k + 4], "little") for k in (14, 18, 22))
+        lacing = media[at + 27 : at + 27 + media[at + 26]]
+        body = at + 27 + len(lacing)
+        end = body + sum(lacing)
+        assert slow_crc(media[at : at + 22] + bytes(4) + media[at + 26 : end]) == crc
+        assert number == seen.get(serial, 0) and bool(flags & 1) == bool(open_.get(serial)) and bool(flags & 2) == (number == 0)
+        seen[serial] = number + 1
+        for size in lacing:
+            open_[serial] = open_.get(serial, b"") + media[body : body + size]
+            body += size
+            if size < 255:
+                packets.setdefault(serial, []).append((open_.pop(serial), granule))
+        at = end
+    assert not any(open_.values())
+    return packets, sum(seen.values())
+
+
+def test_media_form_and_feature():
+    r = random.Random(3)
+    for n in (576, 1152, 576 * 7, 576 * 90):
+        payload = bytes(r.randrange(256) for _ in range(n))
+        media = ogg.write(payload)
+        packets, pages = plain_ogg(media)
+        assert len(packets) == 2 and all(p[0][0][:8] == b"\x7fpcm8\x00\x00\x00" for p in packets.values())
+        data = [p[1:] for _, p in sorted(packets.items())]
+        blocks = [data[k % 2][k // 2][0] for k in range(n // 576)]
+        assert b"".join(blocks) == payload
+        assert all(g >= sum(len(x) for x, _ in part[: k + 1]) for part in data for k, (_, g) in enumerate(part) if g >= 0)
+        assert [part[-1][1] for part in data if part] == [sum(len(x) for x, _ in part) for part in data if part]
+        mean = sum(payload) / n
+        deviation = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        seconds = max(sum(len(x) for x, _ in part) for part in data) / 8000
+        told = dict(x.split("=") for x in ogg.feature(ogg.read(media)[0], payload).split(";"))
+        # each stream's first packet names it
+        assert (int(told["streams"]), int(told["pages"]), int(told["packets"]), int(told["crossings"])) == (2, pages, sum(map(len, packets.values())), crossings)
+        assert abs(float(told["mean"]) - mean) < 1e-4 and abs(float(told["deviation"]) - deviation) < 1e-4 and abs(float(told["seconds"]) - seconds) < 1e-6
+
+
 def test_media_columns(spark, docs, empty):
     rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("payload"))
     got = ogg.read_media(ogg.write_media(rows)).collect()
@@ -313,6 +358,51 @@ def test_classifier_query(spark, docs, labels, fixture_rows, tmp_path):
     assert all(x["predicted"] == int(x["score"] >= 0.5) for x in got)
 
 
+def test_scores_equal_plain_compression(spark, docs, labels, fixture_rows):
+    """Scores from the library's own compressor, and weights that no step would mend."""
+    import zstandard
+
+    model = compression_quality.fit(docs, labels)
+
+    def sizes(text, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        d.precompute_compress(level=3)
+        c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(text[i : i + 2048])) for i in range(0, max(1, len(text)), 2048))
+
+    def inputs(text):
+        good, bad = sizes(text, model.good), sizes(text, model.bad)
+        return [(bad - good) / (len(text) + 20), (bad - good) / (bad + good), good / (len(text) + 20)]
+
+    def score(text):
+        z = model.weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(model.weights[1:], inputs(text), model.mean, model.scale))
+        return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+    got = sorted_rows((x["doc_id"], round(x["score"], 6), x["predicted"]) for x in compression_quality.score(docs, model).collect())
+    assert got == sorted_rows((r[0], round(score((r[1] or "").encode()), 6), int(score((r[1] or "").encode()) >= 0.5)) for r in fixture_rows)
+    # the sample: labelled rows that are not held out, in the order of their hashes, every second one to calibrate
+    known = [(i, int(k % 5 != 0)) for k, (i, *_) in enumerate(fixture_rows) if i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    hashed = {x["i"]: x["h"] for x in spark.createDataFrame(sorted({(i,) for i, _ in known}), "i bigint").select("i", F.xxhash64("i").alias("h")).collect()}
+    text_hash = {x["t"]: x["h"] for x in spark.createDataFrame([(r[1] or "",) for r in fixture_rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    text = {}
+    for i, t, *_ in fixture_rows:
+        text[i] = min(text.get(i, t or ""), t or "", key=lambda x: (text_hash[x], x))
+    rows = [(i, q) for q in (0, 1) for k, i in enumerate(sorted({i for i, y in known if y == q}, key=lambda i: (hashed[i], i))) if k % 2]
+    x, y = np.array([inputs(text[i].encode()) for i, _ in rows]), np.array([float(q) for _, q in rows])
+    assert np.allclose(x.mean(0), model.mean)
+    share = min(max(np.mean([q for _, q in known]), 0.02), 0.98)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y).mean())
+    p = np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale])
+    w = np.array(model.weights)
+    assert abs(p.T @ (weight * (1 / (1 + np.exp(-(p @ w))) - y)) + 1e-2 * w).max() < 1e-6
+
+
+def test_dictionary_is_bounded_by_rows_and_bytes(spark, docs, labels):
+    small = compression_quality.fit(docs, labels, rows=6, size=2000)
+    assert compression_quality.score(docs, small).where("score is null").count() == 0
+    assert len(small.good) <= 2000
+
+
 def test_classifier_reads_whole_texts(spark):
     """Good and bad texts differ only behind twenty thousand bytes that they share."""
     head = "common words that both kinds have " * 700

@@ -245,11 +245,6 @@ def _(spark, d):
     return chunks.file_documents(files(spark, d))
 
 
-@query("prj21_python_symbols")
-def _(spark, d):
-    return workspace.python_symbols(spark.createDataFrame([("a.py", "import os\nclass A:\n  def f(self, x):\n    return g(x)\ndef g(y):\n  return os.path.join(y)\n")], "path string, content string"))
-
-
 @query("src10_ignore_rules", f"WITH {FILES_SQL} SELECT file_id FROM files WHERE NOT CASE WHEN regexp_matches(path, '^(.*/)?de/[^/]*9(/|$)') THEN true WHEN regexp_matches(path, '^(.*/)?de/[^/]*5(/|$)') THEN false WHEN regexp_matches(path, '^(.*/)?de/.*(/|$)') THEN true WHEN regexp_matches(path, '(^|/)[^/]*9(/|$)') THEN true ELSE false END")
 def _(spark, d):
     return workspace.visible(files(spark, d), ["*9", "**/de/**", "# a comment", "!**/de/*5", "**/de/*9"]).select("file_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwork.plans.registry import query
-from tarnwork.sources import brace_symbols, tree
+from tarnwork.sources import brace_symbols, tree, workspace
 from tarnwork.sources.tables import FILES_SQL, files, table
 
 #: Ignore files: one at the top, one for each host, and one in the hosts' folder ``en``.
@@ -107,3 +107,21 @@ def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", F.initcap(first).alias("c"), second.alias("m"), F.when(F.col("p_partkey") % 2 == 0, "go").otherwise("java").alias("language"))
     path = F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit("."), "language")
     return brace_symbols.symbols(p.select(path.alias("path"), F.when(F.col("language") == "go", _source(GO_SOURCE)).otherwise(_source(JAVA_SOURCE)).alias("content")))
+
+
+PYTHON_SOURCE = """import os
+class {c}:
+    def get{n}(self, x):
+        return helper{s}(x)
+
+def helper{s}(y):
+    return os.path.join(y)
+"""
+_PYTHON = [("import", "'os'", "''", 1, "NULL"), ("class", "c", "''", 2, "NULL"), ("function", "'get' || n", "c", 3, "NULL"), ("call", "'helper' || s", "c || '.get' || n", 4, "'helper' || s"), ("function", "'helper' || s", "''", 6, "NULL"), ("call", "'os.path.join'", "'helper' || s", 7, "'join'")]
+PYTHON_SQL = "WITH f AS (SELECT 'src/f' || p_partkey || '.py' AS path, upper(left(p_name, 1)) || substring(split_part(p_name, ' ', 1), 2) AS c, CAST(p_partkey AS VARCHAR) AS n, CAST(p_size AS VARCHAR) AS s FROM part) " + " UNION ALL ".join(f"SELECT path, '{kind}' AS kind, {name} AS name, {container} AS container, {line} AS line, {callee} AS callee FROM f" for kind, name, container, line, callee in _PYTHON)
+
+
+@query("prj21_python_symbols", PYTHON_SQL)
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("c"), F.lit("").alias("m"))
+    return workspace.python_symbols(p.select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), _source(PYTHON_SOURCE).alias("content")))

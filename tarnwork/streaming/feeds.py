@@ -48,6 +48,11 @@ def first_of_step(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
+def admitted(stream: DataFrame, time: str, late: str, keys: list[str]) -> DataFrame:
+    """The first row of each key; Spark forgets a key once the watermark has left it behind by ``late``."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def windowed_counts(stream: DataFrame, late: str, width: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 

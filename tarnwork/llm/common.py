@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import re
 import tempfile
 import uuid
@@ -163,6 +164,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, as idle workers are kept and many share a machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size_col: str | None = None, piece_bytes: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` of ``work`` over slices of batches.
 
@@ -175,7 +184,7 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             for part in slices(batch, size_col, piece_bytes):
                 yield work(part)
             del batch
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

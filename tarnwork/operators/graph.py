@@ -133,3 +133,10 @@ def as_of_chunk(lines: DataFrame, chunks: DataFrame) -> DataFrame:
 def call_kind(receiver: Column, name: Column, imported: Column) -> Column:
     """How a call is written."""
     return F.when(receiver.isNotNull() & name.rlike("^[A-Z]"), "constructor").when(receiver.isNotNull(), "method").when(imported, "imported").otherwise("local")
+
+
+def call_shape(name: Column, imports: Column) -> Column:
+    """How a call (``a.b``, ``b``) is written, given the names that its file imports."""
+    leaf = F.substring_index(name, ".", -1)
+    made = leaf.rlike("^[A-Z]") | (leaf == "__init__")
+    return F.when(F.contains(name, F.lit(".")), F.when(made, "constructor").otherwise("method")).when(F.array_contains(imports, name), "imported").when(made, "constructor").otherwise("local")

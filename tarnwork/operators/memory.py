@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import collapse, unicode_tokens
-from tarnwork.operators import grams
+from tarnwork.operators import grams, similar
 from tarnwork.operators.retrieval import DIGITS, top
 from tarnwork.storage import stored
 
@@ -82,3 +84,48 @@ def search(entries: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     surplus = (F.col("positive") - F.col("negative")) / (F.col("positive") + F.col("negative") + 1.0)
     score = (WORDS_LANE * F.col("words") + INSIDE_LANE * F.col("inside")) * weight + OUTCOME * surplus
     return top(met.select("query_id", "entry", "words", "inside", F.round(score, DIGITS).alias("score")), "score", most, "entry")
+
+
+def duplicates(entries: DataFrame) -> DataFrame:
+    """(entry, other, relation, score, reasons, detector): entries of a scope with equal normalised content, each with the first of them."""
+    keyed = entries.select("entry", "scope", normal_hash("content").alias("hash"))
+    first = keyed.groupBy("scope", "hash").agg(F.min("entry").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _found(keyed.join(first, ["scope", "hash"]).where("entry <> other"), "exact-duplicate", "equal content")
+
+
+def collisions(entries: DataFrame) -> DataFrame:
+    """The same for equal normalised summaries of different contents: the first entry of each content with the first of all."""
+    keyed = entries.where(collapse("summary") != "").select("entry", "scope", normal_hash("summary").alias("summary"), normal_hash("content").alias("hash"))
+    contents = keyed.groupBy("scope", "summary", "hash").agg(F.min("entry").alias("entry"))
+    first = contents.groupBy("scope", "summary").agg(F.min("entry").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _found(contents.join(first, ["scope", "summary"]).where("entry <> other"), "normalized-summary-collision", "equal summary")
+
+
+def _found(pairs: DataFrame, relation: str, reason: str) -> DataFrame:
+    return pairs.select("entry", "other", F.lit(relation).alias("relation"), F.lit(1.0).alias("score"), F.array(F.lit(reason)).alias("reasons"), F.lit("canonical").alias("detector"))
+
+
+def opposed(vectors: DataFrame, stance: str, least: float, most: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """A detector of entries whose vectors (vec_id, embedding, stance) are alike and whose stances differ.
+
+    It takes targets (entry) and gives (entry, other, score, reasons), from an index over all vectors.
+    """
+
+    def detect(targets: DataFrame) -> DataFrame:
+        asked = vectors.join(targets.select(F.col("entry").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+        near = similar.nearest(vectors, asked, most, least).where("query_id <> vec_id")
+        own, their = (vectors.select(F.col("vec_id").alias(k), F.col(stance).alias(v)) for k, v in (("query_id", "own"), ("vec_id", "their")))
+        met = near.join(own, "query_id").join(their, "vec_id").where("own <> their")
+        return met.select(F.col("query_id").alias("entry"), F.col("vec_id").alias("other"), "score", F.array(F.concat(F.lit(f"{stance} "), F.col("own").cast("string"), F.lit(" against "), F.col("their").cast("string"))).alias("reasons"))
+
+    return detect
+
+
+def conflicts(entries: DataFrame, targets: DataFrame, detector: Callable[[DataFrame], DataFrame] | None = None, name: str = "detector") -> DataFrame:
+    """All conflicts of (entry, scope, content, summary): the two that are certain, and those that a detector attributes to the targets (entry)."""
+    out = duplicates(entries).unionByName(collisions(entries))
+    if detector is None:
+        return out
+    scopes = entries.select("entry", "scope")
+    told = detector(targets).join(scopes, "entry").join(scopes.select(F.col("entry").alias("other"), F.col("scope").alias("their")), "other").where("scope <=> their")
+    return out.unionByName(told.select("entry", "other", F.lit("semantic-conflict").alias("relation"), "score", "reasons", F.lit(name).alias("detector")))

@@ -56,3 +56,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
     each = rows.select("vec_id", F.explode(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["v"], F.col("v")) / (x["n"] * F.col("n")), digits).alias("score")))).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.select("s.query_id", "vec_id", "s.score").where("score > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def lane(vectors: DataFrame, queries: DataFrame, pool: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, score, place): the nearest vectors together with those of a pool (query_id, vec_id) that earlier lanes found.
+
+    Vectors of the pool are scored in their quantised form; what both have keeps the better score.
+    """
+    asked = queries.select("query_id", floats("embedding").alias("o")).withColumn("on", norm(F.col("o")))
+    known = pool.distinct().join(quantised_table(vectors), "vec_id").join(asked, "query_id")
+    known = known.select("query_id", "vec_id", F.round(quantised_cosine(F.col("q"), F.col("scale"), F.col("norm"), F.col("o"), F.col("on")), digits).alias("score")).where("score > 0")
+    every = nearest(vectors, queries, k, digits).drop("place").unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def quantised_nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, score, place): the k best of each of a stated set of queries by the cosine with the quantised vectors."""
+    asked = queries.select(F.struct("query_id", floats("embedding").alias("v")).alias("q")).withColumn("q", F.struct("q.query_id", "q.v", norm(F.col("q.v")).alias("n")))
+    packed = asked.agg(F.collect_list("q").alias("queries"))
+    rows = quantised_table(vectors).join(F.broadcast(packed))  # as many as the caller asks for
+    scored = F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(quantised_cosine(F.col("q"), F.col("scale"), F.col("norm"), x["v"], x["n"]), digits).alias("score")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rows.select("vec_id", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "s.score").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.plans import code_queries, context_queries, graph_queries, log_queries, memory_queries, more_queries, retrieval_queries, source_queries, stream_queries  # noqa: F401
+from tarnwork.plans import code_queries, context_queries, graph_queries, log_queries, memory_queries, more_queries, retrieval_queries, review_queries, source_queries, stream_queries  # noqa: F401
 from tarnwork.plans.registry import ORACLES, QUERIES
 
 

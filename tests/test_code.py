@@ -197,3 +197,8 @@ def test_fingerprints_count_copies(spark):
 def test_ladder_query_takes_many_steps(spark, data):
     got = {x["step"]: x["n"] for x in catalog.queries()["grf12_steps_taken"](spark, data).collect()}
     assert {"none", "self_member", "same_file", "import", "suffix", "global_unique", "fuzzy_import_distance"} <= set(got)
+
+
+@pytest.mark.parametrize("name,want", [("obj.method", "method"), ("obj.ClassName", "constructor"), ("obj.__init__", "constructor"), ("ext", "imported"), ("MyClass", "constructor"), ("local_fn", "local")])
+def test_call_shapes(spark, name, want):
+    assert spark.range(1).select(graph.call_shape(F.lit(name), F.array(F.lit("ext"), F.lit("other")))).first()[0] == want

@@ -115,7 +115,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op13_phrase_collocations": OP13_SQL}
+    return {"op3_mixing": OP3_SQL, "op11_importance_resampling": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
 
 
 WORD_COUNT_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
@@ -171,3 +171,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000
 """
+
+OP11_SQL = r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (SELECT side, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM texts),
+features AS (SELECT side, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+known AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS b FROM known, tbl),
+counts AS (SELECT b, CAST(count(CASE WHEN side = 0 THEN 1 END) AS DOUBLE) AS s, CAST(count(CASE WHEN side = 1 THEN 1 END) AS DOUBLE) AS t FROM features JOIN hashed USING (f) GROUP BY b),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+gains AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS g FROM counts, totals),
+sums AS (SELECT r, count(*) AS n, sum(g) AS g FROM features JOIN hashed USING (f) JOIN gains USING (b) WHERE side = 0 GROUP BY r),
+scored AS (SELECT id AS doc_id, words.r, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(CAST(floor(CAST(g AS DOUBLE) / n) AS BIGINT), 0) AS weight, CAST('0x' || left(sha256('7:' || id), 8) AS BIGINT) AS h FROM words LEFT JOIN sums ON sums.r = words.r WHERE side = 0),
+final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS rank, count(*) OVER () AS n FROM final WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM final LEFT JOIN ranked USING (r)
+"""

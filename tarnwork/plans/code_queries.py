@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import text as tx, values
 from tarnwork.operators import chunks, graph, resolver, retrieval as r
+from tarnwork.plans.graph_queries import REACH_SQL
 from tarnwork.plans.registry import query
 from tarnwork.sources.tables import CALLS_SQL, STEPPED_SQL, calls, stepped_log, table
 from tarnwork.storage import stored
@@ -127,10 +128,17 @@ def _(spark, d):
     return resolver.reopened(edges, changed, after)
 
 
-@query("grf17_cycles")
+CYCLES_SQL = f"""WITH RECURSIVE imports AS (SELECT * FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b, 'import ' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS statement FROM lineitem) WHERE b IS NOT NULL AND a <> b),
+calls AS (SELECT DISTINCT a AS caller, b AS callee FROM imports), {REACH_SQL},
+chosen AS (SELECT component, count(*) AS size FROM members GROUP BY component ORDER BY size DESC, component LIMIT 50)
+SELECT chosen.component, size, CASE WHEN size >= 5 THEN 'high' WHEN size >= 3 THEN 'medium' ELSE 'low' END AS severity, imports.a AS "from", imports.b AS "to", min(statement) AS statement
+FROM imports JOIN members m ON m.node = imports.a JOIN members n ON n.node = imports.b AND m.component = n.component JOIN chosen ON chosen.component = m.component GROUP BY ALL"""
+
+
+@query("grf17_cycles", CYCLES_SQL)
 def _(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("from"), F.lead("l_partkey").over(w).alias("to"), F.concat(F.lit("import "), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("statement"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("from"), F.lead("l_partkey").over(w).alias("to"), F.concat(F.lit("import "), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("statement"))
     imports = stored(lines.where("to is not null and from <> to"), "imports")
     members = graph.strong_components(imports.select(F.col("from").alias("caller"), F.col("to").alias("callee")), lambda t: stored(t, "scc"))
     return resolver.cycles(members, imports, graph.severity)

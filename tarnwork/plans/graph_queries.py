@@ -74,7 +74,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", graph.call_kind(F.when(F.col("p_size") > 25, F.lit("r")), F.col("p_name"), F.col("p_size") > 12).alias("kind"))
 
 
-@query("grf16_strong_components")
+REACH_SQL = "reach AS (SELECT caller AS a, callee AS b FROM calls UNION SELECT a, callee FROM reach JOIN calls ON caller = b), members AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query("grf16_strong_components", CALLS_R + REACH_SQL + " SELECT node, component FROM members")
 def _(spark, d):
     return graph.strong_components(calls(spark, d), lambda t: stored(t, "scc"))
 

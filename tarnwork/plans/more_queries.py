@@ -222,7 +222,7 @@ def _(spark, d):
     return page.orderBy("id").limit(10).join(F.broadcast(more))  # one row
 
 
-@query("srt13_byte_prefix")
+@query("srt13_byte_prefix", "SELECT doc_id, left(text, list_max(list_filter(range(0, CAST(least(length(text), 101) + 1 AS BIGINT)), lambda k: octet_length(encode(left(text, k))) <= 101))) AS head FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", values.byte_prefix("text", 101).alias("head"))
 
@@ -242,7 +242,7 @@ def _(spark, d):
     return seed.withColumn("score", F.lit(1.0)).unionByName(out).unionByName(back).groupBy("node").agg(F.max("score").alias("score"))
 
 
-@query("rnk12_vector_fingerprint")
+@query("rnk12_vector_fingerprint", "WITH w AS (SELECT vec_id, list_transform(list_transform(embedding, lambda x: CAST(CAST(CAST(x AS BIT) AS VARCHAR) AS VARCHAR)), lambda b: list_transform([25, 17, 9, 1], lambda p: list_reduce(list_transform(range(0, 8), lambda k: CAST(substr(b, CAST(p + k AS BIGINT), 1) AS INTEGER)), lambda s, d: 2 * s + d))) AS bytes FROM embeddings) SELECT vec_id, substr(sha256(unhex(array_to_string(list_transform(flatten(bytes), lambda n: printf('%02x', n)), ''))), 1, 16) AS fingerprint FROM w")
 def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", values.vector_fingerprint("embedding").alias("fingerprint"))
 
@@ -320,7 +320,7 @@ def _(spark, d):
     return table(spark, d, "pages").where(F.col("url").like(f"%{tx.like_text('e_m')}%") | F.col("url").like("%page=%")).select("page_id")
 
 
-@query("str08_normal_hash")
+@query("str08_normal_hash", r"SELECT doc_id, sha256(lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')))) AS hash FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(values.normal_form("text"), 256).alias("hash"))
 

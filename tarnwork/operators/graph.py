@@ -102,8 +102,12 @@ def strong_components(edges: DataFrame, store) -> DataFrame:
     return done.join(sized, "colour").select("node", "component")
 
 
+#: Members of a cycle from which it is of a severity.
+HIGH, MEDIUM = 5, 3
+
+
 def severity(size: Column) -> Column:
-    return F.when(size >= 5, "high").when(size >= 3, "medium").otherwise("low")
+    return F.when(size >= HIGH, "high").when(size >= MEDIUM, "medium").otherwise("low")
 
 
 def dirty(edges: DataFrame, changed: DataFrame, rounds: int, budget: int, store) -> DataFrame:

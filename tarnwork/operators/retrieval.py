@@ -135,17 +135,23 @@ def rank_decay(rank: Column, scale: float, floor: float) -> Column:
     return F.greatest(F.lit(floor), scale / (rank + 1))
 
 
+#: Base of the summary layer; base, growth and limit of the neighbour layer; divisors and limit of the graph score.
+SUMMARY_BASE = 1.4
+NEIGHBOUR_BASE, NEIGHBOUR_MORE, NEIGHBOUR_MOST = 0.8, 0.1, 1.2
+DEGREES_BY, REFS_BY, MOST_REFS, GRAPH_MOST = 10, 100, 10, 0.4
+
+
 def summary_layer(bm25: Column) -> Column:
-    return 1.4 + 1 / (1 + F.abs(bm25))
+    return SUMMARY_BASE + 1 / (1 + F.abs(bm25))
 
 
-def neighbour_score(edges: Column, base: float = 0.8, more: float = 0.1, most: float = 1.2) -> Column:
+def neighbour_score(edges: Column, base: float = NEIGHBOUR_BASE, more: float = NEIGHBOUR_MORE, most: float = NEIGHBOUR_MOST) -> Column:
     """Capped accumulation: a base, a little for each further edge, and a limit."""
     return F.least(base + more * (edges - 1), F.lit(most))
 
 
 def graph_score(inward: Column, outward: Column, refs: Column) -> Column:
-    return F.least(F.log(inward + outward + 1.0) / 10 + F.least(refs, F.lit(10)) / 100, F.lit(0.4))
+    return F.least(F.log(inward + outward + 1.0) / DEGREES_BY + F.least(refs, F.lit(MOST_REFS)) / REFS_BY, F.lit(GRAPH_MOST))
 
 
 def stage_boost(score: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as tx
-from tarnwork.operators import graph, memory, redaction, retrieval as r, vectors as v
+from tarnwork.operators import graph, memory, migration, redaction, retrieval as r, vectors as v
 from tarnwork.plans.code_queries import PHRASE_SQL
 from tarnwork.plans.registry import query
 from tarnwork.plans.retrieval_queries import SCALED
@@ -109,3 +109,26 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "embeddings")
     return v.quantised_nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
+#: Every third turn is a tool's result that replaces the turn before it.
+MIGRATED_SQL = """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool' WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, CAST(to_json(text) AS VARCHAR) AS text FROM conversations),
+n AS (SELECT *, 'legacy-message:' || conv_id || ':' || turn AS own, 'legacy-message:' || conv_id || ':' || CASE WHEN role = 'tool' THEN turn - 1 ELSE turn END AS taken FROM c)
+SELECT conv_id AS session_id, turn AS seq, CASE role WHEN 'tool' THEN 'tool/result' ELSE role || '/message' END AS type, CASE role
+  WHEN 'user' THEN '{"content":' || text || ',"source":{"kind":"user"},"id":"' || own || '","role":"user"}'
+  WHEN 'assistant' THEN '{"message":{"id":"' || own || '","role":"assistant","content":' || text || ',"source":{"model":"m","kind":"model"}}}'
+  ELSE '{"message":{"id":"' || taken || '","role":"user","content":[{"type":"tool-result","toolCallId":"c' || turn || '","content":' || text || ',"isError":false}],"source":{"kind":"tool","callId":"c' || turn || '"}}}' END AS data FROM n"""
+
+
+@query("prj27_event_migration", MIGRATED_SQL)
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    tool, user = F.col("turn") % 3 == 2, F.col("role") == "user"
+    source = lambda k, value: F.struct(F.lit(value).alias(k))
+    data = (
+        F.when(tool, F.to_json(F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("callId"), F.col("text").alias("content"), F.lit(False).alias("isError"))))
+        .when(user, F.to_json(F.struct(F.col("text").alias("content"), source("kind", "user").alias("source")))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), source("model", "m").alias("provenance"))))
+    )
+    kind = F.when(tool, "tool/result").when(user, "user/message").otherwise("assistant/message")
+    events = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), kind.alias("type"), data.alias("data"), F.when(tool, F.col("turn") - 1).alias("replaces"))
+    return migration.migrated(events).drop("problem")

@@ -247,15 +247,18 @@ def guarded_page(rows: DataFrame, expected: str, make, key: str, size: str) -> D
     return make(rows).withColumn("revision", F.lit(now))
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
-    """(query_id, *keys, spans): how often each phrase, taken as plain words, occurs in each text.
+def phrase_spans(texts: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(phrase, *keys, spans): how often each phrase of (phrase), arrays of words, occurs in each text with words ``x``.
 
-    ``texts`` has an array x of words, ``phrases`` (query_id, phrase) arrays of words.  Words of
-    phrases leave all others behind before the shuffle; a place where each word of a phrase
-    stands in turn is a hit.
+    Texts meet a phrase by all its words in a row, so that only occurrences are joined; equal phrases are looked up once.
     """
-    words = phrases.select("query_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("k", "word"))
-    wanted = stored(words.select("word").distinct(), "phrase-words")
-    found = texts.select(*keys, F.posexplode("x").alias("pos", "word")).join(wanted, "word", "left_semi").join(words, "word")
-    starts = found.groupBy("query_id", *keys, "length", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = length")
-    return starts.groupBy("query_id", *keys).agg(F.count("*").alias("spans"))
+    wanted = stored(phrases.where("size(phrase) > 0").select("phrase").distinct(), "phrases")
+    sizes = [r[0] for r in wanted.select(F.size("phrase")).distinct().collect()] or [1]  # a few lengths
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.size("x") - n + 1), lambda i: F.slice("x", i, F.lit(n)))
+    runs = F.flatten(F.array(*(F.when(F.size("x") >= n, at(n)).otherwise(F.array().cast("array<array<string>>")) for n in sizes)))
+    return texts.select(*keys, F.explode(runs).alias("phrase")).join(wanted, "phrase", "left_semi").groupBy("phrase", *keys).agg(F.count("*").alias("spans"))
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, *keys, spans): the same for each of (query_id, phrase)."""
+    return phrases.join(phrase_spans(texts, phrases, keys), "phrase").select("query_id", *keys, "spans")

@@ -73,11 +73,12 @@ def _(spark, d):
 
 @query("rnk27_session_ranking", PHRASE_SQL.split("SELECT query_id, conv_id, turn, spans FROM m")[0] + " SELECT query_id, conv_id, turn, spans, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spans DESC, n, conv_id, turn) AS place FROM m WHERE spans > 0) WHERE place <= 20")
 def _(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", tx.unicode_tokens("text").alias("x"))
-    phrases = c.where("conv_id % 50 = 0 and turn = 0 and size(x) >= 3").select(F.col("conv_id").alias("query_id"), F.slice("x", F.lit(2), F.lit(2)).alias("phrase"))
-    hits = r.phrase_hits(c, phrases, ["conv_id", "turn"]).join(c.select("conv_id", "turn", F.size("x").alias("n")), ["conv_id", "turn"])
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("spans"), "n", "conv_id", "turn"))
-    return hits.withColumn("place", place).where("place <= 20").select("query_id", "conv_id", "turn", "spans", "place")
+    c = table(spark, d, "conversations").select("conv_id", "turn", tx.unicode_tokens("text").alias("x")).withColumn("n", F.size("x"))
+    phrases = stored(c.where("conv_id % 50 = 0 and turn = 0 and size(x) >= 3").select(F.col("conv_id").alias("query_id"), F.slice("x", F.lit(2), F.lit(2)).alias("phrase")), "asked-phrases")
+    spans = r.phrase_spans(c, phrases, ["conv_id", "turn", "n"])
+    place = F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("spans"), "n", "conv_id", "turn"))
+    best = spans.withColumn("place", place).where("place <= 20")  # the same for all queries with this phrase
+    return phrases.join(best, "phrase").select("query_id", "conv_id", "turn", "spans", "place")
 
 
 ZONES = ("UTC", "Asia/Tokyo", "America/New_York", "Europe/Berlin", "Asia/Kolkata")

@@ -202,3 +202,10 @@ def test_ladder_query_takes_many_steps(spark, data):
 @pytest.mark.parametrize("name,want", [("obj.method", "method"), ("obj.ClassName", "constructor"), ("obj.__init__", "constructor"), ("ext", "imported"), ("MyClass", "constructor"), ("local_fn", "local")])
 def test_call_shapes(spark, name, want):
     assert spark.range(1).select(graph.call_shape(F.lit(name), F.array(F.lit("ext"), F.lit("other")))).first()[0] == want
+
+
+def test_equal_phrases_are_looked_up_once(spark):
+    texts = spark.range(40).select("id", F.array(*map(F.lit, "a b a b c".split())).alias("x"))
+    phrases = spark.range(30).select(F.col("id").alias("query_id"), F.array(F.lit("a"), F.lit("b")).alias("phrase"))
+    assert r.phrase_spans(texts, phrases, ["id"]).count() == 40  # and not once for each query
+    assert {x["spans"] for x in r.phrase_hits(texts, phrases, ["id"]).collect()} == {2} and r.phrase_hits(texts, phrases, ["id"]).count() == 1200

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.operators.vectors import dot, floats, norm
+from tarnwork.operators.vectors import best_of_blocks, floats, norm
 
 #: Most vectors that the centres are fitted on, and rounds of the fit.
 SAMPLE, ROUNDS = 4096, 12
@@ -63,9 +63,8 @@ def cells(vectors: DataFrame, centres: np.ndarray, id_col: str, n: int) -> DataF
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, place): of the cells that a query (query_id, embedding) looks at, the ``k`` vectors nearest by cosine, above ``least``."""
     centres = centres_of(vectors, vectors.count())
-    index = cells(vectors, centres, "vec_id", 1).withColumn("norm", norm(F.col("embedding")))
-    asked = cells(queries, centres, "query_id", max(LEAST_PROBES, int(PROBED * len(centres)))).select("query_id", "cell", F.col("embedding").alias("asked"), norm(F.col("embedding")).alias("asked_norm"))
-    score = F.round(dot(F.col("asked"), F.col("embedding")) / (F.col("asked_norm") * F.col("norm")), digits)
-    met = index.join(asked, "cell").select("query_id", "vec_id", score.alias("score")).where(F.col("score") > least)
+    index = cells(vectors, centres, "vec_id", 1).select("vec_id", "cell", F.col("embedding").alias("v"), F.lit(1.0).alias("by"), norm(F.col("embedding")).alias("n"))
+    asked = cells(queries, centres, "query_id", max(LEAST_PROBES, int(PROBED * len(centres)))).select("query_id", "cell", F.col("embedding").alias("o"), norm(F.col("embedding")).alias("on"))
+    met = best_of_blocks(index, asked, ["cell"], k, digits).where(F.col("score") > least)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("place", place).where(F.col("place") <= k)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors and queries of a block of comparisons, and queries compared at once inside it.
+SLICE, BLOCK, AT_ONCE = 8192, 2048, 256
+
 
 def floats(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
@@ -44,18 +49,71 @@ def quantised_cosine(q: Column, by: Column, length: Column, query: Column, query
     return F.when((length > 0) & (query_norm > 0), by * dot(F.transform(q, lambda x: x.cast("double")), query) / (query_norm * length)).otherwise(F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, place): the k nearest with positive cosine of a few query vectors.
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
 
-    The queries are packed into one row of arrays and sent to every task, so the table is read once
-    and never shuffled; each task keeps its k best of each query before the merge.
+def best_of_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, digits: int) -> DataFrame:
+    """(query_id, vec_id, score): of vectors (vec_id, v, by, n) and queries (query_id, o, on) with equal ``keys`` the best of each query, scores rounded.
+
+    A block is multiplied as matrices to tell who may be among the ``k`` best after rounding; their scores are then
+    summed in the order of the components, as the column expressions do it.  More than ``k`` rows a query may remain.
     """
-    q = queries.select(F.struct("query_id", floats("embedding").alias("v")).alias("q")).withColumn("q", F.struct("q.query_id", "q.v", norm(F.col("q.v")).alias("n")))
-    packed = q.agg(F.collect_list("q").alias("queries"))
-    rows = vectors.select("vec_id", floats("embedding").alias("v")).withColumn("n", norm(F.col("v"))).join(F.broadcast(packed))  # as many as the caller asks for
-    each = rows.select("vec_id", F.explode(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["v"], F.col("v")) / (x["n"] * F.col("n")), digits).alias("score")))).alias("s"))
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (vectors, "vec_id"))]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            v, o = _matrix(left, "v"), _matrix(right, "o")
+            by, n, on, ids = (t.column(c).to_numpy() for t, c in ((left, "by"), (left, "n"), (right, "on"), (left, "vec_id")))
+            margin = 2 * 10.0**-digits
+            for at in range(0, len(o), AT_ONCE):
+                some, length = o[at : at + AT_ONCE], on[at : at + AT_ONCE]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.nan_to_num((some @ v.T) * by / (length[:, None] * n), nan=0.0)
+                least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(some), -np.inf)
+                row, col = np.nonzero(near >= least[:, None] - margin)
+                exact = np.zeros(len(row))
+                for i in range(0, len(row), 1 << 16):
+                    r, c = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
+                    under = length[r] * n[c]
+                    exact[i : i + (1 << 16)] = np.divide(by[c] * np.cumsum(some[r] * v[c], axis=1)[:, -1], under, out=np.zeros(len(r)), where=under > 0)
+                order = np.lexsort((ids[col], -exact, row))  # of equal scores the first ones are enough
+                row, col, exact = row[order], col[order], exact[order]
+                fresh = np.r_[True, (row[1:] != row[:-1]) | (exact[1:] != exact[:-1])]
+                kept = np.arange(len(row)) - np.maximum.accumulate(np.where(fresh, np.arange(len(row)), 0)) < k
+                found.append((row[kept] + at, col[kept], exact[kept]))
+        row, col, exact = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"query_id": right.column("query_id").take(pa.array(row)), "vec_id": left.column("vec_id").take(pa.array(col)), "score": pa.array(exact)})
+
+    cut = lambda df: df.groupBy(*keys)
+    met = cut(vectors.select("vec_id", "v", "by", "n", *keys)).cogroup(cut(queries.select("query_id", "o", "on", *keys))).applyInArrow(compare, ", ".join([*kinds, "score double"]))
+    return met.select("query_id", "vec_id", F.round("score", digits).alias("score"))
+
+
+def _all(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """The same of all vectors and queries (query_id, embedding), dealt over blocks of bounded size."""
+    slices, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, SLICE), (queries, BLOCK)))
+    asked = queries.where("embedding is not null").select("query_id", floats("embedding").alias("o")).withColumns({"on": norm(F.col("o")), "size": F.size("o")})
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.withColumns({"size": F.size("v"), "slice": part("vec_id", slices), "block": every(blocks)})
+    return best_of_blocks(rows, asked.withColumns({"block": part("query_id", blocks), "slice": every(slices)}), ["block", "slice", "size"], k, digits)
+
+
+def _placed(rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.select("s.query_id", "vec_id", "s.score").where("score > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, score, place): the k nearest with positive cosine of query vectors (query_id, embedding).
+
+    All pairs are compared, in blocks of vectors by queries that are dealt over the tasks; a block keeps its
+    best of each query before the merge.
+    """
+    rows = vectors.where("embedding is not null").select("vec_id", floats("embedding").alias("v")).withColumns({"by": F.lit(1.0), "n": norm(F.col("v"))})
+    return _placed(_all(rows, queries, k, digits).where("score > 0"), k)
 
 
 def lane(vectors: DataFrame, queries: DataFrame, pool: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -72,10 +130,6 @@ def lane(vectors: DataFrame, queries: DataFrame, pool: DataFrame, k: int, digits
 
 
 def quantised_nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, place): the k best of each of a stated set of queries by the cosine with the quantised vectors."""
-    asked = queries.select(F.struct("query_id", floats("embedding").alias("v")).alias("q")).withColumn("q", F.struct("q.query_id", "q.v", norm(F.col("q.v")).alias("n")))
-    packed = asked.agg(F.collect_list("q").alias("queries"))
-    rows = quantised_table(vectors).join(F.broadcast(packed))  # as many as the caller asks for
-    scored = F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(quantised_cosine(F.col("q"), F.col("scale"), F.col("norm"), x["v"], x["n"]), digits).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.select("vec_id", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "s.score").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    """(query_id, vec_id, score, place): the k best of each query by the cosine with the quantised vectors, compared in the same blocks."""
+    rows = quantised_table(vectors.where("embedding is not null")).select("vec_id", floats("q").alias("v"), F.col("scale").alias("by"), F.col("norm").alias("n"))
+    return _placed(_all(rows, queries, k, digits), k)

@@ -81,3 +81,27 @@ def test_three_relations(spark):
     }
     assert all(x["reasons"] == ["label 0 against 1"] for x in got if x["relation"] == "semantic-conflict")
     assert memory.conflicts(entries.limit(0), entries.select("entry").limit(0)).count() == 0
+
+
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    from tarnwork.operators import vectors
+
+    monkeypatch.setattr(vectors, "SLICE", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((150, 6)), 1)
+    x[100:140] = x[100]  # copies tie
+    x[7] = 0
+    e = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    asked = e.where("vec_id % 10 = 0 or vec_id = 7").selectExpr("vec_id as query_id", "embedding")
+    for found, positive, scale in ((vectors.nearest, True, None), (vectors.quantised_nearest, False, 127)):
+        got = {(r["query_id"], r["place"]): (r["vec_id"], round(r["score"], 5)) for r in found(e, asked, 4).collect()}
+        f = x.astype(np.float32).astype(np.float64)
+        most = np.abs(f).max(axis=1, keepdims=True)
+        by = np.where(most > 0, most / 127, 1.0)
+        shown = f if scale is None else np.clip(np.floor(f / by + 0.5), -127, 127) * by
+        n = np.linalg.norm(f, axis=1)
+        for q in [k for k in range(150) if k % 10 == 0 or k == 7]:
+            s = np.divide(shown @ f[q], n * n[q], out=np.zeros(150), where=n * n[q] > 0)
+            best = [(k, v) for v, k in sorted((-round(float(v), 6), k) for k, v in enumerate(s) if v > 0 or not positive)[:4]]
+            assert [got[q, p + 1] for p in range(len(best))] == [(k, round(-v, 5)) for k, v in best]

@@ -5,6 +5,8 @@ Logs here have session_id, seq, type, time, and where needed turn, step and valu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,12 +185,27 @@ def surface(log: DataFrame) -> DataFrame:
     Each event comes and goes once, so a session of n events takes n log n steps.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        found = surface_of(list(zip(pdf["seq"], pdf["op"], pdf["start"], pdf["end"], strict=True)))
-        return pd.DataFrame({"session_id": pdf["session_id"], "seq": pdf["seq"], "surface": found})
-
-    return log.select("session_id", "seq", "op", "start", "end").groupBy("session_id").applyInPandas(fold, "session_id bigint, seq bigint, surface string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole sessions of rows in order; a session that goes on in the next batch waits for it."""
+        events: list[tuple] = []
+        keys: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for session, seq, op, start, end in zip(*(pdf[c].tolist() for c in ("session_id", "seq", "op", "start", "end")), strict=True):
+                if keys and keys[-1][0] != session:
+                    out += [(*k, x) for k, x in zip(keys, surface_of(events), strict=True)]
+                    keys, events = [], []
+                keys.append((session, seq))
+                events.append((seq, op, start, end))
+            yield pd.DataFrame(out, columns=["session_id", "seq", "surface"])
+        yield pd.DataFrame([(*k, x) for k, x in zip(keys, surface_of(events), strict=True)], columns=["session_id", "seq", "surface"])
+
+    # many sessions a call, since each call costs far more than a short session
+    spread = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = F.coalesce(F.col("session_id").cast("string"), F.lit("")).alias("session_id")  # null is a session too
+    rows = log.select(told, "seq", "op", "start", "end").repartition(spread, "session_id").sortWithinPartitions("session_id", "seq")
+    found = rows.mapInPandas(fold, "session_id string, seq bigint, surface string")
+    return found.withColumn("session_id", F.expr("cast(nullif(session_id, '') as bigint)"))
 
 
 def replaced_last(log: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ every round is a join of two tables of the nodes' size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,19 @@ def roots(nodes: DataFrame) -> DataFrame:
     ``missing`` tells that the walk ends at a parent that is no node, ``cyclic`` that it never ends;
     then there is no root and no depth.
     """
+    nodes = stored(nodes.select("id", "parent"), "nodes")  # else what they come from is computed three times
     up = nodes.join(pointers(nodes), "id", "left")
     state = up.select("id", F.coalesce("at", "id").alias("at"), F.col("at").isNotNull().cast("bigint").alias("depth"), F.col("at").isNotNull().alias("more"), (F.col("at").isNull() & F.col("parent").isNotNull()).alias("missing"))
     state = stored(state, "roots")
+    ended_rows, open_ = [state.where("not more")], state.where("more")  # ended rows are not written again
     for _ in range(rounds_for(state.count())):
-        open_ = state.where("more")
         if open_.isEmpty():
             break
-        beyond = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("steps"), F.col("more").alias("on"), F.col("missing").alias("gone"))
+        beyond = reduce(DataFrame.unionByName, [*ended_rows, open_]).select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("steps"), F.col("more").alias("on"), F.col("missing").alias("gone"))
         moved = open_.join(beyond, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("steps")).alias("depth"), F.col("on").alias("more"), F.col("gone").alias("missing"))
-        state = stored(moved.unionByName(state.where("not more")), "roots")
+        moved = stored(moved, "roots")
+        ended_rows, open_ = [*ended_rows, moved.where("not more")], moved.where("more")
+    state = reduce(DataFrame.unionByName, [*ended_rows, open_])
     ended = lambda c: F.when(~F.col("more"), F.col(c))
     return state.select("id", ended("at").alias("root"), ended("depth").alias("depth"), F.coalesce(ended("missing"), F.lit(False)).alias("missing"), F.col("more").alias("cyclic"))
 
@@ -70,12 +75,15 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
     The keys of the levels are joined last: a node's array has as many as it has ancestors.
     """
-    key = F.concat(F.lpad(F.col("created").cast("string"), 16, "0"), F.lit(":"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    key = lambda x: F.concat(F.lpad(x["created"].cast("string"), 16, "0"), F.lit(":"), F.lpad(x["ancestor"].cast("string"), 12, "0"))
+    nodes = stored(nodes.select("id", "parent", "created"), "nodes")
     up = ancestors(nodes, nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")))
-    keyed = up.join(nodes.select(F.col("id").alias("ancestor"), key.alias("key")), "ancestor")
-    chains = keyed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "ancestor", "key"))).alias("chain"))
-    each = chains.select("id", "chain", F.explode("chain").alias("top")).select("id", "chain", F.col("top.ancestor").alias("root"), F.col("top.depth").alias("depth")).join(roots.select(F.col("id").alias("root")), "root", "left_semi")
-    path = F.array_join(F.transform(F.reverse(F.slice("chain", F.lit(1), (F.col("depth") + 1).cast("int"))), lambda x: x["key"]), "/")
+    known = nodes.select(F.col("id").alias("ancestor"), "created").join(roots.select(F.col("id").alias("ancestor"), F.lit(True).alias("top")).distinct(), "ancestor", "left")
+    keyed = up.join(known, "ancestor")
+    # numbers, not the texts of keys, are shuffled, and only chains up to a root are made
+    chains = keyed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "ancestor", "created", "top"))).alias("chain"))
+    each = chains.select("id", "chain", F.explode(F.filter("chain", lambda x: x["top"])).alias("top")).select("id", "chain", F.col("top.ancestor").alias("root"), F.col("top.depth").alias("depth"))
+    path = F.array_join(F.transform(F.reverse(F.slice("chain", F.lit(1), (F.col("depth") + 1).cast("int"))), key), "/")
     return each.select("root", "id", "depth", path.alias("path"))
 
 

@@ -83,9 +83,14 @@ def overlap_lane(some: DataFrame, queries: DataFrame) -> DataFrame:
     return some.join(asked, "query_id").select("query_id", "doc_id", F.round(F.col("matched") / F.col("asked"), DIGITS).alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """Lexical and token-overlap lanes, fusion, overlap rerank, best n of each query."""
-    some = stored(ranked(lexical(docs, queries), 200), "lexical-lane")
+def lexical_lane(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """The first 200 of each query by ``lexical``, ranked and stored."""
+    return stored(ranked(lexical(docs, queries), 200), "lexical-lane")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, n: int = 10, some: DataFrame | None = None) -> DataFrame:
+    """Lexical and token-overlap lanes, fusion, overlap rerank, best n of each query; ``some`` is the lexical lane if it is there already."""
+    some = lexical_lane(docs, queries) if some is None else some
     hits = overlap_lane(some, queries)
     best = top(fuse({"lexical": some, "grep": ranked(hits)}), "fused", RERANK_WINDOW).drop("place")
     final = best.join(hits, ["query_id", "doc_id"]).withColumn("score", F.round(F.col("fused") + OVERLAP_WEIGHT * F.col("score"), DIGITS))

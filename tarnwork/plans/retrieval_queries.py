@@ -231,8 +231,8 @@ def _(spark, d):
 @query("agg19_recall_mrr", HYBRID_SQL + PLACED + ", rel AS (SELECT q.query_id, s.doc_id FROM q JOIN cand s ON s.query_id = q.query_id AND s.rank = 1), good AS (SELECT rel.query_id, count(CASE WHEN place <= 5 THEN 1 END) AS found, min(place) AS first FROM rel JOIN placed p ON p.query_id = rel.query_id AND p.doc_id = rel.doc_id GROUP BY rel.query_id), c AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id) SELECT round(avg(coalesce(found / n, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM c LEFT JOIN good USING (query_id)")
 def _(spark, d):
     docs, queries = _docs(spark, d), _queries(spark, d)
-    relevant = r.ranked(r.lexical(docs, queries), 1).select("query_id", "doc_id")
-    return r.recall_and_rank(r.hybrid(docs, queries, 40), relevant)
+    some = r.lexical_lane(docs, queries)  # texts are read once for both
+    return r.recall_and_rank(r.hybrid(docs, queries, 40, some), some.where("rank = 1").select("query_id", "doc_id"))
 
 
 @query("prj16_line_chunks", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS pos FROM documents), w AS (SELECT doc_id, pos // 8 AS win, string_agg(line, chr(10) ORDER BY pos) AS text, min(pos) + 1 AS start_line, max(pos) + 1 AS end_line FROM l GROUP BY doc_id, pos // 8) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY win) - 1 AS chunk_index, start_line, end_line, text FROM w WHERE trim(text, ' \t\n') <> ''")

@@ -58,7 +58,8 @@ def redact(records: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A body that is no JSON is withheld: its json is null.
     """
     kind = F.expr("CASE WHEN schema_of_variant(value) LIKE 'OBJECT<%' THEN 'object' WHEN schema_of_variant(value) LIKE 'ARRAY<%' THEN 'array' ELSE 'leaf' END")
-    front = records.select("id", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("key"), F.try_parse_json("body").alias("value"))
+    spread = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is one task, whatever its rows cost
+    front = records.repartition(spread, "id").select("id", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("key"), F.try_parse_json("body").alias("value"))
     front = front.where("value is not null")
     levels: list[DataFrame] = []
     while True:

@@ -85,4 +85,5 @@ def python_symbols(files: DataFrame) -> DataFrame:
                 rows += [(path, *x) for x in found]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "container", "line", "callee"])
 
-    return files.select("path", "content").mapInPandas(parse, "path string, kind string, name string, container string, line int, callee string")
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is one task, whatever its rows cost
+    return files.select("path", "content").repartition(spread, "path").mapInPandas(parse, "path string, kind string, name string, container string, line int, callee string")

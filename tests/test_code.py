@@ -209,3 +209,15 @@ def test_equal_phrases_are_looked_up_once(spark):
     phrases = spark.range(30).select(F.col("id").alias("query_id"), F.array(F.lit("a"), F.lit("b")).alias("phrase"))
     assert r.phrase_spans(texts, phrases, ["id"]).count() == 40  # and not once for each query
     assert {x["spans"] for x in r.phrase_hits(texts, phrases, ["id"]).collect()} == {2} and r.phrase_hits(texts, phrases, ["id"]).count() == 1200
+
+
+def test_pairs_of_equal_keys_in_blocks(spark):
+    a = [(k, d) for k, d in enumerate(["hot"] * 40 + ["x", "y", None])]
+    b = [(k, d) for k, d in enumerate(["hot"] * 25 + ["y", "y", "z", None])]
+    left, right = spark.createDataFrame(a, "a bigint, k string"), spark.createDataFrame(b, "b bigint, k string")
+    got = sorted(map(tuple, graph.equal_pairs(left, right, "k", 4).collect()))
+    assert got == sorted((x, y) for x, k in a for y, m in b if k is not None and k == m)
+
+
+def test_pairs_of_stems_are_made_by_many_tasks(spark, data):
+    assert catalog.queries()["jon07_test_stems"](spark, data).select(F.spark_partition_id()).distinct().count() > 1

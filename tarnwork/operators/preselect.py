@@ -57,9 +57,13 @@ def preselect(requests: DataFrame, lists: dict[str, DataFrame], summaries: DataF
     """(query_id, path, score, layers, place): each request's best files, with the layers that found them.
 
     ``requests`` is (query_id, text), ``summaries`` (path, text), ``symbols`` (path, name), ``recent`` (path, indexed_at).
-    Requests that no layer answers get the files indexed last.
+    Requests that no layer answers get the files indexed last.  Equal texts are searched for once.
     """
-    hits = stored(reduce(DataFrame.unionByName, [*decayed(lists), summary_hits(requests, summaries, limit), token_hits(requests, summaries, symbols)]), "preselect-hits")
+    firsts = stored(requests.groupBy("text").agg(F.min("query_id").alias("query_id")), "request-texts")
+    alike = stored(requests.alias("r").join(firsts.alias("f"), F.col("r.text").eqNullSafe(F.col("f.text"))).select("r.query_id", F.col("f.query_id").alias("first")), "equal-requests")
+    found = stored(summary_hits(firsts, summaries, limit).unionByName(token_hits(firsts, summaries, symbols)), "text-hits")
+    searched = found.withColumnRenamed("query_id", "first").join(alike, "first").select("query_id", "path", "score", "layer")
+    hits = stored(reduce(DataFrame.unionByName, [*decayed(lists), searched]), "preselect-hits")
     last = recent.orderBy(F.desc("indexed_at"), "path").limit(limit).select("path", F.lit(FALLBACK).alias("score"), F.lit("fallback-indexed").alias("layer"))
     unanswered = requests.select("query_id").join(hits.select("query_id"), "query_id", "left_anti")
     rest = unanswered.join(F.broadcast(last))  # ``limit`` rows for each

@@ -50,7 +50,8 @@ def lexical(docs: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
     scored = found.join(df, "token").join(F.broadcast(totals)).select("doc_id", "token", (idf * norm).alias("part"))  # one row of totals
-    return terms.join(scored, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("matched"))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # postings are few, but each meets all queries with its token
+    return terms.join(scored.repartition(spread, "doc_id"), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("matched"))
 
 
 def grep(docs: DataFrame, needle: str, most: int) -> DataFrame:

@@ -97,8 +97,10 @@ def _(spark, d):
 
 def _preselected(spark, d):
     files, summaries, requests = _asking(spark, d)
-    listed = requests.where("query_id % 50 = 0").select("query_id", (F.col("query_id") % 29).alias("turn")).join(summaries.select("path", (F.col("indexed_at") % 29).alias("turn")), "turn")
-    listed = stored(listed.select("query_id", "path", (F.row_number().over(Window.partitionBy("query_id").orderBy("path")) - 1).alias("rank")).where("rank <= 8"), "lists")
+    turns = summaries.select("path", (F.col("indexed_at") % 29).alias("turn"))
+    turns = turns.withColumn("rank", F.row_number().over(Window.partitionBy("turn").orderBy("path")) - 1).where("rank <= 8")  # the same for all requests of a turn
+    listed = requests.where("query_id % 50 = 0").select("query_id", (F.col("query_id") % 29).alias("turn")).join(F.broadcast(turns), "turn")  # nine rows a turn
+    listed = stored(listed.select("query_id", "path", "rank"), "lists")
     lists = {"working-set": listed.where("rank < 5"), "recent": listed, "pinned": listed.where("rank < 1"), "dirty-buffer": listed.where("rank < 3")}
     return preselect.preselect(requests, lists, summaries.select("path", "text"), files.select("path", "name").distinct(), summaries.select("path", "indexed_at"), 40)
 

@@ -170,3 +170,15 @@ def test_memory_search_in_parts_and_within_bounds(spark, monkeypatch, first):
 def test_gram_columns(spark):
     row = spark.range(1).select(grams.grams(F.lit("abcd"), 3).alias("a"), grams.grams(F.lit("ab"), 3).alias("b"), F.sort_array(grams.deletions(F.lit("aba"), 1)).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == (["abc", "bcd"], [], ["aa", "ab", "aba", "ba"])
+
+
+def test_equal_texts_are_searched_for_once(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(preselect, "stored", lambda df, name: sizes.setdefault(name, df.persist().count()) and df)
+    asked = [(k, t) for k, t in enumerate(["parse lexer"] * 30 + [None, "zzz"])]
+    summaries = spark.createDataFrame([("src/parse.py", "parse"), ("src/lexer.py", "lexer parse")], "path string, text string")
+    symbols, recent = spark.createDataFrame([("src/lexer.py", "Parse")], "path string, name string"), spark.createDataFrame([("src/parse.py", 1)], "path string, indexed_at bigint")
+    got = preselect.preselect(spark.createDataFrame(asked, "query_id bigint, text string"), {}, summaries, symbols, recent, 5).collect()
+    assert sizes["text-hits"] == 5 and sizes["preselect-hits"] == 30 * 5
+    assert len({(x["path"], x["score"], x["layers"]) for x in got if x["query_id"] < 30}) == 2 and len(got) == 30 * 2 + 2
+    assert {(x["query_id"], x["layers"]) for x in got if x["query_id"] >= 30} == {(30, "fallback-indexed"), (31, "fallback-indexed")}

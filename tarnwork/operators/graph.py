@@ -111,15 +111,19 @@ def severity(size: Column) -> Column:
 
 
 def dirty(edges: DataFrame, changed: DataFrame, rounds: int, budget: int, store) -> DataFrame:
-    """(node, round): everything that depends on changed nodes, up to some rounds and nodes in all."""
-    reached = store(changed.select("node", F.lit(0).alias("round")))
-    front = reached
+    """(node, round): everything that depends on changed nodes, up to some rounds and nodes in all.
+
+    Every round stores only the nodes that it finds; all rounds together are read as one table.
+    """
+    front = store(changed.select("node", F.lit(0).alias("round")))
+    reached, n = front, front.count()
     for k in range(1, rounds + 1):
         front = store(edges.join(front.select(F.col("node").alias("callee")), "callee").select(F.col("caller").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").withColumn("round", F.lit(k)))
-        if front.isEmpty():
+        found = front.count()
+        if not found:
             break
-        reached = store(reached.unionByName(front))
-        if reached.count() > budget:
+        reached, n = reached.unionByName(front), n + found
+        if n > budget:
             break
     return reached
 

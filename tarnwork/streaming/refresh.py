@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import graph, resolver
 from tarnwork.sources import brace_symbols
-from tarnwork.storage import stored
+from tarnwork.storage import released_shuffles, scratch, stored
 
 FILES = "path string, digest string, removed boolean, status string, batch int"
 SYMBOLS = f"{brace_symbols.SCHEMA}, batch int"
@@ -41,7 +41,8 @@ class Index:
         return rows if below is None else rows.where(F.col("batch") < below)
 
     def write(self, rows: DataFrame, kind: str, number: int) -> None:
-        rows.drop("batch").write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={number}")
+        with released_shuffles(rows.sparkSession):
+            rows.drop("batch").write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={number}")
 
     def files(self, below: int | None = None) -> DataFrame:
         """(path, digest, batch) of the files that are there: the last version of each, unless it was removed."""
@@ -54,15 +55,18 @@ class Index:
 
     def edges(self, below: int | None = None) -> DataFrame:
         """Test edges between files that are there, each as the last batch that touched one of them tells."""
-        there = self.files(below)
+        there = self.files(below)  # with the last batch that touched each
         told = self.part("edges", EDGES, below)
-        touched = self.part("files", FILES, below).groupBy("path").agg(F.max("batch").alias("last"))
         for side in ("test", "code"):
-            told = told.join(there.select(F.col("path").alias(side)), side, "left_semi").join(touched.select(F.col("path").alias(side), F.col("last").alias(f"{side}_last")), side)
+            told = told.join(there.select(F.col("path").alias(side), F.col("batch").alias(f"{side}_last")), side)
         return told.where(F.col("batch") == F.greatest("test_last", "code_last")).select("test", "code", "reason", "confidence")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Takes in versions (path, content, at) of files; null content removes a file."""
+        with scratch(batch.sparkSession), released_shuffles(batch.sparkSession):
+            self._apply(batch, number)
+
+    def _apply(self, batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by(F.struct("content"), "at").alias("v")).select("path", "v.content")
         now = newest.withColumn("digest", F.sha2("content", 256))
         known = self.files(number).select("path", F.col("digest").alias("old"))

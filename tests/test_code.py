@@ -211,6 +211,15 @@ def test_equal_phrases_are_looked_up_once(spark):
     assert {x["spans"] for x in r.phrase_hits(texts, phrases, ["id"]).collect()} == {2} and r.phrase_hits(texts, phrases, ["id"]).count() == 1200
 
 
+def test_rounds_store_only_what_they_find(spark):
+    rows = []
+    edges = spark.createDataFrame([(k + 1, k) for k in range(12)] + [(3, 7)], "caller bigint, callee bigint")
+    store = lambda t: rows.append(t.count()) or stored(t, "front")
+    got = graph.dirty(edges, spark.createDataFrame([(0,)], "node bigint"), 8, 1 << 60, store)
+    assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(9)] and sum(rows) == 9
+    assert graph.dirty(edges, spark.createDataFrame([(0,)], "node bigint"), 8, 3, store).count() == 4
+
+
 def test_pairs_of_equal_keys_in_blocks(spark):
     a = [(k, d) for k, d in enumerate(["hot"] * 40 + ["x", "y", None])]
     b = [(k, d) for k, d in enumerate(["hot"] * 25 + ["y", "y", "z", None])]

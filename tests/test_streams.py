@@ -1,5 +1,6 @@
 """Projections, admission and the refresh stream: streams equal tables, replays change nothing."""
 
+import pathlib
 import random
 
 from pyspark.sql import functions as F
@@ -89,3 +90,11 @@ def test_refresh_follows_versions_and_replays_change_nothing(spark, tmp_path):
     # a batch that failed before its entry in the ledger is not seen
     index.write(versions(spark, [("half.go", "x", 3)]).select("path", F.lit("d").alias("digest"), F.lit(False).alias("removed"), F.lit("added").alias("status")), "files", 2)
     assert state(index) == before
+
+
+def test_a_batch_leaves_no_scratch_tables(spark):
+    root, shared = f"{shared_dir(spark)}/index-alone", pathlib.Path(shared_dir(spark).removeprefix("file://")) / "tarnwork"
+    before = set(shared.glob("*")) if shared.is_dir() else set()
+    index = refresh.Index(spark, root)
+    index.apply(versions(spark, [("src/a.go", GO.format(name="A", call="B"), 1), ("src/a_test.go", GO.format(name="TestA", call="A"), 1)]), 0)
+    assert set(shared.glob("*")) == before and index.edges().count() == 1 and index.dirty().count() == 2

@@ -38,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     e = stored(table(spark, d, "embeddings"), "embeddings")
     entries = e.select(F.col("vec_id").alias("entry"), F.lit("all").alias("scope"), F.col("vec_id").cast("string").alias("content"), F.lit("").alias("summary"))
-    found = memory.conflicts(entries, entries.where("entry % 50 = 0").select("entry"), memory.opposed(e, "label", 0.2), "embeddings")
+    found = memory.conflicts(entries, entries.select("entry"), memory.opposed(e, "label", 0.2), "embeddings")
     return found.where("relation = 'semantic-conflict'").select("entry", "other", "score", "reasons", "detector")
 
 

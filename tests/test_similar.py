@@ -105,3 +105,25 @@ def test_blocks_equal_all_pairs(spark, monkeypatch):
             s = np.divide(shown @ f[q], n * n[q], out=np.zeros(150), where=n * n[q] > 0)
             best = [(k, v) for v, k in sorted((-round(float(v), 6), k) for k, v in enumerate(s) if v > 0 or not positive)[:4]]
             assert [got[q, p + 1] for p in range(len(best))] == [(k, round(-v, 5)) for k, v in best]
+
+
+def test_conflicts_of_every_entry(spark, data):
+    from tarnwork.plans import catalog
+
+    e = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, labels, x = [r["vec_id"] for r in e], {r["vec_id"]: r["label"] for r in e}, np.array([r["embedding"] for r in e], np.float64)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(x @ x.T, 6)
+    want = {}
+    for a, row in zip(ids, score):
+        best = sorted(zip(-row, ids))[:10]
+        want |= {(a, b): -s for s, b in best if -s > 0.2 and b != a and labels[a] != labels[b]}
+    got = {(r["entry"], r["other"]): r["score"] for r in catalog.queries()["ext06_semantic_conflicts"](spark, data).collect()}
+    assert len({a for a, _ in got}) > len(ids) / 2
+    assert got.keys() == want.keys() and all(abs(s - want[p]) < 2e-6 for p, s in got.items())
+
+
+def test_blocks_grow_with_the_tables():
+    assert vectors.dealt(0, 0) == (1, 1) and vectors.dealt(20000, 400) == (3, 1)
+    slices, blocks = vectors.dealt(600_000, 600_000)
+    assert slices == blocks == 19  # so often every row is sent

@@ -165,19 +165,29 @@ def either_match(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFram
     return by_k.select(a, b).unionByName(by_key.select(a, b))
 
 
-def equal_pairs(left: DataFrame, right: DataFrame, key: str, block: int = 1024) -> DataFrame:
-    """The pairs of keys of two tables, each its first column, whose ``key`` is equal, as often as a join gives them; null keys of rows are left out.
+def met_blocks(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
+    """(own, their): lists of rows of two tables, without the ``key`` that they share, for each pair of blocks of a key; null keys are left out.
 
-    Rows of a key are cut by hash into blocks of about ``block`` rows; pairs of blocks are dealt evenly over all tasks, which
-    write out their pairs.  So the shuffle carries a few numbers a thousand pairs, and no key stays in one task.
+    Rows of a key are cut by hash of the first column into blocks of about ``block`` rows; pairs of blocks are dealt evenly over all
+    tasks, so no key stays in one.
     """
     spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         sized = rows.groupBy(key).agg(F.ceil(F.count("*") / block).alias("parts"))
-        cut = rows.select(key, name).join(sized, key).withColumn("part", F.pmod(F.xxhash64(name), F.col("parts")))
-        return cut.groupBy(key, "part").agg(F.collect_list(name).alias(name)).drop("part")  # about ``block`` of them
+        told = [c for c in rows.columns if c != key]
+        cut = rows.join(sized, key).withColumn("part", F.pmod(F.xxhash64(told[0]), F.col("parts")))
+        row = F.col(told[0]) if len(told) == 1 else F.struct(*told)
+        return cut.groupBy(key, "part").agg(F.collect_list(row).alias(name)).drop("part")  # about ``block`` of them
+
+    return blocks(left, "own").join(blocks(right, "their"), key).select("own", "their").repartition(4 * spread)
+
 
+def equal_pairs(left: DataFrame, right: DataFrame, key: str, block: int = 1024) -> DataFrame:
+    """The pairs of keys of two tables, each its first column, whose ``key`` is equal, as often as a join gives them; null keys of rows are left out.
+
+    The tasks write out the pairs of their blocks, so the shuffle carries a few numbers a thousand pairs.
+    """
     a, b = left.columns[0], right.columns[0]
-    met = blocks(left, a).join(blocks(right, b), key).select(a, b).repartition(4 * spread)
-    return met.select(F.explode(a).alias(a), b).select(a, F.explode(b).alias(b))
+    met = met_blocks(left.select(a, key), right.select(b, key), key, block)
+    return met.select(F.explode("own").alias(a), "their").select(a, F.explode("their").alias(b))

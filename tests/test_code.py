@@ -117,6 +117,20 @@ def test_ladder_against_a_walk(spark, monkeypatch):
     assert set(steps) == {None, *resolver.STEPS} - {"scope_binding"}
 
 
+def test_names_of_many_symbols_are_evidence(spark, monkeypatch):
+    d = random.Random(6)
+    symbols = [(i, f"src/{'abc'[i % 3]}/m{i % 11}.py", "Run" if i % 2 else "run", d.choice(["Box.run", "Net.run", "run"]), d.choice([None, 0, 1, 2]), d.choice([None, "Box", "Net"])) for i in range(700)]
+    imports = [(f"src/x{k}.py", "lib", None, f"src/{'abc'[k % 3]}/m{k}.py") for k in range(5)]
+    refs = [(i, d.choice(["run", " RUN ", "box.run", "pkg.Net.run", "lib.Run"]), f"src/{d.choice(['a/q', 'x1', 'x3', 'b/c/q'])}.py", None, d.choice([None, 0, 1, 2, 3]), d.choice([None, "Box", "Net"])) for i in range(200)]
+    tables = spark.createDataFrame(refs, REFS), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(imports, IMPORTS)
+    assert {x["step"] for x in resolver.resolve(*tables).collect()} == {None}  # the limit, when asked for
+    got = {x["ref_id"]: x for x in resolver.resolve(*tables, whole=True).collect()}
+    monkeypatch.setattr(resolver, "POOL", 1 << 30)
+    for ref in refs:
+        want, x = ladder(ref, symbols, imports), got[ref[0]]
+        assert (x["target"], x["step"], x["confidence"], x["candidates"]) == (want[0], want[1], round(want[2], 6), want[3]), ref
+
+
 def test_reachability(spark):
     row = spark.range(1).select(*(resolver.reachable(F.lit(f), F.array(F.lit("src.utils.helpers"))).alias(k) for k, f in (("a", "src/utils/helpers.py"), ("b", "src/utils.py"), ("c", "tests/conftest.py"), ("d", "src/utilsXtra.py")))).first()
     assert tuple(row) == (True, True, False, False)

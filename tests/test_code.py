@@ -1,6 +1,7 @@
 """Resolution, test edges, cycles and chunks against plain Python on small tables."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -244,3 +245,11 @@ def test_pairs_of_equal_keys_in_blocks(spark):
 
 def test_pairs_of_stems_are_made_by_many_tasks(spark, data):
     assert catalog.queries()["jon07_test_stems"](spark, data).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_few_pairs_are_held_at_once(spark):
+    rows = spark.range(3000).select(F.col("id").alias("a"), F.lit("hot").alias("k"))
+    pairs = graph.equal_pairs(rows, rows.withColumnRenamed("a", "b"), "k")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Generate explode(?:(?!Generate)[\s\S])*Coalesce (?:(?!Exchange)[\s\S])*Generate explode", plan)  # one code for both steps would hold all pairs of two blocks
+    assert pairs.count() == 3000**2 == pairs.distinct().count()

@@ -152,19 +152,20 @@ def call_shape(name: Column, imports: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.when(made, "constructor").otherwise("method")).when(F.array_contains(imports, name), "imported").when(made, "constructor").otherwise("local")
 
 
-def either_match(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFrame:
+def either_match(left: DataFrame, right: DataFrame, block: int = PAIRED) -> DataFrame:
     """The distinct pairs of keys of two tables (key, k) whose keys are equal, or that share a ``k`` that is not null.
 
-    What is shared is told by each key's list of ``k``, so no pair comes twice and pairs are never shuffled; the rows of a
-    frequent ``k`` are dealt over ``salts`` tasks.
+    Pairs that share a ``k`` are made from blocks of keys. What is shared is told by each key's list of ``k``, so no pair
+    comes twice, and is looked at only where a key has several.
     """
     a, b = left.columns[0], right.columns[0]
-    own, their = (t.where(F.col(c).isNotNull()).groupBy(c).agg(F.collect_set("k").alias(name)) for t, c, name in ((left, a, "own"), (right, b, "their")))  # of one key
-    dealt = own.withColumns({"k": F.explode("own"), "salt": F.pmod(F.xxhash64(a), F.lit(salts))})
-    copied = their.withColumns({"k": F.explode("their")}).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    by_k = dealt.join(copied, ["k", "salt"]).where(F.col("k") == F.array_min(F.array_intersect("own", "their")))
-    by_key = own.join(their, F.col(a) == F.col(b)).where(~F.arrays_overlap("own", "their"))
-    return by_k.select(a, b).unionByName(by_key.select(a, b))
+    own, their = (t.where(F.col(c).isNotNull()).groupBy(c).agg(F.collect_set("k").alias(name)) for t, c, name in ((left, a, "own_k"), (right, b, "their_k")))  # of one key
+    one, many = own.where("size(own_k) = 1").select(a, F.get("own_k", F.lit(0)).alias("k")), own.where("size(own_k) > 1").select(a, "own_k", F.explode("own_k").alias("k"))
+    by_one = equal_pairs(one, their.select(b, F.explode("their_k").alias("k")), "k", block)
+    by_many = met_pairs(many.select(a, "own_k", "k").withColumn("shared", F.col("k")), their.select(b, "their_k", F.explode("their_k").alias("k")), "k", block)
+    by_many = by_many.where(F.col("x.shared") == F.array_min(F.array_intersect("x.own_k", "y.their_k"))).select(f"x.{a}", f"y.{b}")
+    by_key = own.join(their, F.col(a) == F.col(b)).where(~F.arrays_overlap("own_k", "their_k")).select(a, b)
+    return by_one.unionByName(by_many).unionByName(by_key)
 
 
 def tasks(spark: SparkSession) -> int:

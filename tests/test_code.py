@@ -247,6 +247,20 @@ def test_pairs_of_stems_are_made_by_many_tasks(spark, data):
     assert catalog.queries()["jon07_test_stems"](spark, data).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_either_match_of_keys_with_several_values(spark):
+    d = random.Random(8)
+    a = [(d.choice([*range(30), None]), d.choice([*range(6), None])) for _ in range(90)]
+    b = [(d.choice([*range(20, 45), None]), d.choice([*range(3, 9), None])) for _ in range(70)]
+    got = [tuple(r) for r in graph.either_match(spark.createDataFrame(a, "a bigint, k int"), spark.createDataFrame(b, "b bigint, k int"), 4).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(x, y) for x, k in a for y, m in b if None not in (x, y) and (x == y or (k is not None and k == m))}
+
+
+def test_either_match_broadcasts_no_copies(spark, data):
+    plan = catalog.queries()["jon05_either_match"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*Generate explode", plan)  # Spark decides to broadcast by the size before copies are made
+
+
 def test_few_pairs_are_held_at_once(spark):
     rows = spark.range(3000).select(F.col("id").alias("a"), F.lit("hot").alias("k"))
     pairs = graph.equal_pairs(rows, rows.withColumnRenamed("a", "b"), "k")
